@@ -38,11 +38,9 @@ def positions(
     )
     counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = (
-        Window.partitionBy("_key.group")
-        .orderBy("_key.chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_group").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = counts.select(
+    offsets = counts.select("_key", "_key.*", "_rows").toDF("_key", "_group", "_chunk", "_rows").select(
         "_key", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
     )
     local = Window.partitionBy("_key").orderBy(seq)

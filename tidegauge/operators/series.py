@@ -206,13 +206,15 @@ def sustained(
     slice may continue an earlier one: the per-slice summaries carry the start of the run
     that is open at the end of each slice, and slices that are true throughout pass it on.
     """
+    # Both branches below use the same columns, so Spark computes the shuffled slices once.
     samples = instants(
         df.withColumn("_true", F.coalesce(condition, F.lit(False))), series, ts, "_true", tie
-    ).withColumn(
-        "_key",
+    ).select(
         F.struct(
             F.struct(*[F.col(c) for c in series]).alias("series"), _bucket(ts, slice_ms).alias("at")
-        ),
+        ).alias("_key"),
+        ts,
+        "_true",
     )
     in_slice = Window.partitionBy("_key").orderBy(ts)
     so_far = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -222,38 +224,37 @@ def sustained(
         F.when(is_true & ~F.coalesce(F.lag("_true").over(in_slice), F.lit(False)), F.col(ts)),
     )
 
-    ends = starts.groupBy("_key").agg(
-        F.min(ts).alias("_first"),
-        F.min("_true").alias("_all_true"),
-        F.max("_start").alias("_last_start"),
-        F.max(F.when(~is_true, F.col(ts))).alias("_last_false"),
+    all_true = F.col("_all_true")
+    ends = (
+        starts.groupBy("_key")
+        .agg(
+            F.min(ts).alias("_first"),
+            F.min("_true").alias("_all_true"),
+            F.max("_start").alias("_last_start"),
+            F.max(F.when(~is_true, F.col(ts))).alias("_last_false"),
+        )
+        .withColumns({"_series": F.col("_key.series"), "_at": F.col("_key.at")})
     )
+    along = Window.partitionBy("_series").orderBy("_at")
+    along_so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Start of the run that is open at the end of a slice with a false sample, if any.
-    tail = F.when(F.col("_last_start") > F.col("_last_false"), F.col("_last_start"))
-    along = Window.partitionBy("_key.series").orderBy("_key.at")
+    tail = F.when(~all_true & (F.col("_last_start") > F.col("_last_false")), F.col("_last_start"))
+    # A stretch is one slice with a false sample and the all-true slices after it. A slice
+    # that is true throughout passes on the open run, or starts one with its first sample.
     stretches = ends.withColumns(
-        {
-            "_tail": F.when(~F.col("_all_true"), tail),
-            "_stretch": F.count(F.when(~F.col("_all_true"), 1)).over(
-                along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        }
+        {"_tail": tail, "_stretch": F.count(F.when(~all_true, 1)).over(along_so_far)}
     )
-    # A stretch is one slice with a false sample and the all-true slices after it.
     stretch = (
-        Window.partitionBy("_key.series", "_stretch")
-        .orderBy("_key.at")
+        Window.partitionBy("_series", "_stretch")
+        .orderBy("_at")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    open_run = F.when(~F.col("_all_true"), F.col("_tail")).otherwise(
-        F.coalesce(
-            F.max("_tail").over(stretch),
-            F.min(F.when(F.col("_all_true"), F.col("_first"))).over(stretch),
-        )
-    )
-    carried = stretches.withColumn("_open", open_run).select(
-        "_key", F.lag("_open").over(along).alias("_carried")
+    inherited = F.coalesce(
+        F.max("_tail").over(stretch), F.min(F.when(all_true, F.col("_first"))).over(stretch)
     )
+    carried = stretches.withColumn(
+        "_open", F.when(all_true, inherited).otherwise(F.col("_tail"))
+    ).select("_key", F.lag("_open").over(along).alias("_carried"))
 
     local = starts.withColumns(
         {
@@ -266,7 +267,9 @@ def sustained(
     ).otherwise(F.coalesce(F.col("_carried"), F.col("_since")))
     return (
         local.join(carried, "_key")
-        .select(*series, ts, since.alias("active_since"))
+        .select(
+            *[F.col(f"_key.series.{c}").alias(c) for c in series], ts, since.alias("active_since")
+        )
         .withColumn(
             "state",
             F.when(F.col(ts) - F.col("active_since") >= hold_ms, F.lit("firing")).otherwise(

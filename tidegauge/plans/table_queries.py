@@ -114,11 +114,11 @@ def send_times(v):
     "inject_every_nth",
     """WITH n AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY event_id) AS pos FROM readings
          WHERE temperature <= 100),
-       a AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY event_id) AS k FROM readings
+       a AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY event_id) AS turn FROM readings
          WHERE temperature > 100)
        SELECT n.event_id, n.sensor, n.pos, coalesce(a.temperature, n.temperature) AS temperature,
-         coalesce(a.humidity, n.humidity) AS humidity, a.k IS NOT NULL AS injected
-       FROM n LEFT JOIN a ON n.sensor = a.sensor AND n.pos = a.k * 10""",
+         coalesce(a.humidity, n.humidity) AS humidity, a.turn IS NOT NULL AS injected
+       FROM n LEFT JOIN a ON n.sensor = a.sensor AND n.pos = a.turn * 10""",
     "readings",
 )
 def inject_every_nth(v):
