@@ -1,0 +1,380 @@
+"""Hand-derived input/output pairs of single operators."""
+
+from __future__ import annotations
+
+import math
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidegauge.functions import rules, text
+from tidegauge.operators import catalogue, generate, inventory, joins, numbering, readings, series
+
+
+def rows(df, *columns):
+    picked = df.select(*columns) if columns else df
+    return sorted(tuple(r) for r in picked.collect())
+
+
+def one(spark, value, build, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(build(F.col("x"))).first()[0]
+
+
+def message(ts="1700000000123", temperature="5", humidity="5.31", sensor="pod-0"):
+    return f'{{"measurement_ts":{ts},"temperature":{temperature},"humidity":{humidity},"sensor":{sensor}}}'
+
+
+@pytest.mark.parametrize(
+    "raw, expected",
+    [
+        (message(), (None, 1700000000, 5, 5.31, "pod-0")),
+        (message(ts="1700000000999"), (None, 1700000000, 5, 5.31, "pod-0")),
+        (message(humidity=","), ("parse",)),
+        (message(temperature="5.3"), ("type",)),
+        (message(temperature=" 5 "), (None, 1700000000, 5, 5.31, "pod-0")),
+        (message(temperature="+5"), (None, 1700000000, 5, 5.31, "pod-0")),
+        (message(humidity="1.5d"), ("type",)),
+        (message(humidity="1e1"), (None, 1700000000, 5, 10.0, "pod-0")),
+        (message(sensor="a:b"), (None, 1700000000, 5, 5.31, "")),
+        (message(ts="99"), ("type",)),
+        (message(ts="-999"), ("type",)),
+        ("junk", ("parse",)),
+        ("", ("parse",)),
+    ],
+)
+def test_parse_and_type(spark, raw, expected):
+    df = spark.createDataFrame([(raw,)], "value string")
+    got = readings.type_readings(readings.parse_telemetry(df)).select(
+        "error", "reading_ts", "temperature", "humidity", "sensor"
+    ).first()
+    assert tuple(got)[: len(expected)] == expected
+
+
+def test_nan_humidity_is_accepted(spark):
+    df = spark.createDataFrame([(message(humidity="nan"),)], "value string")
+    row = readings.type_readings(readings.parse_telemetry(df)).first()
+    assert row.error is None and math.isnan(row.humidity)
+
+
+def test_regex_mode_keeps_colons(spark):
+    df = spark.createDataFrame([(message(sensor="a:b"),), ("junk",)], "value string")
+    got = readings.parse_telemetry(df, mode="regex").select("sensor", "temperature").collect()
+    assert [tuple(r) for r in got] == [("a:b", "5"), (None, None)]
+
+
+def test_topic_records_and_damaged_json(spark):
+    df = spark.createDataFrame([(message(),), ("junk",)], "value string")
+    records = readings.to_topic(readings.parse_telemetry(df))
+    assert rows(records) == [
+        (
+            "server-room",
+            '{"measurement_ts":"1700000000123","temperature":"5","humidity":"5.31","sensor":"pod-0"}',
+        )
+    ]
+    broken = spark.createDataFrame([("{broken",), ('{"temperature":"5"}',)], "value string")
+    typed = readings.type_readings(readings.from_topic(broken))
+    assert [r.error for r in typed.collect()] == ["parse", "parse"]
+
+
+def test_validity_and_actions(spark):
+    df = spark.createDataFrame(
+        [(t, 0.0, 1, "s", None) for t in (-1, 0, 1, 2, 8, 9, 10, 11)],
+        "temperature int, humidity double, reading_ts bigint, sensor string, error string",
+    )
+    routed = readings.route(df, 0, 10)
+    assert rows(routed.valid, "temperature") == [(0,), (1,), (2,), (8,), (9,), (10,)]
+    assert rows(routed.invalid, "temperature") == [(-1,), (11,)]
+    assert routed.dead.count() == 0
+    assert rows(readings.actions(routed.valid, 2, 8), "temperature", "action") == [
+        (0, "power-on"), (1, "power-on"), (9, "shutdown"), (10, "shutdown"),
+    ]
+
+
+def test_action_message_and_delay(spark):
+    df = spark.createDataFrame(
+        [(1700000000, "pod-0", "shutdown")], "reading_ts bigint, sensor string, action string"
+    )
+    sent = df.select(readings.action_message(F.lit(1700000001000)).alias("value"))
+    assert sent.first()[0] == (
+        "processed_ts:1700000001000 reading_ts:1700000000 actuator_id:actuator-0 sensor:pod-0 action:shutdown"
+    )
+    got = readings.action_delay(readings.parse_action(sent), F.lit(1700000002500)).first()
+    assert (got.delay_raw, got.delay_ms, got.action) == (1698300002500, 2500, "shutdown")
+    bad = readings.parse_action(spark.createDataFrame([("nothing here",)], "value string")).first()
+    assert bad.reading_ts is None
+
+
+def test_severity(spark):
+    got = [one(spark, v, rules.severity, "double") for v in (15.0, 15.0001, 20.0, 20.0001)]
+    assert got == ["info", "warning", "warning", "error"]
+
+
+@pytest.mark.parametrize(
+    "build, value, expected",
+    [
+        (text.short_pod_name, "app-1-pod-64f9f9f5df-42wdl", "app-1-pod-64"),
+        (text.short_pod_name, "short", ""),
+        (text.namespace_of, "User_A#01", "usera01"),
+        (text.role_of, "beginner12", "beginner1"),
+        (text.workload_name_of, "My Work Load", "my-work-load"),
+        (text.cut_fraction, "2024-01-01T00:00:00.123", "2024-01-01T00:00:00"),
+        (text.cut_fraction, "2024-01-01T00:00:00", ""),
+        (text.blank_if_null, "null", ""),
+        (text.set_values, "a=b; c=d", ["a=b", "c=d"]),
+        (text.set_values, "null", []),
+        (text.set_values, None, []),
+        (lambda c: text.full_match(c, "a|bc"), "xbc", False),
+        (lambda c: text.full_match(c, ".+"), None, False),
+        (lambda c: text.glob_any(c, ["eth*", "lo"]), "eth0", True),
+        (lambda c: text.glob_any(c, ["eth*", "lo"]), "loop", False),
+        (lambda c: text.glob_any(c, ["a_b*"]), "axb1", False),
+        (lambda c: text.contains_word(c, "the"), "Other. THE end", True),
+        (lambda c: text.contains_word(c, "the"), "other", False),
+        (text.valid_cpu, " 100m ", True),
+        (text.valid_cpu, "100", False),
+        (text.valid_memory, "", True),
+        (text.valid_memory, "1G", False),
+        (text.valid_workload_name, "-x", False),
+    ],
+)
+def test_text_functions(spark, build, value, expected):
+    assert one(spark, value, build) == expected
+
+
+def test_calendar(spark):
+    times = ["2024-01-01 05:59", "2024-01-01 06:00", "2024-01-01 08:59", "2024-01-01 09:00",
+             "2024-01-01 17:59", "2024-01-01 18:00", "2024-01-01 20:59", "2024-01-01 21:00",
+             "2024-01-06 10:00"]
+    got = [one(spark, t, lambda c: rules.calendar_requests(c.cast("timestamp"))) for t in times]
+    assert got == [5, 15, 15, 80, 80, 15, 15, 5, 0]
+
+
+def test_local_time(spark):
+    for utc, local in (("2024-01-01 00:00", "2024-01-01T01:00:00"), ("2024-07-01 10:00", "2024-07-01T12:00:00")):
+        assert one(spark, utc, lambda c: rules.local_iso(c.cast("timestamp"))) == local
+
+
+def values_frame(spark, values):
+    return spark.createDataFrame(
+        [("s", i, v) for i, v in enumerate(values, 1)], "sensor string, seq bigint, v int"
+    )
+
+
+def test_inject(spark):
+    normal = values_frame(spark, range(1, 8))
+    abnormal = values_frame(spark, [91, 92, 93])
+    for source in (abnormal, abnormal.drop("sensor")):
+        got = numbering.inject_every_nth(normal, source, 3, ["sensor"], "seq", ["v"])
+        assert [v for _, v in rows(got, "pos", "v")] == [1, 2, 91, 4, 5, 92, 7]
+
+
+def test_inject_exhausted(spark):
+    normal, abnormal = values_frame(spark, range(1, 8)), values_frame(spark, [91])
+    kept = numbering.inject_every_nth(normal, abnormal, 3, ["sensor"], "seq", ["v"], "keep")
+    assert [v for _, v in rows(kept, "pos", "v")] == [1, 2, 91, 4, 5, 6, 7]
+    failing = numbering.inject_every_nth(normal, abnormal, 3, ["sensor"], "seq", ["v"])
+    with pytest.raises(Exception, match="no abnormal value left"):
+        failing.collect()
+
+
+def test_send_offsets(spark):
+    df = values_frame(spark, range(5))
+    assert [o for _, o in rows(numbering.send_times(df, [1, 2, 3], ["sensor"], "seq"), "pos", "send_offset")] == [
+        0, 1, 3, 6, 7,
+    ]
+    assert [o for _, o in rows(numbering.send_times(df, [10], ["sensor"], "seq"), "pos", "send_offset")] == [
+        0, 10, 20, 30, 40,
+    ]
+
+
+def test_random_offsets_follow_the_cycle(spark):
+    df = spark.range(1, 25).select(
+        F.col("id").alias("pos"),
+        generate.random_offset(F.col("id"), F.lit("pod-1"), 1, 2, "x").alias("at"),
+    )
+    at = [a for _, a in rows(df)]
+    gaps = [b - a for a, b in zip(at, at[1:])]
+    assert at[0] == 0 and all(1000 <= g <= 2000 for g in gaps)
+    assert gaps[:10] == gaps[10:20] and len(set(gaps[:10])) > 5
+
+
+def test_rate(spark):
+    df = spark.createDataFrame(
+        [("a", 0, 10), ("a", 10000, 30), ("a", 20000, 5), ("a", 30000, 15), ("b", 0, 1)],
+        "s string, ts bigint, v int",
+    )
+    for slice_ms in (1000, 15000, 3_600_000):
+        got = series.rate(df, ["s"], "ts", "v", 3_600_000, slice_ms=slice_ms).collect()
+        assert len(got) == 1 and got[0].increase == 35 and got[0].samples == 4
+        assert round(got[0].rate, 6) == 1.166667
+
+
+def test_trailing_count(spark):
+    df = spark.createDataFrame([("p", t * 1000) for t in (0, 10, 30, 31)], "pod string, ts bigint")
+    got = rows(series.trailing_count(df, ["pod"], "ts", 30_000), "ts", "n")
+    assert [n for _, n in got] == [1, 2, 2, 3]
+
+
+def test_sustained(spark):
+    samples = [(0, 1), (60, 0), (120, 0), (360, 0), (420, 1), (480, 0)]
+    df = spark.createDataFrame([("i", t * 1000, u) for t, u in samples], "i string, ts bigint, up int")
+    for slice_ms in (1000, 100_000, 200_000, 86_400_000):
+        got = rows(
+            series.sustained(df, ["i"], "ts", F.col("up") == 0, 300_000, slice_ms=slice_ms), "ts", "state"
+        )
+        assert got == [(60000, "pending"), (120000, "pending"), (360000, "firing"), (480000, "pending")]
+
+
+def test_align_and_last_value(spark):
+    df = spark.createDataFrame(
+        [("s", 0, 1.0, 1), ("s", 9999, 2.0, 2), ("s", 9999, 3.0, 3), ("s", 10000, 90.0, 4), ("s", 11000, None, 5)],
+        "s string, ts bigint, v double, tie bigint",
+    )
+    got = rows(series.align(df.filter("v is not null"), ["s"], "ts", "v", tie="tie"), "step", "v")
+    assert got == [(0, 3.0), (10000, 90.0)]
+    assert rows(series.last_value(df, ["s"], "ts", "v", "tie")) == [("s", 90.0, "red")]
+
+
+def test_window_join_bounds(spark):
+    samples = spark.createDataFrame([(t, "w", "n") for t in (939, 940, 1160, 1161)], "ts bigint, wl string, ns string")
+    workloads = spark.createDataFrame(
+        [(1, 1000, 100, "w", "n"), (2, 1000, 100, "w", "other")],
+        "workload_id bigint, created_s bigint, duration int, wl string, ns string",
+    )
+    for bucket in (7, 50, 86_400):
+        got = joins.window_join(samples, workloads, "ts", ["wl", "ns"], bucket_s=bucket)
+        assert rows(got, "workload_id", "ts") == [(1, 940), (1, 1160)]
+
+
+def test_label_join_absent_label_equals_empty(spark):
+    samples = spark.createDataFrame([("n", "h", None, 2.0)], "namespace string, host string, pod_name string, v double")
+    info = spark.createDataFrame(
+        [("n", "h", "", "w1"), ("n", "h", "", "w1"), ("n", "h", "", "w2")],
+        "namespace string, host string, pod_name string, label_workload_id string",
+    )
+    assert rows(joins.label_join(samples, info), "label_workload_id", "v") == [("w1", 2.0), ("w2", 2.0)]
+
+
+def test_matrix_product(spark):
+    def coo(matrix):
+        cells = [(i, j, v) for i, r in enumerate(matrix) for j, v in enumerate(r)]
+        return spark.createDataFrame(cells, "i int, j int, v bigint")
+
+    got = joins.matrix_product(coo([[1, 2], [3, 4]]), coo([[5, 6], [7, 8]]))
+    assert rows(got) == [(0, 0, 19), (0, 1, 22), (1, 0, 43), (1, 1, 50)]
+
+
+def test_pod_labels(spark):
+    pods = spark.createDataFrame(
+        [("n", "p", "h", {"workload_id": "7", "app.x": "y"}), ("n", "q", "h", {"app.x": "y"}),
+         ("n", "r", "h", {"workload_id-a.b": "8"})],
+        "namespace string, pod_name string, host string, labels map<string,string>",
+    )
+    got = {r.pod_name: r.labels for r in inventory.pod_labels(pods).collect()}
+    assert got == {"p": {"label_workload_id": "7"}, "r": {"label_workload_id_a_b": "8"}}
+
+
+def test_ready_nodes(spark):
+    schema = (
+        "labels map<string,string>, conditions array<struct<type:string,status:string>>, "
+        "addresses array<struct<type:string,address:string>>"
+    )
+    ready, not_ready = [("Ready", "True")], [("Ready", "False"), ("DiskPressure", "True")]
+    nodes = spark.createDataFrame(
+        [({}, ready, [("Hostname", "a"), ("InternalIP", "1")]), (None, ready, [("Hostname", "b")]),
+         ({}, not_ready, [("Hostname", "c")]), ({inventory.CONTROL_PLANE: ""}, ready, [("Hostname", "d")])],
+        schema,
+    )
+    assert rows(inventory.ready_nodes(nodes)) == [("a",), ("b",)]
+    assert rows(inventory.ready_nodes(nodes, require_ready=False)) == [("a",), ("b",), ("c",)]
+
+
+def test_upsert_default_key(spark):
+    df = spark.createDataFrame([(100, "s1", 1), (100, "s2", 2)], "readingTS bigint, sensor string, p int")
+    assert rows(catalogue.latest_by_key(df, ["readingTS"], ["p"])) == [(100, "s2", 2)]
+    assert len(rows(catalogue.latest_by_key(df, ["readingTS", "sensor"], ["p"]))) == 2
+
+
+def test_generator_bounds_and_reproducibility(spark):
+    ids = spark.range(5000)
+    values = generate.value_rows(ids, "id", generate.ValueRange(0.0, 9.99), "x", "normal")
+    low, high, hmin, hmax, kinds = values.agg(
+        F.min("temperature"), F.max("temperature"), F.min("humidity"), F.max("humidity"),
+        F.countDistinct("temperature"),
+    ).first()
+    assert (low, high, kinds) == (0, 9, 10) and 0 <= hmin < 0.1 and 9.8 < hmax < 9.99
+    again = generate.value_rows(ids.repartition(3), "id", generate.ValueRange(0.0, 9.99), "x", "normal")
+    assert rows(values) == rows(again)
+
+
+@pytest.mark.parametrize("kind, classes", [("normal", {"normal"}), ("abnormal", {"abnormal"}), ("both", {"normal", "abnormal"})])
+def test_generator_modes(spark, kind, classes):
+    ids = spark.range(5)
+    table = generate.value_table(ids, ids, "id", generate.ValueRange(0, 5), generate.ValueRange(11, 45), "x", kind)
+    assert {r[0] for r in table.select("class").distinct().collect()} == classes
+
+
+@pytest.mark.parametrize("mode, count", [("normal", 40), ("abnormal", 12), ("mixed", 40)])
+@pytest.mark.parametrize("delay, kind", [((1000,), "fixed"), ((1.0, 2.0), "random")])
+def test_generated_telemetry_parses(spark, mode, count, delay, kind):
+    def part(n, name, low, high):
+        return generate.value_rows(spark.range(n), "id", generate.ValueRange(low, high), "x", name)
+
+    sent = generate.telemetry(
+        part(20, "normal", 0, 9), part(6, "abnormal", 11, 44), 2, "pod", mode, 5, delay, kind, 1700000000000, "x"
+    )
+    typed = readings.type_readings(readings.parse_telemetry(sent.select("value")))
+    assert typed.filter("error is not null").count() == 0
+    assert rows(typed.groupBy("sensor").count()) == [("pod-0", count // 2), ("pod-1", count // 2)]
+    if mode == "mixed":
+        hot = {p for p, t in rows(sent, "pos", "temperature") if t > 10}
+        assert hot == {5, 10, 15, 20}
+
+
+def test_catalogue_changes(spark):
+    at = datetime(2024, 1, 1)
+    schema = (
+        "workload_id bigint, username string, workload_name string, duration int, deployment_status string, "
+        "is_completed boolean, created_at timestamp, finished_at timestamp, yaml_workload_id bigint, "
+        "helm_workload_id bigint"
+    )
+    deployed = spark.createDataFrame(
+        [(1, "u", "t", 60, "success", False, at, at, 1, None), (2, "u", "t", 60, "success", None, at, at, None, None)],
+        schema,
+    )
+    later = F.lit(datetime(2024, 1, 2))
+    assert rows(catalogue.complete(deployed, 1, later), "workload_id", F.coalesce("is_completed", F.lit(False))) == [
+        (1, True), (2, False),
+    ]
+    expired = catalogue.expire(deployed, later).filter("workload_id = 1").first()
+    assert expired.is_completed and expired.finished_at == datetime(2024, 1, 1, 0, 1)
+    details = spark.createDataFrame([(4, 2, "n1", None)], "id bigint, replicas int, node_name string, yaml_file_path string")
+    new = spark.createDataFrame(
+        [("v", "t", 30, at, None, None), ("w", "t", 40, at, 3, "n9")],
+        "username string, workload_name string, duration int, created_at timestamp, replicas int, node_name string",
+    )
+    all_deployed, all_details = catalogue.insert_workloads(
+        deployed, details, new, "yaml", ["replicas", "node_name"], ["username"]
+    )
+    assert rows(all_deployed.filter("workload_id > 2"), "workload_id", "username", "yaml_workload_id", "is_completed") == [
+        (3, "v", 5, False), (4, "w", 6, False),
+    ]
+    assert rows(all_details, "id", "replicas", "node_name") == [(4, 2, "n1"), (5, 1, "any"), (6, 3, "n9")]
+
+
+def test_type_choice_prefers_owner_then_admin(spark):
+    columns = ", ".join(f"{c} string" for c in ("workload_name", "created_by", *catalogue.TYPE_COLUMNS))
+    types = spark.createDataFrame(
+        [("t", "admin", "helm", *["A"] * 5), ("t", "u", "yaml", *["U"] * 5), ("t", "b", "yaml", *["B"] * 5)], columns
+    )
+    deployed = spark.createDataFrame([("u", "t"), ("x", "t")], "username string, workload_name string")
+    assert rows(catalogue.with_type(deployed, types), "username", "deploy_method", "helm_chart") == [
+        ("u", "yaml", "U"), ("x", "helm", "A"),
+    ]
+
+
+def test_lookup_of_unknown_key_is_empty(spark):
+    df = spark.createDataFrame([(1, "a")], "id int, name string")
+    assert catalogue.lookup(df, id=1, name="a").count() == 1
+    assert catalogue.lookup(df, id=2).isEmpty()
