@@ -378,3 +378,15 @@ def test_lookup_of_unknown_key_is_empty(spark):
     df = spark.createDataFrame([(1, "a")], "id int, name string")
     assert catalogue.lookup(df, id=1, name="a").count() == 1
     assert catalogue.lookup(df, id=2).isEmpty()
+
+
+@pytest.mark.parametrize("limit", [1, 7, 30, 1000])
+def test_newest(spark, limit):
+    times = [(i * i * 37) % 5000 - 1000 for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(times)), "id bigint, ts bigint")
+    got = [tuple(r) for r in series.newest(df, "ts", limit, ["id"], bucket_ms=100).collect()]
+    assert got == sorted(enumerate(times), key=lambda r: (-r[1], -r[0]))[:limit]
+
+
+def test_head(spark):
+    assert [r.id for r in series.head(spark.range(100).repartition(4), ["id"], 3).collect()] == [0, 1, 2]

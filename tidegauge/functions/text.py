@@ -14,10 +14,14 @@ FLOAT_TEXT = (
 )
 
 
+def second_part(text: Column, separator: str = ":") -> Column:
+    """Text between the first two separators; NULL when there is none."""
+    return F.try_element_at(F.split(text, separator), F.lit(2))
+
+
 def field_after_colon(text: Column, separator: str, position: int) -> Column:
     """Second ``:``-part of the ``position``-th (1-based) part of ``text``; NULL when absent."""
-    part = F.try_element_at(F.split(text, separator), F.lit(position))
-    return F.try_element_at(F.split(part, ":"), F.lit(2))
+    return second_part(F.try_element_at(F.split(text, separator), F.lit(position)))
 
 
 def drop_last(text: Column, n: int) -> Column:
@@ -34,7 +38,9 @@ def to_bigint(text: Column) -> Column:
 
 
 def to_double(text: Column) -> Column:
-    return F.when(text.rlike(FLOAT_TEXT), text.try_cast("double"))
+    # Plain decimals need no pattern; the cast alone decides them.
+    plain = F.translate(text, "0123456789.+-", "") == ""
+    return F.when(plain | text.rlike(FLOAT_TEXT), text.try_cast("double"))
 
 
 def millis_text_to_seconds(text: Column) -> Column:

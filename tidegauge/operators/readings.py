@@ -20,8 +20,8 @@ def _computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add or replace columns that are computed exactly once per row.
 
     A filter over a plain projection is pushed below it together with a copy of the
-    expressions, so parsing would run for the filter and again for the output. A generator
-    over one element is a barrier for that and stays inside code generation.
+    expressions, so parsing would run for each test of the filter and again for the output.
+    A generator over one element is a barrier for that and stays inside code generation.
     """
     kept = [F.col(c) for c in df.columns if c not in columns]
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
@@ -44,21 +44,22 @@ def compose_telemetry(df: DataFrame, raw: str = "value") -> DataFrame:
     return df.withColumn(raw, message)
 
 
-def _positional(raw: Column) -> dict[str, Column]:
+def _positional(raw: str) -> dict[str, Column]:
     values = {
-        name: text.field_after_colon(raw, ",", position)
+        name: text.second_part(F.try_element_at(F.col("_parts"), F.lit(position)))
         for position, name in enumerate(FIELDS, start=1)
     }
     values["sensor"] = text.drop_last(values["sensor"], 1)
     return values
 
 
-def _by_name(raw: Column) -> dict[str, Column]:
-    def extract(pattern: str) -> Column:
-        return F.when(raw.rlike(pattern), F.regexp_extract(raw, pattern, 1))
+def _by_name(raw: str) -> dict[str, Column]:
+    def after(label: str, pattern: str) -> Column:
+        found = F.regexp_substr(F.col(raw), F.lit(label + pattern))
+        return F.substring(found, F.lit(len(label) + 1), F.length(found))
 
-    values = {name: extract(f'"{name}":([^,]*)') for name in FIELDS[:3]}
-    values["sensor"] = extract(r'"sensor":(.*)\}\s*$')
+    values = {name: after(f'"{name}":', "[^,]*") for name in FIELDS[:3]}
+    values["sensor"] = text.drop_last(F.rtrim(after('"sensor":', r".*\}\s*$")), 1)
     return values
 
 
@@ -71,7 +72,11 @@ def parse_telemetry(df: DataFrame, raw: str = "value", mode: str = "positional")
     ``positional`` takes the text between the first two colons of each comma part and
     cuts one character off the sensor. ``regex`` keeps sensor ids that contain a colon.
     """
-    return _computed_once(df, _PARSERS[mode](F.col(raw)))
+    kept = [F.col(c) for c in df.columns if c not in FIELDS]
+    # The comma parts are a column of their own, so the text is split once for four fields.
+    parts = df.withColumn("_parts", F.split(raw, ","))
+    fields = _PARSERS[mode](raw)
+    return parts.select(*kept, *[value.alias(name) for name, value in fields.items()])
 
 
 def type_readings(df: DataFrame) -> DataFrame:

@@ -279,9 +279,36 @@ def sustained(
     )
 
 
-def newest(df: DataFrame, order: Sequence[Column | str], limit: int = 5000) -> DataFrame:
-    """Newest-first listing of at most ``limit`` rows (the log store's answer limit)."""
-    return df.orderBy(*order).limit(limit)
+def newest(
+    df: DataFrame,
+    ts: str,
+    limit: int = 5000,
+    tie: Sequence[str] = (),
+    bucket_ms: int = HOUR_MS,
+) -> DataFrame:
+    """Newest-first listing of at most ``limit`` rows (the log store's answer limit).
+
+    A plain top-k sends up to ``limit`` rows of every scan task to one reducer. Counting
+    rows per hour first gives the time that certainly holds enough of them; only rows from
+    there on are scanned and sorted. The cut-off is one number.
+    """
+    at = _bucket(ts, bucket_ms)
+    seen = Window.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    enough = (
+        df.groupBy(at.alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_seen", F.sum("_rows").over(seen))
+        .filter(F.col("_seen") >= limit)
+        .agg(F.max("_at"))
+        .first()[0]
+    )
+    rows = df if enough is None else df.filter(F.col(ts) >= enough * bucket_ms)
+    return rows.orderBy(F.desc(ts), *[F.desc(c) for c in tie]).limit(limit)
+
+
+def head(df: DataFrame, order: Sequence[Column | str], n: int = 5) -> DataFrame:
+    """First ``n`` rows in an order, for a look at the data."""
+    return df.orderBy(*order).limit(n)
 
 
 def mean_by(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -246,7 +246,7 @@ def retention_filter(v):
 
 @query("preview", "SELECT event_id, ts, host, value FROM metrics ORDER BY event_id LIMIT 5", "metrics")
 def preview(v):
-    return series.newest(v.metrics().select("event_id", "ts", "host", "value"), ["event_id"], 5)
+    return series.head(v.metrics().select("event_id", "ts", "host", "value"), ["event_id"], 5)
 
 
 @query(

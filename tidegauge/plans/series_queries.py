@@ -362,7 +362,7 @@ def alert_disk_space(v):
 )
 def recent_logs(v):
     rows = v.logs().filter((F.col("namespace") == "ns-1") & text.full_match(F.col("wl"), "wl-.*"))
-    return ops.newest(rows.select("event_id", "ms", "pod_name"), [F.desc("ms"), F.desc("event_id")])
+    return ops.newest(rows.select("event_id", "ms", "pod_name"), "ms", tie=["event_id"])
 
 
 @query(

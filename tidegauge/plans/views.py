@@ -35,9 +35,14 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = apply_runtime_conf(spark)
         self.folder = folder
+        self._schemas: dict = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """One driver table; its schema is read from the footer once per query."""
+        path = f"{self.folder}/{name}.parquet"
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     def ev(self, since_s: int | None = None, until_s: int | None = None) -> DataFrame:
         """Events; ``[since_s, until_s)`` is applied to the stored column and reaches the scan."""

@@ -18,12 +18,19 @@ RUNTIME_CONF = {
 }
 
 
+# Settings a running session cannot change.
+STARTUP_CONF = {
+    # Checkpoint files go when the frame that owns them is collected.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def build_session(app: str = "tidegauge", master: str | None = None, **conf: str) -> SparkSession:
     """Create a session. On a cluster leave ``master`` unset and pass sizes through ``conf``."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **STARTUP_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
