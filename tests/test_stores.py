@@ -83,8 +83,9 @@ def test_file_store_replays_without_repeats(spark, readings, tmp_path):
 
 def test_relational_store_numbers_on(spark, readings, tmp_path):
     store = writers.get_store("mysql", str(tmp_path))
-    for batch in (0, 1, 1):
-        store(readings, schemas.INVALID_TABLE, batch)
+    empty = readings.filter("temperature > 1000")
+    for batch, rows_of_batch in ((0, readings), (1, empty), (2, readings), (2, readings)):
+        store(rows_of_batch, schemas.INVALID_TABLE, batch)
     stored = readers.stored_table(spark, f"{tmp_path}/temperature_invalid")
     assert [r[0] for r in rows(stored, "id")] == [1, 2, 3, 4, 5, 6]
     assert dict(stored.dtypes)["readingTS"] == "string" and dict(stored.dtypes)["humidity"] == "float"
@@ -98,20 +99,39 @@ def test_keyed_store(spark, readings, tmp_path, keys, kept):
     store = writers.get_store("cassandra", str(tmp_path), keys=keys)
     store(readings, schemas.VALID_TABLE, 0)
     newer = spark.createDataFrame([(100, 200, "s2", 9, 0.5)], schemas.READING)
-    store(newer, schemas.VALID_TABLE, 1)
-    store(newer, schemas.VALID_TABLE, 1)
-    stored = readers.stored_table(spark, f"{tmp_path}/temperature")
+    for batch in (1, 1):
+        store(newer, schemas.VALID_TABLE, batch)
+    path = f"{tmp_path}/temperature"
+    stored = readers.keyed_table(spark, path, keys)
     assert stored.count() == kept
     assert stored.filter("sensorID = 's2'").first().temperature == 9
-    assert stored.filter("day = '1970-01-02'").count() == 1
+    assert readers.keyed_table(spark, path, keys, first_day="1970-01-02").count() == 1
+    plan = readers.keyed_table(spark, path, keys, last_day="1970-01-01")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
 
 
-def test_upsert_with_many_days_takes_the_join(spark, readings, tmp_path, monkeypatch):
+def test_keyed_store_replay_drops_days_of_the_first_attempt(spark, readings, tmp_path):
     store = writers.keyed_store(str(tmp_path))
     store(readings, schemas.VALID_TABLE, 0)
-    monkeypatch.setattr(writers, "LISTED_DAYS", 1)
-    store(readings.withColumn("process_ts", F.col("process_ts") + 10), schemas.VALID_TABLE, 1)
-    assert readers.stored_table(spark, f"{tmp_path}/temperature").count() == 2
+    store(readings.filter("reading_ts = 100"), schemas.VALID_TABLE, 0)
+    assert readers.keyed_table(spark, f"{tmp_path}/temperature").count() == 1
+
+
+@pytest.mark.parametrize("listed", [1, 4096])
+def test_merge(spark, tmp_path, monkeypatch, listed):
+    """Rows of touched days are replaced, other days stay, repeating changes nothing."""
+    monkeypatch.setattr(writers, "LISTED_DAYS", listed)
+
+    def rows_of(data):
+        return spark.createDataFrame(data, "k bigint, v bigint, day string").withColumn(
+            "day", F.col("day").cast("date")
+        )
+
+    path = str(tmp_path / "t")
+    writers.merge(spark, path, rows_of([(1, 1, "2024-01-01"), (2, 1, "2024-01-02"), (3, 1, "2024-01-03")]), ["k"], ["v"])
+    for _ in range(2):
+        writers.merge(spark, path, rows_of([(2, 5, "2024-01-02"), (4, 1, "2024-01-01")]), ["k"], ["v"])
+    assert rows(spark.read.parquet(path), "k", "v") == [(1, 1), (2, 5), (3, 1), (4, 1)]
 
 
 def test_no_store(readings, tmp_path):

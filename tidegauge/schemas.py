@@ -12,6 +12,8 @@ READING_STORE = (
 READING_KEYED = (
     "readingTS TIMESTAMP, processTS TIMESTAMP, sensorID STRING, temperature INT, humidity FLOAT"
 )
+# Which of two keyed readings is the later write.
+KEYED_ORDER = ("processTS", "sensorID", "temperature", "humidity")
 METRIC_CSV = "timestamp BIGINT, value DOUBLE, host STRING, container_name STRING, pod_name STRING"
 LOG_CSV = "timestamp TIMESTAMP, sensor STRING, status STRING"
 SERIES = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text
+from ..operators.catalogue import latest_by_key
 
 METRIC_LABELS = ("host", "container_name", "pod_name")
 
@@ -67,6 +68,27 @@ def stored_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def keyed_table(
+    spark: SparkSession,
+    path: str,
+    keys: Sequence[str] = ("readingTS",),
+    first_day: str | None = None,
+    last_day: str | None = None,
+) -> DataFrame:
+    """Current rows of a keyed store: the last write per key over all batches.
+
+    The days are partitions and a key lies in one day, so a day range prunes files before
+    the rows are compared.
+    """
+    written = spark.read.schema(f"{schemas.READING_KEYED}, day DATE, batch_id BIGINT").parquet(path)
+    if first_day:
+        written = written.filter(F.col("day") >= F.lit(first_day).cast("date"))
+    if last_day:
+        written = written.filter(F.col("day") <= F.lit(last_day).cast("date"))
+    first, *ties = schemas.KEYED_ORDER
+    return latest_by_key(written, list(keys), [first, "batch_id", *ties]).drop("batch_id")
+
+
 def relational_table(
     spark: SparkSession, url: str, table: str, partition_column: str | None = None, **options: str
 ) -> DataFrame:

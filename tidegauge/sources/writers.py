@@ -45,7 +45,7 @@ def clear(
     ``partition`` is ``day`` for a keyed store.
     """
     nothing = spark.createDataFrame([], f"value STRING, {partition} STRING")
-    for table in tables:
+    for table in (*tables, *[f"_last_id/{t}" for t in tables]):
         nothing.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
             partition
         ).text(f"{root}/{table}")
@@ -71,19 +71,31 @@ def _stored_form(readings: DataFrame) -> DataFrame:
     )
 
 
+def _last_id(spark: SparkSession, root: str, table: str, batch_id: int) -> int:
+    """Highest id before ``batch_id``, from the note of the batch before it.
+
+    Only after a gap in the batch ids are the ids of the table scanned.
+    """
+    note = _exists(spark, batch_folder(f"{root}/_last_id", table, batch_id - 1), "last BIGINT")
+    if note is not None:
+        return note.first().last
+    stored = _exists(spark, f"{root}/{table}", f"{schemas.READING_STORE}, batch_id BIGINT")
+    if stored is None:
+        return 0
+    return stored.filter(F.col("batch_id") < batch_id).agg(F.max("id")).first()[0] or 0
+
+
 def relational_store(root: str) -> Store:
     """Append with a surrogate id, kept as parquet; ids continue after earlier batches."""
 
     def write(readings: DataFrame, table: str, batch_id: int) -> None:
         spark = readings.sparkSession
-        rows = _stored_form(readings)
-        stored = _exists(spark, f"{root}/{table}", f"{schemas.READING_STORE}, batch_id BIGINT")
-        highest = 0
-        if stored is not None:
-            highest = stored.filter(F.col("batch_id") < batch_id).agg(F.max("id")).first()[0] or 0
+        last = _last_id(spark, root, table, batch_id)
         order = ["readingTS", "sensorID", "processTS", "temperature", "humidity"]
-        numbered = sequential_ids(rows, order, "id", highest + 1)
+        numbered = sequential_ids(_stored_form(readings), order, "id", last + 1)
         numbered.write.mode("overwrite").parquet(batch_folder(root, table, batch_id))
+        note = numbered.agg(F.coalesce(F.max("id"), F.lit(last)).alias("last"))
+        note.write.mode("overwrite").parquet(batch_folder(f"{root}/_last_id", table, batch_id))
 
     return write
 
@@ -103,60 +115,72 @@ def jdbc_store(url: str, **options: str) -> Store:
     return write
 
 
+def keyed_store(root: str, keys: Sequence[str] = ("readingTS",)) -> Store:
+    """Keyed table, last write wins; ``readers.keyed_table`` reads it.
+
+    A batch only adds its own folder, by day, with one row per key. Which write is the last
+    is settled when the table is read: a batch never rewrites the days it touches, so its
+    cost does not grow with the table, and no crash can damage earlier batches. Fold old
+    batches together from time to time with ``merge``.
+
+    With the default key, readings of the same second replace each other;
+    ``("readingTS", "sensorID")`` keeps one per sensor.
+    """
+
+    def write(readings: DataFrame, table: str, batch_id: int) -> None:
+        rows = readings.select(
+            F.timestamp_seconds("reading_ts").alias("readingTS"),
+            F.timestamp_seconds("process_ts").alias("processTS"),
+            F.col("sensor").alias("sensorID"),
+            "temperature",
+            F.col("humidity").cast("float").alias("humidity"),
+        ).withColumn("day", F.to_date("readingTS"))
+        latest = latest_by_key(rows, list(keys), list(schemas.KEYED_ORDER))
+        # The folder belongs to this batch: replace all of its days, also after a replay.
+        latest.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+            "day"
+        ).parquet(batch_folder(root, table, batch_id))
+
+    return write
+
+
 LISTED_DAYS = 4096
 
 
-def upsert(
-    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str]
+def merge(
+    spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> None:
-    """Merge ``batch`` into the parquet table at ``path``, last write per key wins.
+    """Merge ``rows`` into the plain parquet table at ``path``, last write per key wins.
 
-    The table is partitioned by ``day``, which must follow from the key. Only days the batch
-    touches are read and replaced. The merged rows are written to the checkpoint folder
-    first: the job must not read the files it replaces.
+    The table is partitioned by ``day``, which must follow from the key. Only days that
+    ``rows`` touch are read and replaced. The merged rows are written to the checkpoint
+    folder first: the job must not read the files it replaces. Repeating a merge changes
+    nothing; keep ``rows`` until it is through.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     stored = _exists(spark, path, schema)
-    merged = batch
+    merged = rows
     if stored is not None:
-        merged = _touched(stored, batch).select(*batch.columns).unionByName(batch)
+        merged = _touched(stored, rows).select(*rows.columns).unionByName(rows)
     merged = cut_lineage(latest_by_key(merged, keys, order))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "day"
     ).parquet(path)
 
 
-def _touched(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows of the days in ``batch``.
+def _touched(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored rows of the days in ``rows``.
 
-    Few days become a literal list that prunes partitions before anything is read. A batch
-    with more days than ``LISTED_DAYS`` is matched by a join instead.
+    Few days become a literal list that prunes partitions before anything is read. More days
+    than ``LISTED_DAYS`` are matched by a join instead.
     """
-    days = batch.select("day").distinct()
+    days = rows.select("day").distinct()
     listed = [row.day for row in days.limit(LISTED_DAYS + 1).collect()]
     if len(listed) <= LISTED_DAYS:
         return stored.filter(F.col("day").isin(listed))
     return stored.join(days, "day", "left_semi")
 
 
-def keyed_store(root: str, keys: Sequence[str] = ("readingTS",)) -> Store:
-    """Keyed upsert. With the default key, readings of the same second replace each other;
-    ``("readingTS", "sensorID")`` keeps one per sensor."""
-
-    def write(readings: DataFrame, table: str, batch_id: int) -> None:
-        rows = readings.select(
-            F.timestamp_seconds("reading_ts").alias("readingTS"),
-            F.timestamp_seconds("process_ts").alias("processTS"),
-            F.col("sensor").alias("sensorID"),
-            "temperature",
-            F.col("humidity").cast("float").alias("humidity"),
-        ).withColumn("day", F.to_date("readingTS"))
-        ties = ["processTS", "sensorID", "temperature", "humidity"]
-        upsert(readings.sparkSession, f"{root}/{table}", rows, list(keys), ties)
-
-    return write
-
-
 def no_store() -> Store:
     """Readings are not kept; actions still go out."""
 
