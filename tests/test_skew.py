@@ -6,6 +6,7 @@ One series holds most rows, many of them at one instant, and values collide heav
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,23 @@ def test_sustained(frame, samples, slice_ms, limit):
     assert rows(got, "*") == sorted(want)
 
 
+def test_unique_input_skips_the_collapse(frame):
+    """Aligned samples give the same results with and without the collapse, with one shuffle less."""
+    grid = series.align(frame, ["s"], "ts", "v", 1000, "id").cache()
+    below = F.col("v") < 12
+    for run in (
+        lambda unique: series.rate(grid, ["s"], "step", "v", 50_000, slice_ms=7000, unique=unique),
+        lambda unique: series.sustained(grid, ["s"], "step", below, 1000, slice_ms=7000, unique=unique),
+    ):
+        with_collapse, without = run(False), run(True)
+        columns = [F.coalesce("s", F.lit("None")), *[c for c in without.columns if c != "s"]]
+        assert rows(without, *columns) == rows(with_collapse, *columns)
+        collapse = r"Exchange hashpartitioning\(s#\d+, step#\d+L, \d+\)"
+        for df, expected in ((with_collapse, True), (without, False)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert bool(re.search(collapse, plan)) is expected
+
+
 def test_repeated_instants_are_combined_before_the_shuffle(spark):
     """A million copies of one instant leave the map side as one row per task."""
     hot = spark.range(0, 1_000_000, 1, 8).select(F.lit("hot").alias("s"), F.lit(5).alias("ts"), "id")

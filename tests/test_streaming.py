@@ -161,7 +161,7 @@ def test_log_counts_equal_batch_once_the_watermark_passed(spark, tmp_path):
 
 def test_live_alerts_equal_batch(spark, tmp_path):
     """Two series over many batches; one run is open across batches and a restart."""
-    ups = {"a": [0] * 12 + [1] + [0] * 4 + [1] * 3, "b": [1, 1] + [0] * 18}
+    ups = {"a,b": [0] * 12 + [1] + [0] * 4 + [1] * 3, "b": [1, 1] + [0] * 18}
     samples = [(name, i * 10 + 3, up) for name, values in ups.items() for i, up in enumerate(values)]
     frame = spark.createDataFrame(samples, "instance string, s bigint, up int").withColumn(
         "ts", F.timestamp_seconds("s")
@@ -173,8 +173,9 @@ def test_live_alerts_equal_batch(spark, tmp_path):
 
     def run():
         src = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        src = src.withColumn("job", F.lit(None).cast("string"))
         alerts.sustained_alerts(
-            src, ["instance"], "ts", F.col("up") == 0, 60_000, str(tmp_path / "out"), str(tmp_path / "cp")
+            src, ["instance", "job"], "ts", F.col("up") == 0, 60_000, str(tmp_path / "out"), str(tmp_path / "cp")
         ).awaitTermination()
 
     write(0, 50)
@@ -186,10 +187,9 @@ def test_live_alerts_equal_batch(spark, tmp_path):
         "ts", F.timestamp_seconds("s")
     ).coalesce(1).write.mode("append").parquet(str(source))
     run()
-    batch = series.sustained(
-        frame.withColumn("step_ms", F.expr("s div 10 * 10000")), ["instance"], "step_ms", F.col("up") == 0, 60_000
-    ).withColumnRenamed("instance", "series")
+    grid = frame.withColumns({"step_ms": F.expr("s div 10 * 10000"), "job": F.lit("")})
+    batch = series.sustained(grid, ["instance", "job"], "step_ms", F.col("up") == 0, 60_000)
     got = spark.read.parquet(str(tmp_path / "out"))
-    columns = ["series", "step_ms", "active_since", "state"]
+    columns = ["instance", "job", "step_ms", "active_since", "state"]
     assert rows(got, *columns) == rows(batch, *columns)
     assert got.filter("state = 'firing'").count() > 0

@@ -71,6 +71,8 @@ def value_table(
 
 def fan_out(df: DataFrame, sensors: int, pod: str) -> DataFrame:
     """Repeat every row for each sensor ``{pod}-{n}``; a generator, so there is no join."""
+    if sensors < 1:
+        raise ValueError("at least one sensor is needed")
     number = F.explode(F.sequence(F.lit(0), F.lit(sensors - 1)))
     return df.withColumn("_n", number).withColumn(
         "sensor", F.concat(F.lit(f"{pod}-"), F.col("_n").cast("string"))

@@ -122,6 +122,8 @@ def inject_every_nth(
     """
     if on_exhausted not in ("fail", "keep"):
         raise ValueError("on_exhausted must be 'fail' or 'keep'")
+    if n < 1:
+        raise ValueError("n must be at least 1")
     shared = not all(column in abnormal.columns for column in by)
     abnormal_by = [] if shared else list(by)
     target = positions(normal, by, seq, chunk_rows=chunk_rows)

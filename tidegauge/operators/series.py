@@ -26,13 +26,21 @@ def _bucket(ts: str, width: int, shift: int = 0) -> Column:
 
 
 def instants(
-    df: DataFrame, series: Sequence[str], ts: str, value: str, tie: str | None = None
+    df: DataFrame,
+    series: Sequence[str],
+    ts: str,
+    value: str,
+    tie: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """One sample per series and instant; of several the one with the highest ``tie`` wins.
 
     ``max_by`` over fixed-width columns is a hash aggregation with map-side combine, so
-    many copies of one instant never travel.
+    many copies of one instant never travel. ``unique`` says that the input already has one
+    sample per instant, as aligned samples do, and saves this shuffle.
     """
+    if unique:
+        return df.select(*series, ts, value)
     last = F.max_by(value, tie) if tie else F.max(value)
     return df.groupBy(*series, ts).agg(last.alias(value))
 
@@ -74,14 +82,17 @@ def rate(
     window_ms: int,
     tie: str | None = None,
     slice_ms: int = HOUR_MS,
+    unique: bool = False,
 ) -> DataFrame:
     """Counter increase and rate per second of each series in tumbling windows.
 
     A smaller value than before is a counter reset and counts in full. The rate is the sum
     of increases between the first and the last sample of the window over their distance,
     without extrapolation to the window edges; a window with one sample gives no row.
+    ``unique``: see ``instants``.
     """
-    samples = instants(df.filter(F.col(value).isNotNull()), series, ts, value, tie).withColumns(
+    present = df.filter(F.col(value).isNotNull())
+    samples = instants(present, series, ts, value, tie, unique).withColumns(
         {"_win": _bucket(ts, window_ms), "_slice": _bucket(ts, slice_ms)}
     )
 
@@ -195,7 +206,8 @@ def sustained(
     condition: Column,
     hold_ms: int,
     tie: str | None = None,
-    slice_ms: int = 24 * HOUR_MS,
+    slice_ms: int = HOUR_MS,
+    unique: bool = False,
 ) -> DataFrame:
     """Samples whose condition holds, with ``active_since`` and ``state``.
 
@@ -207,9 +219,8 @@ def sustained(
     that is open at the end of each slice, and slices that are true throughout pass it on.
     """
     # Both branches below use the same columns, so Spark computes the shuffled slices once.
-    samples = instants(
-        df.withColumn("_true", F.coalesce(condition, F.lit(False))), series, ts, "_true", tie
-    ).select(
+    tested = df.withColumn("_true", F.coalesce(condition, F.lit(False)))
+    samples = instants(tested, series, ts, "_true", tie, unique).select(
         F.struct(
             F.struct(*[F.col(c) for c in series]).alias("series"), _bucket(ts, slice_ms).alias("at")
         ).alias("_key"),

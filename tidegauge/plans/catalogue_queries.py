@@ -293,3 +293,37 @@ def wl_redeploy_spec(v):
         for c in ("replicas", "node_name", "repo_name", "repo_url", "chart_name", "chart_version", "set_values")
     ]
     return spec.select("workload_id", "deploy_method", "type", "duration", *blank)
+
+
+@query(
+    "wl_insert",
+    """WITH n AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer),
+       top AS (SELECT max(workload_id) AS wid FROM wl_deployed), ytop AS (SELECT max(id) AS yid FROM wl_yaml)
+       SELECT workload_id, username, duration, CASE WHEN workload_id % 3 = 0 THEN workload_id ELSE -1 END AS yaml_id,
+         coalesce(is_completed::VARCHAR, '') AS is_completed FROM wl_deployed
+       UNION ALL SELECT wid + rn, 'user-' || c_custkey::VARCHAR, 60, yid + rn, 'false' FROM n, top, ytop""",
+    "wl_deployed",
+    "wl_yaml",
+)
+def wl_insert(v):
+    """Every customer deploys one workload more."""
+    key = F.col("c_custkey")
+    new = v.table("customer").select(
+        F.concat(F.lit("user-"), key.cast("string")).alias("username"),
+        F.lit("type-1").alias("workload_name"),
+        F.lit(60).alias("duration"),
+        F.timestamp_seconds(F.lit(ASOF)).alias("created_at"),
+        F.lit(None).cast("int").alias("replicas"),
+        F.lit(None).cast("string").alias("node_name"),
+        "c_custkey",
+    )
+    deployed, _ = ops.insert_workloads(
+        v.deployed(), v.yaml(), new, "yaml", ["replicas", "node_name"], ["c_custkey"]
+    )
+    return deployed.select(
+        "workload_id",
+        "username",
+        "duration",
+        F.coalesce("yaml_workload_id", F.lit(-1)).alias("yaml_id"),
+        F.coalesce(F.col("is_completed").cast("string"), F.lit("")).alias("is_completed"),
+    )

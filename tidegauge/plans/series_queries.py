@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import inventory, joins, series as ops
+from ..sources import readers
 from .registry import query
 from .views import EPOCH
 
@@ -134,7 +135,9 @@ def pod_labels(v):
         .when(kind == "purchase", F.map_concat(name, workload, run))
         .otherwise(F.map_concat(name, workload))
     )
-    pods = v.metrics().select("namespace", "pod_name", "host", labels.alias("labels"))
+    # The inventory lists a pod once, so its rows are distinct before maps are built.
+    listed = v.metrics().select("namespace", "pod_name", "host", "wl", "container_name").distinct()
+    pods = listed.select("namespace", "pod_name", "host", labels.alias("labels"))
     kept = inventory.pod_labels(pods)
     return kept.select(
         "namespace", "pod_name", "host", F.explode("labels").alias("label", "value")
@@ -380,3 +383,74 @@ def experiment_union(v):
 
     containers = {"pods-50": "click", "pods-80": "view", "pods-110": "purchase"}
     return ops.combine_experiments({name: experiment(c) for name, c in containers.items()})
+
+
+@query(
+    "metric_rows_typed",
+    """SELECT ms // 1000 AS timestamp, value, 'worker' || (user_id % 3 + 1)::VARCHAR AS host, event_type AS pod_name
+       FROM ev WHERE event_type <> 'signup'""",
+    "ev",
+)
+def metric_rows_typed(v):
+    """Text rows of an export in which every ``signup`` row is a repeated header."""
+    header = F.col("container_name") == "signup"
+
+    def cell(name, column):
+        return F.when(header, F.lit(name)).otherwise(column.cast("string")).alias(name)
+
+    raw = v.metrics().select(
+        cell("timestamp", F.col("ts")),
+        cell("value", F.col("value") / 1_000_000),
+        cell("host", F.col("host")),
+        cell("pod_name", F.col("container_name")),
+    )
+    typed = readers.typed_metrics(raw)
+    return typed.select("timestamp", F.round("value", 2).alias("value"), "host", "pod_name")
+
+
+@query(
+    "log_text_times",
+    """SELECT event_id, CASE WHEN event_type = 'error' THEN -1 ELSE ms // 1000 END AS at FROM ev""",
+    "ev",
+)
+def log_text_times(v):
+    """Log times as text; the ones of ``error`` rows are damaged."""
+    at = F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd HH:mm:ss")
+    raw = v.ev().select(
+        "event_id", F.when(F.col("event_type") == "error", "no time").otherwise(at).alias("timestamp")
+    )
+    timed = readers.timed_logs(raw)
+    return timed.select(
+        "event_id", F.coalesce(F.unix_timestamp("timestamp"), F.lit(-1)).alias("at")
+    )
+
+
+@query(
+    "alert_aligned",
+    """SELECT instance, step, active_since, CASE WHEN step - active_since >= 21600000 THEN 'firing'
+         ELSE 'pending' END AS state
+       FROM (SELECT *, min(step) FILTER (WHERE active) OVER (PARTITION BY instance, island) AS active_since FROM
+         (SELECT *, sum(CASE WHEN active THEN 0 ELSE 1 END) OVER (PARTITION BY instance ORDER BY step) AS island
+          FROM (SELECT instance, ms // 10000 * 10000 AS step,
+                  arg_max(up = 0, (ms - 1704067200000) * 100000000 + event_id) AS active
+                FROM health GROUP BY ALL)))
+       WHERE active""",
+    "health",
+)
+def alert_aligned(v):
+    """The alert as a metric server sees it: samples on the collection grid first."""
+    grid = ops.align(v.health(), ["instance"], "ms", "up", 10_000, "event_id")
+    return ops.sustained(grid, ["instance"], "step", F.col("up") == 0, 21_600_000, unique=True)
+
+
+@query(
+    "network_by_workload",
+    f"""WITH rates AS ({_rate_sql("counter", "t").replace("pod_name", "namespace, host, pod_name")})
+       SELECT r.*, i.label_workload_id FROM rates r JOIN pod_info i USING (namespace, host, pod_name)""",
+    "metrics",
+    "pod_info",
+)
+def network_by_workload(v):
+    """Rate of each pod with the workload it belongs to."""
+    rates = ops.rate(v.metrics(), list(joins.POD_KEYS), "ms", "counter", DAY_MS, "event_id")
+    return joins.label_join(rates.withColumn("rate", F.round("rate", 9)), v.pod_info())

@@ -110,6 +110,26 @@ def send_times(v):
     return numbering.send_times(rows, DELAYS_MS, ["sensor"], "event_id")
 
 
+_RANDOM_DELAY = (
+    f"CAST(round({_draw('s4:delay', "sensor || '#' || ((pos - 1) % 10)::VARCHAR")} * 1000.0 + 1000.0) AS BIGINT)"
+)
+
+
+@query(
+    "send_times_random",
+    f"""SELECT event_id, pos, CAST(coalesce(sum(delay) OVER (PARTITION BY sensor ORDER BY pos
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS send_offset
+       FROM (SELECT *, {_RANDOM_DELAY} AS delay
+         FROM (SELECT event_id, sensor, row_number() OVER (PARTITION BY sensor ORDER BY event_id) AS pos FROM readings))""",
+    "readings",
+)
+def send_times_random(v):
+    """Ten random delays between one and two seconds per sensor, repeated."""
+    rows = numbering.positions(v.readings().select("event_id", "sensor"), ["sensor"], "event_id")
+    offset = generate.random_offset(F.col("pos"), F.col("sensor"), 1, 2, "s4")
+    return rows.select("event_id", "pos", offset.alias("send_offset"))
+
+
 @query(
     "inject_every_nth",
     """WITH n AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY event_id) AS pos FROM readings

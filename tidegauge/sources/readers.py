@@ -36,8 +36,13 @@ def metric_csv(
     """
     layout = ", ".join(f"`{c}` STRING" for c in columns)
     raw = spark.read.option("header", True).option("enforceSchema", False).schema(layout).csv(path)
+    return typed_metrics(raw)
+
+
+def typed_metrics(raw: DataFrame) -> DataFrame:
+    """Type metric rows read as text; repeated header rows have no number as time and go."""
     labels = [
-        F.col(c) if c in columns else F.lit(None).cast("string").alias(c) for c in METRIC_LABELS
+        F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in METRIC_LABELS
     ]
     typed = raw.select(
         text.to_bigint(F.col("timestamp")).alias("timestamp"),
@@ -55,6 +60,11 @@ def log_csv(spark: SparkSession, path: str, pattern: str | None = None) -> DataF
         .schema("timestamp STRING, sensor STRING, status STRING")
         .csv(path)
     )
+    return timed_logs(raw, pattern)
+
+
+def timed_logs(raw: DataFrame, pattern: str | None = None) -> DataFrame:
+    """Text times of log rows to TIMESTAMP; a text that is no time gives NULL."""
     at = F.try_to_timestamp("timestamp", F.lit(pattern)) if pattern else F.try_to_timestamp("timestamp")
     return raw.withColumn("timestamp", at)
 

@@ -18,13 +18,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from .jobs import BATCH, _start
 
-ALERT_SCHEMA = "series STRING, step_ms BIGINT, active_since BIGINT, state STRING"
+STATE_COLUMNS = ("step_ms", "active_since", "state")
 
 
 class RunState(StatefulProcessor):
     """Follows the open run of each series over its aligned samples."""
 
-    def __init__(self, hold_ms: int):
+    def __init__(self, series: Sequence[str], hold_ms: int):
+        self.columns = [*series, *STATE_COLUMNS]
         self.hold_ms = hold_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -40,13 +41,13 @@ class RunState(StatefulProcessor):
                 continue
             since = step if since is None else since
             state = "firing" if step - since >= self.hold_ms else "pending"
-            out.append((key[0], step, since, state))
+            out.append((*key, step, since, state))
         if since is None:
             self.since.clear()
         else:
             self.since.update((since,))
         if out:
-            yield pd.DataFrame(out, columns=["series", "step_ms", "active_since", "state"])
+            yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
@@ -60,14 +61,17 @@ def aligned_condition(
     step: str = "10 seconds",
     delay: str = "1 minute",
 ) -> DataFrame:
-    """Condition of the last sample of each series and step, as ``series, step_ms, active``."""
-    labels = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in series])
+    """Condition of the last sample of each series and step: labels, ``step_ms``, ``active``.
+
+    Labels become text; an absent label equals the empty one.
+    """
+    labels = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in series]
     return (
         samples.withColumn("_active", F.coalesce(condition, F.lit(False)))
         .withWatermark(ts, delay)
-        .groupBy(labels.alias("series"), F.window(ts, step).alias("_step"))
+        .groupBy(*labels, F.window(ts, step).alias("_step"))
         .agg(F.max_by("_active", F.struct(ts, "_active")).alias("active"))
-        .select("series", F.unix_millis(F.col("_step.start")).alias("step_ms"), "active")
+        .select(*series, F.unix_millis(F.col("_step.start")).alias("step_ms"), "active")
     )
 
 
@@ -88,9 +92,10 @@ def sustained_alerts(
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     aligned = aligned_condition(samples, series, ts, condition, step, delay)
-    states = aligned.groupBy("series").transformWithStateInPandas(
-        statefulProcessor=RunState(hold_ms),
-        outputStructType=ALERT_SCHEMA,
+    labels = ", ".join(f"`{c}` STRING" for c in series)
+    states = aligned.groupBy(*series).transformWithStateInPandas(
+        statefulProcessor=RunState(series, hold_ms),
+        outputStructType=f"{labels}, step_ms BIGINT, active_since BIGINT, state STRING",
         outputMode="Append",
         timeMode="None",
     )
