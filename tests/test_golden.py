@@ -189,11 +189,8 @@ def test_send_offsets(spark):
 
 
 def test_random_offsets_follow_the_cycle(spark):
-    df = spark.range(1, 25).select(
-        F.col("id").alias("pos"),
-        generate.random_offset(F.col("id"), F.lit("pod-1"), 1, 2, "x").alias("at"),
-    )
-    at = [a for _, a in rows(df)]
+    df = spark.range(1, 25).select(F.col("id").alias("pos"), F.lit("pod-1").alias("sensor"))
+    at = [a for _, a in rows(generate.with_random_offset(df, 1, 2, "x"), "pos", "send_offset")]
     gaps = [b - a for a, b in zip(at, at[1:])]
     assert at[0] == 0 and all(1000 <= g <= 2000 for g in gaps)
     assert gaps[:10] == gaps[10:20] and len(set(gaps[:10])) > 5

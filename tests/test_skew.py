@@ -128,7 +128,7 @@ def test_sustained(frame, samples, slice_ms, limit):
 
 def test_unique_input_skips_the_collapse(frame):
     """Aligned samples give the same results with and without the collapse, with one shuffle less."""
-    grid = series.align(frame, ["s"], "ts", "v", 1000, "id").cache()
+    grid = series.align(frame, ["s"], "ts", "v", 1000, "id").repartition(3).cache()
     below = F.col("v") < 12
     for run in (
         lambda unique: series.rate(grid, ["s"], "step", "v", 50_000, slice_ms=7000, unique=unique),

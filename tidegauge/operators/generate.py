@@ -79,24 +79,32 @@ def fan_out(df: DataFrame, sensors: int, pod: str) -> DataFrame:
     ).drop("_n")
 
 
-def random_offset(pos: Column, sensor: Column, low_s: float, high_s: float, seed: str) -> Column:
-    """Send offset in ms under a sensor's own cyclic list of ten random delays."""
-    delays = F.transform(
-        F.sequence(F.lit(0), F.lit(RANDOM_DELAYS - 1)),
-        lambda i: F.round(
+def with_random_offset(
+    df: DataFrame, low_s: float, high_s: float, seed: str, name: str = "send_offset"
+) -> DataFrame:
+    """Add the send offset in ms under a sensor's own cyclic list of ten random delays.
+
+    Columns: sensor, pos. The ten delays of a row's sensor are drawn once per row; their
+    sums give every offset, so there is neither a join nor a running sum.
+    """
+    names = [f"_delay{i}" for i in range(RANDOM_DELAYS)]
+    draws = {
+        name: F.round(
             uniform_float(
-                F.concat(sensor, F.lit("#"), i.cast("string")), low_s * 1000, high_s * 1000, f"{seed}:delay"
+                F.concat(F.col("sensor"), F.lit(f"#{i}")), low_s * 1000, high_s * 1000, f"{seed}:delay"
             )
-        ).cast("bigint"),
-    )
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-
-    before = pos - 1
+        ).cast("bigint")
+        for i, name in enumerate(names)
+    }
+    # sums[i] is the time before the i-th message of a round, the last one the whole round.
+    sums = [F.lit(0).cast("bigint")]
+    for column in names:
+        sums.append(sums[-1] + F.col(column))
+    before = F.col("pos") - 1
     rest = F.pmod(before, F.lit(RANDOM_DELAYS)).cast("int")
     rounds = F.floor((before - rest) / RANDOM_DELAYS).cast("bigint")
-    return rounds * total(delays) + total(F.slice(delays, F.lit(1), rest))
+    offset = rounds * sums[-1] + F.element_at(F.array(*sums[:-1]), rest + 1)
+    return df.withColumns(draws).withColumn(name, offset).drop(*names)
 
 
 def telemetry(
@@ -135,12 +143,12 @@ def telemetry(
         rows = numbering.positions(source.withColumn("_file", F.lit(0)), ["_file"], "row_id").drop("_file")
     rows = fan_out(rows, sensors, pod)
     if delay_type == "fixed":
-        offset = numbering.cyclic_offsets(F.col("pos"), list(delay))
+        rows = rows.withColumn("send_offset", numbering.cyclic_offsets(F.col("pos"), list(delay)))
     elif delay_type == "random":
-        offset = random_offset(F.col("pos"), F.col("sensor"), delay[0], delay[1], seed)
+        rows = with_random_offset(rows, delay[0], delay[1], seed)
     else:
         raise ValueError("delay_type must be 'fixed' or 'random'")
-    timed = rows.withColumn("measurement_ts", F.lit(start_ms).cast("bigint") + offset)
+    timed = rows.withColumn("measurement_ts", F.lit(start_ms).cast("bigint") + F.col("send_offset"))
     return readings.compose_telemetry(timed).select(
         "sensor", "pos", "measurement_ts", "temperature", "humidity", "value"
     )

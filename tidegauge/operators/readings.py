@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..schemas import ACTUATOR_ID, TOPIC_KEY
+from ..schemas import ACTUATOR_ID, TOPIC_KEY, TOPIC_VALUE
 
 FIELDS = ("measurement_ts", "temperature", "humidity", "sensor")
 
@@ -166,20 +166,25 @@ def action_delay(df: DataFrame, received_ms: Column) -> DataFrame:
     )
 
 
+def parsed_rows(df: DataFrame, parsed: bool = True) -> DataFrame:
+    """Rows in which all four fields were found, or the others."""
+    found = ~F.greatest(*[F.col(name).isNull() for name in FIELDS])
+    flagged = _computed_once(df, {"_found": found})
+    return flagged.filter(F.col("_found") == parsed).drop("_found")
+
+
 def to_topic(df: DataFrame, key: str = TOPIC_KEY) -> DataFrame:
     """Parsed text fields as a keyed JSON record; unparsed rows are left out."""
-    parsed = df.filter(~F.greatest(*[F.col(name).isNull() for name in FIELDS]))
-    return parsed.select(
+    return parsed_rows(df).select(
         F.lit(key).alias("key"), F.to_json(F.struct(*[F.col(n) for n in FIELDS])).alias("value")
     )
 
 
 def from_topic(df: DataFrame, value: str = "value") -> DataFrame:
     """Four text fields of a JSON topic record; a damaged record gives four NULLs."""
-    parsed = F.from_json(F.col(value), "measurement_ts STRING, temperature STRING, humidity STRING, sensor STRING")
-    return df.withColumn("_record", parsed).select(
-        *[c for c in df.columns if c not in FIELDS], *[F.col(f"_record.{n}").alias(n) for n in FIELDS]
-    )
+    kept = [F.col(c) for c in df.columns if c not in FIELDS]
+    record = F.from_json(F.col(value), TOPIC_VALUE).alias("_record")
+    return df.select(*kept, record).select(*kept, "_record.*")
 
 
 def with_severity(df: DataFrame, duration: str, warn: float = 15, error: float = 20) -> DataFrame:

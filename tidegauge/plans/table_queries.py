@@ -126,8 +126,7 @@ _RANDOM_DELAY = (
 def send_times_random(v):
     """Ten random delays between one and two seconds per sensor, repeated."""
     rows = numbering.positions(v.readings().select("event_id", "sensor"), ["sensor"], "event_id")
-    offset = generate.random_offset(F.col("pos"), F.col("sensor"), 1, 2, "s4")
-    return rows.select("event_id", "pos", offset.alias("send_offset"))
+    return generate.with_random_offset(rows, 1, 2, "s4").select("event_id", "pos", "send_offset")
 
 
 @query(

@@ -41,8 +41,7 @@ def bridge(
         parsed = readings.parse_telemetry(batch.select("value"))
         sink(readings.to_topic(parsed, key), batch_id)
         if dead is not None:
-            missing = F.greatest(*[F.col(c).isNull() for c in readings.FIELDS])
-            dead(parsed.filter(missing).select("value"), batch_id)
+            dead(readings.parsed_rows(parsed, False).select("value"), batch_id)
 
     return _start(src.writeStream.foreachBatch(write), checkpoint, trigger)
 
