@@ -11,7 +11,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import numbering, series
+from tidegauge.operators import joins, numbering, series
 
 
 def rows(df, *columns):
@@ -159,3 +159,56 @@ def test_hot_group_is_spread_over_chunks(spark):
     assert got.filter(F.col("pos") != F.col("id") + 1).count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "div 1000" in plan and "SinglePartition" not in plan
+
+
+@pytest.fixture
+def small_skew_limits(spark):
+    """No broadcast, and skew limits that fit test data."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_label_join_splits_a_hot_pod(spark, small_skew_limits):
+    pod = F.when(F.col("id") % 5 > 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id") % 50))
+    samples = spark.range(0, 100_000, 1, 8).select(
+        "id", F.lit("n").alias("namespace"), F.lit("h").alias("host"), pod.alias("pod_name")
+    )
+    info = samples.select("namespace", "host", "pod_name").distinct().withColumn(
+        "label_workload_id", F.concat(F.lit("w-"), "pod_name")
+    )
+    joined = joins.label_join(samples, info)
+    assert "skew=true" in final_plan(joined)
+    assert joined.count() == 100_000
+    assert joined.filter(F.col("label_workload_id") != F.concat(F.lit("w-"), "pod_name")).count() == 0
+
+
+def test_window_join_splits_a_hot_workload(spark, small_skew_limits):
+    samples = spark.range(0, 60_000, 1, 8).select(
+        "id",
+        F.when(F.col("id") % 5 > 0, F.lit("hot")).otherwise(F.concat(F.lit("w"), F.col("id") % 50)).alias("wl"),
+        F.lit("n").alias("ns"),
+        (F.col("id") % 5000).alias("ts"),
+    )
+    workloads = samples.select("wl", "ns").distinct().select(
+        "wl", "ns", F.lit(1000).cast("bigint").alias("created_s"), F.lit(2000).alias("duration"),
+        F.col("wl").alias("workload"),
+    )
+    joined = joins.window_join(samples, workloads, "ts", ["wl", "ns"])
+    assert "skew=true" in final_plan(joined)
+    inside = samples.filter(F.col("ts").between(940, 3060)).count()
+    assert joined.count() == inside and joined.filter("wl <> workload").count() == 0
