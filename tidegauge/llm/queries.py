@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .compression_classifier import op4_compression_quality
 from .quality_rules import op9_quality_rules
 from .sentencepiece_codec import op2_sentencepiece
 from .sharding import op1_shard_bytes
 from .simhash import op8_simhash
+from .suffix_dedup import op6_suffix_dedup
+from .topk import OP5_SQL, op5_segment_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_bytes": op1_shard_bytes,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_compression_quality": op4_compression_quality,
+    "op5_segment_topk": op5_segment_topk,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_segment_topk": OP5_SQL}
