@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import running, table
+from .shared import running, table, written
 
 
 def text_bytes(text: Column) -> Column:
@@ -27,14 +27,11 @@ def shard_by_bytes(
     agree in ``order`` may swap places. Nulls in ``order`` come first. No rows give no rows.
     """
     kept = [c for c in rows.columns if c not in ("shard", "slot", "position", "before")]
-    placed = running(rows.select(*kept), order, {"before": size})
-    total = rows.agg(F.sum(size).alias("_total"))
+    placed = written(running(rows.select(*kept), order, {"before": size}))
+    total = placed.agg(F.sum(size)).first()[0] or 1
     middle = (F.lit(2) * F.col("before") + F.col(size)).cast("decimal(38,0)") * shards
-    cut = placed.join(F.broadcast(total)).withColumn(  # one row
-        "shard",
-        F.least(
-            F.floor(middle / (F.lit(2) * F.col("_total")).cast("decimal(20,0)")), F.lit(shards - 1)
-        ).cast("int"),
+    cut = placed.withColumn("_wide", middle).withColumn(
+        "shard", F.least(F.expr(f"_wide div cast({2 * total} as decimal(38,0))"), F.lit(shards - 1)).cast("int")
     )
     first = cut.groupBy("shard").agg(F.min("position").alias("_first"))
     numbered = cut.join(F.broadcast(first), "shard")  # at most `shards` rows
