@@ -216,10 +216,18 @@ def near_links(prints: DataFrame, most: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = 3, most: int = 3, seed: int = 42
+    docs: DataFrame,
+    id_: str = "doc_id",
+    text: str = "text",
+    shingle: int = 3,
+    most: int = 3,
+    seed: int = 42,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows (id, fingerprint long, component_id): documents whose fingerprints are connected.
 
+    ``keep`` names further columns to return.
+
     Fingerprints link at ``most`` or fewer differing bits; a component holds all that links reach.
     ``component_id`` is its smallest id; ids that are null are never it (null if there is no other).
     Equal fingerprints are searched once, however many documents have them. Null and empty texts
@@ -228,14 +236,14 @@ def near_duplicates(
     """
     if not 0 <= most < BITS:
         raise ValueError("most must be a number of bits from 0 to 63")
-    prints = written(with_fingerprints(docs.select(id_, text), shingle, seed, text))
+    prints = written(with_fingerprints(docs.select(id_, text, *keep), shingle, seed, text))
     nodes = written(prints.groupBy("fingerprint").agg(F.min(id_).alias("least")))
     found = components(near_links(nodes.select("fingerprint"), most))
     joined = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     joined = joined.withColumn("root", F.coalesce("root", "fingerprint"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(named, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(id_, "fingerprint", "component_id")
+    return prints.join(named, "fingerprint").select(id_, "fingerprint", "component_id", *keep)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
 from .shared import partitions, table
 
@@ -219,6 +219,7 @@ def remove_repeats(
     match: int = 50,
     q: int = 20,
     part_bytes: int = 8 << 20,
+    as_text: bool = False,
 ) -> DataFrame:
     """Replace the text by what is left without strings that a document with a smaller id has, too.
 
@@ -226,7 +227,8 @@ def remove_repeats(
     ``q`` + 62) that also starts in a document with a smaller id; strings are judged on the
     texts as given and never cross documents. Adds ``n_bytes`` (long), ``kept`` (binary: bytes may end
     inside a character) and ``spans`` (array of start and length of what went). Null and
-    empty texts keep nothing and lose nothing. A null id is neither smaller nor larger than others: such
+    empty texts keep nothing and lose nothing. With ``as_text``, ``kept`` is a string without the
+    characters that lost a part of their bytes. A null id is neither smaller nor larger than others: such
     rows lose nothing. Rows of one id don't cut each other. Repeated rows stay repeated. Other columns
     stay; columns with the names added are replaced. The id must be a long.
     """
@@ -323,13 +325,13 @@ def remove_repeats(
         left, spans = [], []
         for i, t in enumerate(frame["_text"]):
             l, p = _cut(t, cuts[i], match) if i in cuts else (t, [])
-            left.append(l)
+            left.append(l.decode(errors="ignore") if as_text else l)
             spans.append([{"start": a, "length": b} for a, b in p])
         sizes = frame["_text"].map(len)
         return frame[kept].assign(n_bytes=sizes, kept=left, spans=spans)[out_names]
 
     span = StructType().add("start", LongType()).add("length", LongType())
-    schema = docs.select(*kept).schema.add("n_bytes", LongType()).add("kept", BinaryType())
+    schema = docs.select(*kept).schema.add("n_bytes", LongType()).add("kept", StringType() if as_text else BinaryType())
     schema = schema.add("spans", ArrayType(span))
     texts = keyed.groupBy("_part")
     sent = texts.applyInPandas(send_buckets, "bucket long, _part long, tags binary")
