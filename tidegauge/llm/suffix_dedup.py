@@ -32,7 +32,7 @@ _BITS = 20  # positions in a buffer
 _LOW = np.uint64((1 << _BITS) - 1)
 #: Bytes of a piece of text that is worked on at once; a buffer has at most two pieces' size.
 _PIECE = 1 << (_BITS - 1)
-_TAG_BITS = 24  # of a q-gram's hash: the rest travels
+_TAG_BITS = 32  # low bits of a q-gram's hash, which name its bucket; the others travel
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ class Stretches:
 
 def _tags(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket number, what travels of the hash) of q-grams."""
-    low = (grams & np.uint64((1 << _TAG_BITS) - 1)) % np.uint64(buckets)
+    low = grams & np.uint64(buckets - 1)
     return low.astype(np.int64), grams >> np.uint64(_TAG_BITS)
 
 
@@ -171,18 +171,46 @@ def _shared_buckets(blobs: pd.DataFrame) -> pd.DataFrame:
     return out[out["tags"].map(len) > 0]
 
 
+class Sent:
+    """Distinct stretches that a part sends to one bucket group, as one compressed value."""
+
+    @staticmethod
+    def pack(tag: np.ndarray, print_: np.ndarray, doc: np.ndarray, texts: list[bytes]) -> bytes:
+        import zstandard
+
+        sizes = np.array([len(t) for t in texts], dtype="<u2")
+        parts = [np.uint32(len(texts)).tobytes(), tag.astype("<u4").tobytes(), print_.tobytes()]
+        parts += [doc.astype("<i8").tobytes(), sizes.tobytes(), *texts]
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+    def __init__(self, blob: bytes):
+        import zstandard
+
+        data = zstandard.ZstdDecompressor().decompress(blob)
+        n, at = int(np.frombuffer(data, "<u4", 1)[0]), 4
+        found = []
+        for kind in ("<u4", "<u8", "<i8", "<u2"):
+            found.append(np.frombuffer(data, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        self.tag, self.print, self.doc, sizes = found
+        ends = (at + np.cumsum(sizes, dtype=np.int64)).tolist()
+        self.texts = [data[a:b] for a, b in zip([at, *ends], ends)]
+
+
 def _decide(rows: pd.DataFrame, match: int) -> pd.DataFrame:
-    """Which strings of each part's stretches also start in a smaller document.
+    """Which strings of each part's stretches also start in a smaller document, per part.
 
-    ``mask`` holds a bit per string of the stretch, for the part's smallest document with it.
+    ``masks`` holds a bit per string of each stretch of ``prints``, for the part's smallest document with it.
     """
-    doc = rows["doc"].to_numpy()
-    code, stretch = pd.factorize(rows["stretch"])
+    sent = [Sent(b) for b in rows["stretches"]]
+    ends = np.cumsum([len(x.texts) for x in sent])
+    doc = np.concatenate([x.doc for x in sent])
+    code, stretch = pd.factorize(np.array([t for x in sent for t in x.texts], dtype=object))
     least = np.full(len(stretch), np.iinfo(np.int64).max)
     np.minimum.at(least, code, doc)
     size = np.array([len(s) for s in stretch]) - match + 1
     gram = np.zeros(len(stretch), dtype=np.int64)
-    gram[code] = rows["gram"].to_numpy()
+    gram[code] = np.concatenate([x.tag for x in sent])
     # Stretches that share their q-gram with another one may share some of their strings with it.
     _, where, count = np.unique(gram, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(count[where] > 1)
@@ -197,8 +225,12 @@ def _decide(rows: pd.DataFrame, match: int) -> pd.DataFrame:
         np.minimum.at(smallest, string, least[owner])
         np.bitwise_or.at(mask, owner, np.where(smallest[string] < least[owner], 1 << step, 0))
     mask = np.where(doc > least[code], (1 << size[code]) - 1, mask[code])
-    out = pd.DataFrame({"_part": rows["_part"], "print": rows["print"], "mask": mask})
-    return out[out["mask"] != 0]
+    out = []
+    for part, x, own in zip(rows["_part"], sent, np.split(mask, ends[:-1])):
+        hit = own != 0
+        if hit.any():
+            out.append((part, x.print[hit].tobytes(), own[hit].astype("<i8").tobytes()))
+    return pd.DataFrame(out, columns=["_part", "prints", "masks"])
 
 
 def _cut(text: bytes, starts: np.ndarray, match: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -256,9 +288,12 @@ def remove_repeats(
 
     def send_buckets(frame: pd.DataFrame) -> pd.DataFrame:
         _, ids, s = stretches(frame)
-        pairs = np.unique(np.stack([s.gram, ids[s.doc].view(np.uint64)], 1), axis=0)[:, 0] if len(s.doc) else s.gram
+        order = np.lexsort((ids[s.doc], s.gram))
+        gram, doc = s.gram[order], ids[s.doc][order]
+        new = np.ones(len(gram), dtype=bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
         # A gram of two documents is sent twice, however many have it.
-        gram, count = np.unique(pairs, return_counts=True)
+        gram, count = np.unique(gram[new], return_counts=True)
         bucket, tag = _tags(np.repeat(gram, np.minimum(count, 2)), buckets)
         order = np.argsort(bucket, kind="stable")
         bucket, tag = bucket[order], tag[order]
@@ -267,7 +302,7 @@ def remove_repeats(
         return pd.DataFrame({"bucket": number, "_part": frame["_part"].iloc[0], "tags": blobs})
 
     def send_stretches(frame: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        columns = ["group", "_part", "gram", "print", "doc", "stretch"]
+        columns = ["group", "_part", "stretches"]
         if not len(frame) or not len(back):
             return pd.DataFrame(columns=columns)
         texts, ids, s = stretches(frame)
@@ -281,21 +316,16 @@ def remove_repeats(
         hit = hit[np.lexsort((ids[s.doc[hit]], s.print[hit]))]
         new = np.concatenate([[True], s.print[hit][1:] != s.print[hit][:-1]])
         hit = hit[new[: len(hit)]]
-        rows = [
-            texts[d][a : z + match]
-            for d, a, z in zip(s.doc[hit].tolist(), s.first[hit].tolist(), s.last[hit].tolist())
-        ]
-        return pd.DataFrame(
-            {
-                "group": bucket[hit],
-                "_part": frame["_part"].iloc[0],
-                "gram": s.gram[hit].view(np.int64),
-                "print": s.print[hit].view(np.int64),
-                "doc": ids[s.doc[hit]],
-                "stretch": rows,
-            },
-            columns=columns,
-        )
+        hit = hit[np.argsort(bucket[hit], kind="stable")]
+        group, at = np.unique(bucket[hit], return_index=True)
+        blobs = []
+        for own in np.split(hit, at[1:]):
+            own = own[np.lexsort((s.first[own], s.doc[own]))]
+            places = zip(s.doc[own].tolist(), s.first[own].tolist(), s.last[own].tolist())
+            pieces = [texts[d][a : z + match] for d, a, z in places]
+            blobs.append(Sent.pack(tag[own], s.print[own], ids[s.doc[own]], pieces))
+        blobs = blobs[: len(group)]
+        return pd.DataFrame({"group": group, "_part": frame["_part"].iloc[0], "stretches": blobs}, columns=columns)
 
     out_names = [*kept, "n_bytes", "kept", "spans"]
 
@@ -310,7 +340,10 @@ def remove_repeats(
         heads = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]])) if n else np.zeros(0, int)
         count = np.diff(np.append(heads, n))
         smallest = np.repeat(doc[heads], count)
-        said = pd.Series(decided["mask"].to_numpy(), index=decided["print"].to_numpy())
+        said = pd.Series(
+            np.frombuffer(b"".join(decided["masks"]), dtype="<i8"),
+            index=np.frombuffer(b"".join(decided["prints"]), dtype="<i8"),
+        )
         here = said.reindex(mark, fill_value=0).to_numpy() if n else np.zeros(0, dtype=np.int64)
         whole = (1 << (s.last - s.first + 1)[order]) - 1
         mask[order] = np.where(doc > smallest, whole, here)
@@ -337,10 +370,10 @@ def remove_repeats(
     sent = texts.applyInPandas(send_buckets, "bucket long, _part long, tags binary")
     back = sent.groupBy("bucket").applyInPandas(_shared_buckets, "_part long, bucket long, tags binary")
     rows = texts.cogroup(back.groupBy("_part")).applyInPandas(
-        send_stretches, "group long, _part long, gram long, print long, doc long, stretch binary"
+        send_stretches, "group long, _part long, stretches binary"
     )
     decided = rows.groupBy("group").applyInPandas(
-        lambda x: _decide(x, match), "_part long, print long, mask long"
+        lambda x: _decide(x, match), "_part long, prints binary, masks binary"
     )
     return texts.cogroup(decided.groupBy("_part")).applyInPandas(cut, schema)
 
