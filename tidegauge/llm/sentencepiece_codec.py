@@ -13,6 +13,7 @@ fails twice.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -27,7 +28,7 @@ from .shared import table
 
 SPACE = "▁"
 #: Words that a worker remembers; beyond that it starts anew. Bounds memory, not the result.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class Words(dict):
@@ -66,11 +67,21 @@ class Codec:
                 self.bytes[int(piece[1:-1], 16)] = i
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 self.ids[piece], self.score[piece] = i, p.get_score(i)
-                automaton.add_word(piece, piece)
+                if len(piece) > 1:
+                    automaton.add_word(piece, piece)
         automaton.make_automaton()
         self.automaton = automaton
         # Spaces start pieces and never follow other characters in one: words encode by themselves.
         self.by_words = not any(re.search(f"[^{SPACE}]{SPACE}", x) for x in self.ids)
+        # Signs that follow no letter in any piece: where one stands after a character that no piece has
+        # before such a sign, what is before it and what follows encode by themselves.
+        pairs = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
+        signs = {x for piece in self.ids for x in piece if not x.isalnum()} - {SPACE}
+        signs -= {b for a, b in pairs if a.isalpha()}
+        joined = "".join(map(re.escape, sorted({a for a, b in pairs if b in signs})))
+        some = "".join(map(re.escape, sorted(signs)))
+        self.split = re.compile(f"(?<=[^{joined}])(?=[{some}])" if joined and some else r"(?!)").split
+        self.runs: dict[str, tuple[int, ...]] = {}
         # No piece has a line break: lines encode by themselves.
         self.by_lines = not any("\n" in x for x in self.ids)
         self.line_break = tuple(self.encode_bytes("\n"))
@@ -110,49 +121,65 @@ class Codec:
 
     def pieces(self, run: str) -> list[str]:
         """Encode a run of text in which spaces are already marked."""
-        if run in self.ids and self.merge(run) == [run]:
-            return [run]
         size = len(run)
-        # Pieces at each position, shorter ones first: the automaton reports by end.
-        at: list[list[str]] = [[] for _ in range(size)]
+        # Pieces of two characters or more at each position, shorter ones first: the automaton reports by
+        # end. Below them, every position has its character alone; one without a piece merges with nothing.
+        at: list[list[str] | None] = [None] * size
         for end, piece in self.automaton.iter(run):
-            at[end - len(piece) + 1].append(piece)
-        open_ = (1 << (size + 1)) - 1 if size < 512 else None
-        failed = bytearray(size + 1) if open_ is None else None
+            start = end - len(piece) + 1
+            if at[start] is None:
+                at[start] = [piece]
+            else:
+                at[start].append(piece)
+        failed = 0  # bit field of positions from which no encoding goes on
+        agree, ids = self.agree, self.ids
         out: list[str] = []
         tries: list[int] = []  # how many of its position's pieces each taken piece leaves
-        pos = 0
-        left = len(at[0]) or 1
-        stay_apart, ids = self.stay_apart, self.ids
+        pos, last = 0, ""
+        left = len(at[0]) + 1 if at[0] else 1
         while pos < size:
             options = at[pos]
-            taken = None
             while left:
                 left -= 1
-                # An unknown character stands alone and merges with nothing.
-                piece = options[left] if options else run[pos]
+                piece = options[left - 1] if left else run[pos]
                 end = pos + len(piece)
-                if (open_ >> end & 1) if open_ is not None else not failed[end]:
-                    if not out or out[-1] not in ids or piece not in ids or stay_apart(out[-1], piece):
-                        taken = piece
-                        break
-            if taken is not None:
-                out.append(taken)
+                if failed and failed >> end & 1:
+                    continue
+                if last:
+                    known = agree.get((last, piece))
+                    if known is None:
+                        known = last not in ids or piece not in ids or self.stay_apart(last, piece)
+                    if not known:
+                        continue
+                out.append(piece)
                 tries.append(left)
-                pos = end
-                left = (len(at[pos]) or 1) if pos < size else 0
-                continue
-            if open_ is not None:
-                open_ &= ~(1 << pos)
+                pos, last = end, piece
+                if pos < size:
+                    left = len(at[pos]) + 1 if at[pos] else 1
+                break
             else:
-                failed[pos] = 1
-            if not out:
-                raise ValueError("the model has no encoding of a text")
-            pos -= len(out.pop())
-            left = tries.pop()
+                failed |= 1 << pos
+                if not out:
+                    raise ValueError("the model has no encoding of a text")
+                pos -= len(out.pop())
+                left = tries.pop()
+                last = out[-1] if out else ""
         return out
 
     def encode_run(self, run: str) -> list[int]:
+        ids: list[int] = []
+        for part in self.split(run):
+            known = self.runs.get(part)
+            if known is None:
+                known = tuple(self.encode_part(part))
+                if len(part) <= 64:
+                    if len(self.runs) >= REMEMBERED:
+                        self.runs.clear()
+                    self.runs[part] = known
+            ids += known
+        return ids
+
+    def encode_part(self, run: str) -> list[int]:
         ids: list[int] = []
         for piece in self.pieces(run):
             found = self.ids.get(piece)
@@ -198,6 +225,8 @@ _CODECS: dict[str, Codec] = {}
 
 def codec(model: bytes) -> Codec:
     """The worker's codec of a model; built once a worker."""
+    # What a worker remembers has no cycles; looking for them again and again costs a third of the time.
+    gc.set_threshold(200_000, 100, 1000)
     key = hashlib.sha256(model).hexdigest()
     if key not in _CODECS:
         _CODECS.clear()
