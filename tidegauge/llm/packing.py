@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,60 +15,74 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from .shared import partitions, table
 
 #: Words that a worker remembers; beyond that it starts anew. Bounds memory, not the result.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class Tokenizer:
-    """Byte-level BPE from a file of ranks, encoding word by word.
+    """Byte-level BPE from a file of ranks, encoding word by word to ids in binary.
 
     The split pattern never joins a single space between two other characters to what is before it, so
     texts are cut there and the ids of words are remembered.
     """
 
-    def __init__(self, ranks: bytes, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str, end_id: int | None = None):
         import base64
 
         import tiktoken
 
         table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table_, special_tokens={})
-        self.size = max(table_.values()) + 1
-        tokenizer = self
-
-        class Words(dict):
-            def __missing__(self, word: str) -> np.ndarray:
-                ids = tokenizer.own.encode_ordinary(word)
-                if len(word) <= 64:
-                    if len(self) >= REMEMBERED:
-                        self.clear()
-                    self[word] = ids
-                return ids
-
-        self.words = Words()
-
-    def encode(self, text: str) -> list[int]:
-        parts = text.split(" ")
-        words: list[str] = []
-        held = parts[0]
-        for part in parts[1:]:
+        self.kind = id_type(max(max(table_.values()), end_id or 0) + 1)
+        self.end = b"" if end_id is None else np.array([end_id], dtype=self.kind).tobytes()
+        self.first, self.later = Words(self, ""), Words(self, " ")
+        self.odd_spaces = re.compile(r"\s\s|^\s|\s$").search
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.own.encode_ordinary(text), dtype=self.kind).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text, the end id last if there is one, little-endian."""
+        if not text:
+            return self.end
+        words = text.split(" ")
+        if not self.odd_spaces(text):  # every space is a place to cut
+            return b"".join([self.first[words[0]], *map(self.later.__getitem__, words[1:]), self.end])
+        out, held, known = [], words[0], self.first
+        for word in words[1:]:
             # Only a lone space between two characters that are not white space is a place to cut.
-            if held and part and not held[-1].isspace() and not part[0].isspace():
-                words.append(held)
-                held = " " + part
+            if held and word and not held[-1].isspace() and not word[0].isspace():
+                out.append(known[held])
+                held, known = word, self.later
             else:
-                held = f"{held} {part}"
-        words.append(held)
-        return list(chain.from_iterable(map(self.words.__getitem__, words)))
+                held = f"{held} {word}"
+        return b"".join([*out, known[held], self.end])
+
+
+class Words(dict):
+    """Ids of words after a prefix, filled on demand."""
+
+    def __init__(self, tokenizer: Tokenizer, prefix: str):
+        super().__init__()
+        self.tokenizer, self.prefix = tokenizer, prefix
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.tokenizer.ids(self.prefix + word)
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 _TOKENIZERS: dict[int, Tokenizer] = {}
 
 
-def _tokenizer(ranks: bytes, pattern: str) -> Tokenizer:
-    key = hash((ranks, pattern))
+def _tokenizer(ranks: bytes, pattern: str, end_id: int | None) -> Tokenizer:
+    """The worker's tokenizer; built once a worker."""
+    key = hash((ranks, pattern, end_id))
     if key not in _TOKENIZERS:
         _TOKENIZERS.clear()
-        _TOKENIZERS[key] = Tokenizer(ranks, pattern)
+        _TOKENIZERS[key] = Tokenizer(ranks, pattern, end_id)
     return _TOKENIZERS[key]
 
 
@@ -138,17 +152,13 @@ def chunks(
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = _tokenizer(ranks, pattern)
-        kind = id_type(max(t.size, (end_id or 0) + 1))
-        width = np.dtype(kind).itemsize
+        t = _tokenizer(ranks, pattern, end_id)
+        width = np.dtype(t.kind).itemsize
         for batch in batches:
             owner, starts, blobs = [], [], []
             for i, x in enumerate(batch[text]):
-                ids = t.encode(x) if x else []
-                if end_id is not None:
-                    ids.append(end_id)
-                data = np.array(ids, dtype=kind).tobytes()
-                for a in range(0, len(ids), capacity):
+                data = t.encode(x)
+                for a in range(0, len(data) // width, capacity):
                     owner.append(i)
                     starts.append(a)
                     blobs.append(data[a * width : (a + capacity) * width])
