@@ -21,8 +21,8 @@ def normalised(passage: str) -> str:
     return " ".join(passage.lower().split())
 
 
-def digest(passage: str) -> str:
-    return hashlib.blake2b(passage.encode(), digest_size=16).hexdigest()
+def digest(passage: str) -> bytes:
+    return hashlib.blake2b(passage.encode(), digest_size=16).digest()
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, list[str]]]]:
@@ -89,7 +89,7 @@ def _parsed(rows: DataFrame, text: str, conv: str, turn: str) -> DataFrame:
             yield batch[kept].assign(body=bodies, n_quotes=counts, _own=own, _quoted=quoted)
 
     schema = rows.select(*kept)._jdf.schema().toDDL()
-    added = "body string, n_quotes int, _own array<string>, _quoted array<struct<kind int, level int, number int, digest string, chars int>>"
+    added = "body string, n_quotes int, _own array<binary>, _quoted array<struct<kind int, level int, number int, digest binary, chars int>>"
     return rows.select(*kept).mapInPandas(run, f"{schema}, {added}")
 
 
