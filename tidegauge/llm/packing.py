@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
-from .shared import partitions, table
+from .shared import partitions, remembering, table
 
 #: Words that a worker remembers; beyond that it starts anew. Bounds memory, not the result.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 class Tokenizer:
@@ -154,16 +154,19 @@ def chunks(
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = _tokenizer(ranks, pattern, end_id)
         width = np.dtype(t.kind).itemsize
-        for batch in batches:
-            owner, starts, blobs = [], [], []
-            for i, x in enumerate(batch[text]):
-                data = t.encode(x)
-                for a in range(0, len(data) // width, capacity):
-                    owner.append(i)
-                    starts.append(a)
-                    blobs.append(data[a * width : (a + capacity) * width])
-            ids_ = batch[id_].iloc[owner].reset_index(drop=True)
-            yield pd.DataFrame({id_: ids_, "start": np.array(starts, dtype=np.int64), "ids": blobs})
+        with remembering():
+            for batch in batches:
+                owner, starts, blobs = [], [], []
+                for i, x in enumerate(batch[text]):
+                    data = t.encode(x)
+                    for a in range(0, len(data) // width, capacity):
+                        owner.append(i)
+                        starts.append(a)
+                        blobs.append(data[a * width : (a + capacity) * width])
+                ids_ = batch[id_].iloc[owner].reset_index(drop=True)
+                yield pd.DataFrame({id_: ids_, "start": np.array(starts, dtype=np.int64), "ids": blobs})
+            t.first.clear()
+            t.later.clear()
 
     schema = docs.select(id_).schema.add("start", LongType()).add("ids", BinaryType())
     return docs.select(id_, text).mapInPandas(run, schema)
