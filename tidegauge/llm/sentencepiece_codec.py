@@ -13,39 +13,39 @@ fails twice.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .shared import table
+from .shared import remembering, table
 
 SPACE = "▁"
 #: Words that a worker remembers; beyond that it starts anew. Bounds memory, not the result.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 class Words(dict):
-    """Encodings of words, filled on demand: (ids joined by spaces, ids)."""
+    """Ids of words, filled on demand."""
 
     def __init__(self, codec: Codec, prefix: str):
         super().__init__()
         self.codec, self.prefix = codec, prefix
 
-    def __missing__(self, word: str) -> tuple[str, tuple[int, ...]]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         ids = tuple(self.codec.encode_run(self.prefix + word))
-        found = (" ".join(map(str, ids)), ids)
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
-            self[word] = found
-        return found
+            self[word] = ids
+        return ids
 
 
 class Codec:
@@ -57,6 +57,7 @@ class Codec:
 
         self.processor = p = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.eos = p.eos_id()
+        self.names = [str(i) for i in range(p.get_piece_size())]
         self.score: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.bytes: list[int] = [-1] * 256
@@ -189,18 +190,18 @@ class Codec:
                 ids.append(found)
         return ids
 
-    def parts(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
-        """Encodings of the words of ``text`` in order, without the end id."""
+    def parts(self, text: str) -> list[tuple[int, ...]]:
+        """Ids of the words of ``text`` in order, without the end id."""
         if not text:
             return []
         text = text.replace(SPACE, " ")
         if not self.by_words:
             return [self.raw[SPACE + text.replace(" ", SPACE)]]
-        out: list[tuple[str, tuple[int, ...]]] = []
+        out: list[tuple[int, ...]] = []
         lines = text.split("\n") if self.by_lines else [text]
         for k, line in enumerate(lines):
             if k:
-                out.append((" ".join(map(str, self.line_break)), self.line_break))
+                out.append(self.line_break)
                 if not line:
                     continue
             words = line.split(" ")
@@ -214,7 +215,11 @@ class Codec:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(x[1] for x in self.parts(text)))
+        return list(chain.from_iterable(self.parts(text)))
+
+    def forget(self) -> None:
+        for words in (self.first, self.later, self.raw, self.runs):
+            words.clear()
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
@@ -223,15 +228,18 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(model: bytes) -> Codec:
-    """The worker's codec of a model; built once a worker."""
-    # What a worker remembers has no cycles; looking for them again and again costs a third of the time.
-    gc.set_threshold(200_000, 100, 1000)
+@contextmanager
+def codec(model: bytes) -> Iterator[Codec]:
+    """The worker's codec of a model, built once a worker; words are remembered for one task."""
     key = hashlib.sha256(model).hexdigest()
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(model)
-    return _CODECS[key]
+    with remembering():
+        try:
+            yield _CODECS[key]
+        finally:
+            _CODECS[key].forget()
 
 
 def read_model(path: str) -> bytes:
@@ -240,6 +248,13 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def slices(batch: pd.DataFrame, text: str, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Runs of rows with about ``most`` characters: ids take many times the room of their text."""
+    run = batch[text].fillna("").str.len().cumsum() // most
+    for _, rows in batch.groupby(run.to_numpy(), sort=False):
+        yield rows
+
+
 def encode_texts(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """Add ``ids`` (array of int, end id last) and ``decoded`` to every row.
 
@@ -250,10 +265,12 @@ def encode_texts(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model)
-        for batch in batches:
-            ids = [c.encode(x or "") + [c.eos] for x in batch[text]]
-            yield batch.assign(ids=ids, decoded=[c.decode(x) for x in ids])
+        with codec(model) as c:
+            for batch in batches:
+                for rows in slices(batch, text):
+                    ids = [[*c.encode(x or ""), c.eos] for x in rows[text]]
+                    decoded = [c.decode(x) for x in ids]
+                    yield rows.assign(ids=[np.array(x, dtype=np.int32) for x in ids], decoded=decoded)
 
     schema = docs.select(*kept).schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
     return docs.select(*kept).mapInPandas(run, schema)
@@ -269,10 +286,8 @@ def encode_digests(docs: DataFrame, model: bytes, text: str = "text") -> DataFra
     out = [c for c in kept if c != text]
 
     def digest(c: Codec, value: str | None) -> tuple[int, str, str]:
-        parts = c.parts(value or "")
-        ids = list(chain.from_iterable([x[1] for x in parts]))
-        ids.append(c.eos)
-        line = " ".join([x[0] for x in parts] + [str(c.eos)])
+        ids = [*c.encode(value or ""), c.eos]
+        line = " ".join(map(c.names.__getitem__, ids))
         return (
             len(ids),
             hashlib.sha256(line.encode()).hexdigest(),
@@ -280,11 +295,11 @@ def encode_digests(docs: DataFrame, model: bytes, text: str = "text") -> DataFra
         )
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model)
-        for batch in batches:
-            rows = [digest(c, x) for x in batch[text]]
-            found = pd.DataFrame(rows, columns=list(names), index=batch.index)
-            yield batch[out].assign(**{n: found[n] for n in names})
+        with codec(model) as c:
+            for batch in batches:
+                rows = [digest(c, x) for x in batch[text]]
+                found = pd.DataFrame(rows, columns=list(names), index=batch.index)
+                yield batch[out].assign(**{n: found[n] for n in names})
 
     schema = docs.select(*out).schema.add("n_tokens", "long")
     schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string")

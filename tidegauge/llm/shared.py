@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +14,33 @@ from pyspark.sql import functions as F
 from tidegauge.session import cut_lineage, ensure_checkpoint_dir
 
 
+def tidy() -> None:
+    """Give memory that a Python worker no longer uses back to the machine.
+
+    Workers are used again by later stages, and what allocators keep adds up over them.
+    """
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+@contextmanager
+def remembering() -> Iterator[None]:
+    """For code that keeps very many small values without cycles: rarely look for cycles meanwhile."""
+    before = gc.get_threshold()
+    gc.set_threshold(200_000, 50, 100)
+    try:
+        yield
+    finally:
+        gc.set_threshold(*before)
+        gc.collect()
+        tidy()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, partitions, table, written
+from .shared import components, partitions, table, tidy, written
 
 BITS = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -54,6 +54,7 @@ def with_fingerprints(docs: DataFrame, shingle: int, seed: int, text: str = "tex
         for batch in batches:
             bits = np.array([fingerprint(x, shingle, seed) for x in batch[text]], dtype=np.uint64)
             yield batch[kept].assign(fingerprint=bits.view(np.int64))
+        tidy()
 
     schema = docs.select(*kept).schema.add("fingerprint", "long")
     return docs.select(*kept, text).mapInPandas(run, schema)

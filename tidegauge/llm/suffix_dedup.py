@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
-from .shared import partitions, table
+from .shared import partitions, table, tidy
 
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BITS = 20  # positions in a buffer
@@ -230,6 +230,8 @@ def _decide(rows: pd.DataFrame, match: int) -> pd.DataFrame:
         hit = own != 0
         if hit.any():
             out.append((part, x.print[hit].tobytes(), own[hit].astype("<i8").tobytes()))
+    del sent, code, stretch
+    tidy()
     return pd.DataFrame(out, columns=["_part", "prints", "masks"])
 
 
@@ -298,6 +300,7 @@ def remove_repeats(
         order = np.argsort(bucket, kind="stable")
         bucket, tag = bucket[order], tag[order]
         number, at = np.unique(bucket, return_index=True)
+        tidy()
         blobs = [_pack(x) for x in np.split(tag, at[1:])] if len(tag) else []
         return pd.DataFrame({"bucket": number, "_part": frame["_part"].iloc[0], "tags": blobs})
 
@@ -325,6 +328,7 @@ def remove_repeats(
             pieces = [texts[d][a : z + match] for d, a, z in places]
             blobs.append(Sent.pack(tag[own], s.print[own], ids[s.doc[own]], pieces))
         blobs = blobs[: len(group)]
+        tidy()
         return pd.DataFrame({"group": group, "_part": frame["_part"].iloc[0], "stretches": blobs}, columns=columns)
 
     out_names = [*kept, "n_bytes", "kept", "spans"]
@@ -361,6 +365,7 @@ def remove_repeats(
             left.append(l.decode(errors="ignore") if as_text else l)
             spans.append([{"start": a, "length": b} for a, b in p])
         sizes = frame["_text"].map(len)
+        tidy()
         return frame[kept].assign(n_bytes=sizes, kept=left, spans=spans)[out_names]
 
     span = StructType().add("start", LongType()).add("length", LongType())
