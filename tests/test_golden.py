@@ -387,3 +387,35 @@ def test_newest(spark, limit):
 
 def test_head(spark):
     assert [r.id for r in series.head(spark.range(100).repartition(4), ["id"], 3).collect()] == [0, 1, 2]
+
+
+@pytest.mark.parametrize(
+    "build, value, want",
+    [
+        (text.valid_cpu, "10m", True), (text.valid_cpu, " 10m ", True), (text.valid_cpu, "", True),
+        (text.valid_cpu, "xm", False), (text.valid_cpu, "m", False), (text.valid_cpu, "10m\n", False),
+        (text.valid_memory, "5Gi", True), (text.valid_memory, "Gi", False), (text.valid_memory, "5G", False),
+        (text.valid_workload_name, "ok", True), (text.valid_workload_name, "ok\n", False),
+        (lambda c: text.full_match(c, "a|b"), "a\n", False),
+        (lambda c: text.contains_word(c, "c++"), "I like c++ too", True),
+        (lambda c: text.contains_word(c, "a.b"), "axb", False),
+    ],
+)
+def test_whole_values_and_literal_words(spark, build, value, want):
+    df = spark.createDataFrame([(value,)], "v string")
+    assert df.select(build(F.col("v"))).first()[0] is want
+
+
+def test_a_detail_id_that_points_nowhere_counts_as_none(spark):
+    deployed = spark.createDataFrame(
+        [(1, 7, 3), (2, 99, 3), (3, None, 3), (4, 7, None), (5, 99, 98), (6, None, None)],
+        "id long, yaml_workload_id long, helm_workload_id long",
+    )
+    yaml = spark.createDataFrame([(7, 2, "n")], "id long, replicas int, node_name string")
+    helm = spark.createDataFrame(
+        [(3, "chart", "1", "a=b")], "id long, chart_name string, chart_version string, set_values string"
+    )
+    got = catalogue.with_details(deployed, yaml, helm)
+    assert rows(got, "id", "replicas", "chart_name") == [
+        (1, 2, None), (2, None, "chart"), (3, None, "chart"), (4, 2, None),
+    ]

@@ -212,3 +212,11 @@ def test_window_join_splits_a_hot_workload(spark, small_skew_limits):
     assert "skew=true" in final_plan(joined)
     inside = samples.filter(F.col("ts").between(940, 3060)).count()
     assert joined.count() == inside and joined.filter("wl <> workload").count() == 0
+
+
+def test_trailing_count_has_no_frame_of_the_span(spark):
+    """A running sum, whatever the span: no frame in which each row adds up its span again."""
+    hot = spark.range(0, 5000).select(F.lit("hot").alias("s"), F.col("id").alias("ts"))
+    counted = series.trailing_count(hot, ["s"], "ts", 4000, 1000)
+    assert "RangeFrame" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert rows(counted, "ts", "n") == [(t, min(t + 1, 4000)) for t in range(5000)]

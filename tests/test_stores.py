@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidegauge import schemas
@@ -152,3 +153,10 @@ def test_snapshot_replaces(spark, tmp_path):
     for name in ("a", "b"):
         writers.replace_snapshot(spark.createDataFrame([(name,)], "pod string"), str(tmp_path / "p"))
     assert rows(spark.read.parquet(str(tmp_path / "p"))) == [("b",)]
+
+
+def test_only_a_missing_folder_is_an_empty_table(spark, tmp_path):
+    assert writers._exists(spark, str(tmp_path / "none"), "id long") is None
+    spark.range(3).write.parquet(str(tmp_path / "some"))
+    with pytest.raises(AnalysisException):
+        writers._exists(spark, str(tmp_path / "some"), "id long, id long").count()

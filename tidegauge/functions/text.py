@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -50,7 +51,7 @@ def millis_text_to_seconds(text: Column) -> Column:
 
 def full_match(value: Column, pattern: str) -> Column:
     """Label matcher ``=~``: the pattern must match the whole value; an absent label is empty."""
-    return F.coalesce(value, F.lit("")).rlike(f"^(?:{pattern})$")
+    return F.coalesce(value, F.lit("")).rlike(rf"\A(?:{pattern})\z")
 
 
 def glob_any(value: Column, globs: Iterable[str]) -> Column:
@@ -90,7 +91,7 @@ def set_values(text: Column) -> Column:
 
 def contains_word(text: Column, word: str) -> Column:
     """``word`` occurs as a token of lower-cased ``text``; scans the whole text, builds no array."""
-    return F.lower(text).rlike(f"(^|[^a-z0-9]){word.lower()}([^a-z0-9]|$)")
+    return F.lower(text).rlike(rf"(\A|[^a-z0-9]){re.escape(word.lower())}([^a-z0-9]|\z)")
 
 
 def cut_fraction(iso_text: Column) -> Column:
@@ -107,13 +108,13 @@ def blank_if_null(text: Column) -> Column:
 
 def valid_cpu(text: Column) -> Column:
     value = F.trim(text)
-    return (value == "") | value.endswith("m")
+    return value.rlike(r"\A(?:[0-9]+m)?\z")
 
 
 def valid_memory(text: Column) -> Column:
     value = F.trim(text)
-    return (value == "") | value.endswith("Mi") | value.endswith("Gi")
+    return value.rlike(r"\A(?:[0-9]+[MG]i)?\z")
 
 
 def valid_workload_name(text: Column) -> Column:
-    return text.rlike("^(?:[A-Za-z0-9][A-Za-z0-9_-]*)$")
+    return text.rlike(r"\A[A-Za-z0-9][A-Za-z0-9_-]*\z")

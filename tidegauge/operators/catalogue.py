@@ -66,36 +66,36 @@ def with_type(deployed: DataFrame, types: DataFrame) -> DataFrame:
 def with_details(deployed: DataFrame, yaml: DataFrame, helm: DataFrame) -> DataFrame:
     """Attach the yaml or helm detail; a workload with neither is left out, yaml wins over helm.
 
-    Each workload references at most one detail that counts, so both detail tables join as
-    one table on (method, id): one shuffle instead of two and no NULL join keys.
+    An id that points nowhere counts as none: the other detail holds then. A workload without an id
+    of a kind gets the other id as a key that no detail has, so such rows spread over the tasks.
     """
-    detail = yaml.select(
-        F.lit("yaml").alias("_method"),
-        F.col("id").alias("_detail_id"),
-        "replicas",
-        "node_name",
-        F.lit(None).cast("string").alias("chart_name"),
-        F.lit(None).cast("string").alias("chart_version"),
-        F.lit(None).cast("string").alias("set_values"),
-    ).unionByName(
-        helm.select(
-            F.lit("helm").alias("_method"),
-            F.col("id").alias("_detail_id"),
-            F.lit(None).cast("int").alias("replicas"),
-            F.lit(None).cast("string").alias("node_name"),
-            "chart_name",
-            "chart_version",
-            "set_values",
+    ids = ("yaml_workload_id", "helm_workload_id")
+    deployed = deployed.filter(F.coalesce(*ids).isNotNull())
+    for kind, table, names in (
+        ("yaml", yaml, ("replicas", "node_name")),
+        ("helm", helm, ("chart_name", "chart_version", "set_values")),
+    ):
+        own, key, salt = f"{kind}_workload_id", f"_{kind}_key", f"_{kind}_salt"
+        detail = table.select(
+            F.col("id").alias(key), F.lit(0).alias(salt), F.struct(*names).alias(f"_{kind}")
         )
+        deployed = deployed.withColumns(
+            {
+                key: F.coalesce(own, *ids),
+                salt: F.when(F.col(own).isNull(), 1).otherwise(0),
+            }
+        ).join(detail, [key, salt], "left").drop(key, salt)
+    by_yaml = F.col("_yaml").isNotNull()
+    found = deployed.filter(by_yaml | F.col("_helm").isNotNull())
+    return found.select(
+        *[c for c in deployed.columns if c not in ("_yaml", "_helm")],
+        "_yaml.replicas",
+        "_yaml.node_name",
+        *[
+            F.when(~by_yaml, F.col(f"_helm.{c}")).alias(c)
+            for c in ("chart_name", "chart_version", "set_values")
+        ],
     )
-    uses_yaml = F.col("yaml_workload_id").isNotNull()
-    keyed = deployed.filter(uses_yaml | F.col("helm_workload_id").isNotNull()).withColumns(
-        {
-            "_method": F.when(uses_yaml, F.lit("yaml")).otherwise(F.lit("helm")),
-            "_detail_id": F.coalesce("yaml_workload_id", "helm_workload_id"),
-        }
-    )
-    return keyed.join(detail, ["_method", "_detail_id"]).drop("_method", "_detail_id")
 
 
 def listing(

@@ -206,7 +206,7 @@ def recent(
 
     ``readingTS`` is stored as text, hence the cast before comparing.
     """
-    at = F.col("readingTS").cast("bigint")
+    at = F.col("readingTS").try_cast("bigint")
     rows = stored.filter(at.between(now - range_s, now))
     if sensor is not None:
         rows = rows.filter(F.col("sensorID") == sensor)

@@ -133,28 +133,49 @@ def trailing_count(
     series: Sequence[str],
     ts: str,
     span_ms: int,
-    slice_ms: int | None = None,
+    slice_ms: int = HOUR_MS,
     name: str = "n",
 ) -> DataFrame:
     """Events of the series in ``(t - span, t]`` at every instant ``t`` with an event.
 
-    A slice is longer than the span and gets the last span of its predecessor copied in,
-    so each slice is counted on its own. With the default width 1 in 20 rows is copied.
+    An event adds one at its instant and takes one away a span later; the count is the running sum.
+    Each slice is summed by itself and gets the total of the slices before it, so the work does not
+    depend on the span and no series has to fit into one task.
     """
-    slice_ms = slice_ms or 20 * span_ms
-    if slice_ms < span_ms:
-        raise ValueError("slice_ms must not be shorter than span_ms")
-    events = df.groupBy(*series, ts).agg(F.count(F.lit(1)).alias("_events"))
-    own = _bucket(ts, slice_ms)
-    last = _bucket(ts, slice_ms, span_ms - 1)
-    placed = events.withColumn("_slice", F.explode(F.sequence(own, last)))
-    trailing = (
-        Window.partitionBy(*series, "_slice").orderBy(ts).rangeBetween(-(span_ms - 1), 0)
+    changes = F.explode(
+        F.array(
+            F.struct(F.col(ts).alias("_at"), F.lit(True).alias("_comes")),
+            F.struct((F.col(ts) + F.lit(span_ms)).alias("_at"), F.lit(False).alias("_comes")),
+        )
+    )
+    instants_ = (
+        df.filter(F.col(ts).isNotNull())
+        .select(*series, changes.alias("_c"))
+        .groupBy(*series, F.col("_c._at").alias("_at"))
+        .agg(
+            F.count(F.when(F.col("_c._comes"), 1)).alias("_come"),
+            F.count(F.when(~F.col("_c._comes"), 1)).alias("_go"),
+        )
+        .withColumns({"_slice": _bucket("_at", slice_ms), "_change": F.col("_come") - F.col("_go")})
+    )
+    before = Window.partitionBy(*series).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = instants_.groupBy(*series, "_slice").agg(F.sum("_change").alias("_total"))
+    carried = totals.select(
+        *[F.col(c).alias(f"_{c}") for c in series],
+        F.col("_slice").alias("__slice"),
+        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carry"),
+    )
+    same = F.col("_slice") == F.col("__slice")
+    for c in series:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    within = (
+        Window.partitionBy(*series, "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        placed.withColumn(name, F.sum("_events").over(trailing))
-        .filter(F.col("_slice") == own)
-        .select(*series, ts, name)
+        instants_.withColumn("_here", F.sum("_change").over(within))
+        .filter(F.col("_come") > 0)
+        .join(carried, same)
+        .select(*series, F.col("_at").alias(ts), (F.col("_here") + F.col("_carry")).alias(name))
     )
 
 
@@ -168,16 +189,20 @@ def trailing_count_on_grid(
 ) -> DataFrame:
     """Events in ``(t - span, t]`` at every grid step ``t`` that sees at least one event.
 
-    Each event adds one to the steps it is visible at; everything is partial aggregation.
+    Events that are visible at the same steps are counted first, then their counts are added to these
+    steps: what is repeated per step does not grow with the events.
     """
     first = _bucket(ts, step_ms, step_ms - 1)
     last = _bucket(ts, step_ms, span_ms - 1)
+    seen = df.groupBy(*series, first.alias("_first"), last.alias("_last")).agg(
+        F.count(F.lit(1)).alias("_events")
+    )
     # With a step longer than the span an event may fall between two steps.
-    steps = F.when(first <= last, F.sequence(first, last))
+    steps = F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last"))
     return (
-        df.withColumn("_step", F.explode(steps))
+        seen.withColumn("_step", F.explode(steps))
         .groupBy(*series, (F.col("_step") * step_ms).alias("step"))
-        .agg(F.count(F.lit(1)).alias(name))
+        .agg(F.sum("_events").alias(name))
     )
 
 

@@ -174,8 +174,8 @@ def split_values(v):
          CASE event_type WHEN 'view' THEN k::VARCHAR || 'Mi' WHEN 'click' THEN k::VARCHAR || 'Gi'
          WHEN 'error' THEN '' ELSE k::VARCHAR || 'G' END AS memory,
          CASE event_type WHEN 'view' THEN '_w' WHEN 'click' THEN 'w ' ELSE 'W-' END || k::VARCHAR AS name FROM ev)
-       SELECT event_id, trim(cpu) = '' OR trim(cpu) LIKE '%m' AS cpu_ok,
-         trim(memory) = '' OR trim(memory) LIKE '%Mi' OR trim(memory) LIKE '%Gi' AS memory_ok,
+       SELECT event_id, regexp_full_match(trim(cpu), '([0-9]+m)?') AS cpu_ok,
+         regexp_full_match(trim(memory), '([0-9]+[MG]i)?') AS memory_ok,
          regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9_-]*') AS name_ok FROM q""",
     "ev",
 )

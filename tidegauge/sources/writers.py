@@ -30,8 +30,11 @@ def batch_folder(root: str, table: str, batch_id: int) -> str:
 def _exists(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as problem:
+        # Only a missing folder is an empty table; anything else must not let rows be replaced.
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def clear(
