@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from .shared import partitions, remembering, table
 
 #: Words that a worker remembers; beyond that it starts anew. Bounds memory, not the result.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
 
 class Tokenizer:
@@ -35,7 +34,6 @@ class Tokenizer:
         self.kind = id_type(max(max(table_.values()), end_id or 0) + 1)
         self.end = b"" if end_id is None else np.array([end_id], dtype=self.kind).tobytes()
         self.first, self.later = Words(self, ""), Words(self, " ")
-        self.odd_spaces = re.compile(r"\s\s|^\s|\s$").search
 
     def ids(self, text: str) -> bytes:
         return np.array(self.own.encode_ordinary(text), dtype=self.kind).tobytes()
@@ -45,7 +43,7 @@ class Tokenizer:
         if not text:
             return self.end
         words = text.split(" ")
-        if not self.odd_spaces(text):  # every space is a place to cut
+        if plain_spaces(text):  # every space is a place to cut
             return b"".join([self.first[words[0]], *map(self.later.__getitem__, words[1:]), self.end])
         out, held, known = [], words[0], self.first
         for word in words[1:]:
@@ -58,6 +56,17 @@ class Tokenizer:
         return b"".join([*out, known[held], self.end])
 
 
+_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_ASCII_WHITE = [c for c in _WHITE if c.isascii()]
+
+
+def plain_spaces(text: str) -> bool:
+    """Whether each space stands between two characters that are not white space (line breaks may)."""
+    if text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in (_ASCII_WHITE if text.isascii() else _WHITE))
+
+
 class Words(dict):
     """Ids of words after a prefix, filled on demand."""
 
@@ -165,8 +174,6 @@ def chunks(
                         blobs.append(data[a * width : (a + capacity) * width])
                 ids_ = batch[id_].iloc[owner].reset_index(drop=True)
                 yield pd.DataFrame({id_: ids_, "start": np.array(starts, dtype=np.int64), "ids": blobs})
-            t.first.clear()
-            t.later.clear()
 
     schema = docs.select(id_).schema.add("start", LongType()).add("ids", BinaryType())
     return docs.select(id_, text).mapInPandas(run, schema)
