@@ -4,7 +4,15 @@ import numpy as np
 import xxhash
 
 from tidegauge.llm.shared import components
-from tidegauge.llm.simhash import fingerprint, gray_rank, near_duplicates, near_edges, op8_simhash
+from tidegauge.llm.simhash import (
+    fingerprint,
+    gray_rank,
+    in_buckets,
+    near_duplicates,
+    near_edges,
+    near_links,
+    op8_simhash,
+)
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +100,35 @@ def test_long_chain_is_one_component(spark):
 def test_long_text_is_read_to_its_end():
     text = " ".join(f"w{i}" for i in range(60_000))
     assert fingerprint(text, 3, 42) == plain(text) != fingerprint(text[:-4000], 3, 42)
+
+
+def test_crowded_buckets_are_split_and_lose_no_link(spark):
+    """A third of all fingerprints agree in one block, and the limit is low."""
+    rng = np.random.default_rng(5)
+    for most in (0, 3):
+        x = rng.integers(0, 2**64, size=240, dtype=np.uint64)
+        x[:80] = (x[:80] & ~np.uint64(0xFFFF)) | np.uint64(0xABCD)
+        for _ in range(4):
+            x[120:] ^= np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64)
+            x[100:160] = x[:60] ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64))
+        x = np.unique(x)
+        df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fingerprint long")
+        if most:
+            sizes = [
+                in_buckets(df, most, n).groupBy("bucket").count().agg({"count": "max"}).first()[0]
+                for n in (1000, 8)
+            ]
+            assert sizes[0] >= 80 and sizes[1] < 20
+        links = components(near_links(df, most, 8)).collect()
+        root = {r.node % 2**64: r.root % 2**64 for r in links}
+        words = [int(v) for v in x]
+        want = [words[r] for r in grouped(words, most)]
+        got = {}
+        for w, r in zip(words, want):
+            got.setdefault(root.get(w, w), set()).add(r)
+        assert all(len(v) == 1 for v in got.values()) and len(got) == len(set(want))
+
+
+def test_split_buckets_give_the_same_components(odd):
+    rows = near_duplicates(odd, largest=2).collect()
+    check(odd.collect(), [(r.doc_id, r.fingerprint % 2**64, r.component_id) for r in rows])

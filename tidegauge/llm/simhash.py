@@ -17,6 +17,10 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 FAN = 8
 #: Pairs of fingerprint and node that are compared at once; bounds memory.
 AT_ONCE = 1 << 20
+#: Fingerprints in a bucket beyond which it is split by further blocks of bits; bounds a task's memory.
+LARGEST = 1 << 18
+#: Times that a bucket is split.
+SPLITS = 2
 
 
 def fingerprint(text: str | None, shingle: int, seed: int) -> int:
@@ -170,45 +174,75 @@ def spanning(n: int, edges: np.ndarray) -> np.ndarray:
     return np.stack([rows, root[rows]], 1)
 
 
-def near_links(prints: DataFrame, most: int) -> DataFrame:
+def _by_block(rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows (fingerprint, bucket, rest, free) once for each of ``blocks`` blocks of their free bits.
+
+    ``rest`` holds the ``free`` bits that are not yet part of the bucket, moved together. A block's
+    value goes into the bucket and out of ``rest``. Buckets are named by a hash: two that get the
+    same name are searched together, which adds no wrong link.
+    """
+    each = []
+    for j in range(blocks):
+        low, up = f"int(free * {j} div {blocks})", f"int(free * {j + 1} div {blocks})"
+        value = f"shiftrightunsigned(rest, {low}) & shiftrightunsigned(-1L, 64 - ({up} - {low}))"
+        above = f"if({up} = {BITS}, 0L, shiftrightunsigned(rest, {up}))"
+        below = f"rest & ~shiftleft(-1L, {low})"
+        each.append(
+            f"struct(xxhash64(bucket, {j}, {value}) AS bucket,"
+            f" ({below}) | shiftleft({above}, {low}) AS rest, free - ({up} - {low}) AS free)"
+        )
+    return rows.select("fingerprint", F.expr(f"inline(array({', '.join(each)}))"))
+
+
+def in_buckets(prints: DataFrame, most: int, largest: int) -> DataFrame:
+    """Rows (fingerprint, bucket) in which any two within ``most`` bits share a bucket.
+
+    Two words that differ in at most ``most`` bits agree in one of ``most + 1`` blocks of bits, so each
+    fingerprint goes once per block to the bucket of the block's value. The fingerprints of a bucket
+    with more than ``largest`` agree in that block, and any near two of them agree in one of
+    ``most + 1`` blocks of the other bits too: such a bucket is split by these, up to ``SPLITS`` times.
+    Each time multiplies the copies of its fingerprints, and words that still share a bucket then
+    agree in over half of their bits (28 to 37 with ``most`` 3): these are dense, and the hierarchy links
+    dense groups whole.
+    """
+    blocks = most + 1
+    rows = prints.selectExpr("fingerprint", "0L AS bucket", "fingerprint AS rest", f"{BITS} AS free")
+    done = None
+    for left in range(SPLITS, -1, -1):
+        rows = _by_block(rows, blocks)
+        if not left:
+            break
+        crowded = (
+            rows.where(F.col("free") >= blocks).groupBy("bucket").count().where(F.col("count") > largest)
+        )
+        crowded = written(crowded.select("bucket"))
+        if crowded.isEmpty():
+            break
+        ready = rows.join(crowded, "bucket", "left_anti").select("fingerprint", "bucket")
+        done = ready if done is None else done.unionByName(ready)
+        rows = written(rows.join(crowded, "bucket", "left_semi"))
+    rows = rows.select("fingerprint", "bucket")
+    return rows if done is None else done.unionByName(rows)
+
+
+def near_links(prints: DataFrame, most: int, largest: int = LARGEST) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints within ``most`` bits into components.
 
-    Two words that differ in at most ``most`` bits agree in one of ``most + 1`` blocks of bits.
-    Each fingerprint goes once per block to the bucket of the block's value. Buckets are dealt over
-    the tasks by a hash; a task sorts its buckets by Gray rank and searches their hierarchies.
+    Buckets are dealt over the tasks by a hash; a task sorts its buckets by Gray rank and searches
+    their hierarchies.
     """
-    spark = prints.sparkSession
-    blocks, width = most + 1, -(-BITS // (most + 1))
-    tasks = partitions(spark)
-    keyed = prints.select(
-        "fingerprint",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("block"),
-                        F.shiftrightunsigned("fingerprint", i * width)
-                        .bitwiseAND(F.lit((1 << min(width, BITS - i * width)) - 1))
-                        .alias("value"),
-                    )
-                    for i in range(blocks)
-                ]
-            )
-        ).alias("k"),
-    ).select("fingerprint", "k.block", "k.value")
-    keyed = keyed.repartition(tasks, "block", "value")
+    keyed = in_buckets(prints, most, largest)
+    keyed = keyed.repartition(partitions(prints.sparkSession), "bucket")
 
     def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if not parts:
             return
         bits = np.concatenate([b["fingerprint"].to_numpy() for b in parts]).view(np.uint64)
-        block = np.concatenate([b["block"].to_numpy() for b in parts]).astype(np.uint64)
-        value = np.concatenate([b["value"].to_numpy() for b in parts]).astype(np.uint64)
-        order = np.lexsort((gray_rank(bits), value, block))
-        bits, block, value = bits[order], block[order], value[order]
-        new = np.flatnonzero((block[1:] != block[:-1]) | (value[1:] != value[:-1])) + 1
-        start = np.concatenate([[0], new, [len(bits)]])
+        bucket = np.concatenate([b["bucket"].to_numpy() for b in parts])
+        order = np.lexsort((gray_rank(bits), bucket))
+        bits, bucket = bits[order], bucket[order]
+        start = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bits)]])
         found = near_edges(bits, start, most)
         signed = bits.view(np.int64)
         yield pd.DataFrame({"a": signed[found[:, 0]], "b": signed[found[:, 1]]})
@@ -224,10 +258,11 @@ def near_duplicates(
     most: int = 3,
     seed: int = 42,
     keep: tuple[str, ...] = (),
+    largest: int = LARGEST,
 ) -> DataFrame:
     """Rows (id, fingerprint long, component_id): documents whose fingerprints are connected.
 
-    ``keep`` names further columns to return.
+    ``keep`` names further columns to return. Buckets of over ``largest`` fingerprints are split.
 
     Fingerprints link at ``most`` or fewer differing bits; a component holds all that links reach.
     ``component_id`` is its smallest id; ids that are null are never it (null if there is no other).
@@ -239,7 +274,7 @@ def near_duplicates(
         raise ValueError("most must be a number of bits from 0 to 63")
     prints = written(with_fingerprints(docs.select(id_, text, *keep), shingle, seed, text))
     nodes = written(prints.groupBy("fingerprint").agg(F.min(id_).alias("least")))
-    found = components(near_links(nodes.select("fingerprint"), most))
+    found = components(near_links(nodes.select("fingerprint"), most, largest))
     joined = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     joined = joined.withColumn("root", F.coalesce("root", "fingerprint"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
