@@ -118,10 +118,8 @@ def test_keyed_store_replay_drops_days_of_the_first_attempt(spark, readings, tmp
     assert readers.keyed_table(spark, f"{tmp_path}/temperature").count() == 1
 
 
-@pytest.mark.parametrize("listed", [1, 4096])
-def test_merge(spark, tmp_path, monkeypatch, listed):
-    """Rows of touched days are replaced, other days stay, repeating changes nothing."""
-    monkeypatch.setattr(writers, "LISTED_DAYS", listed)
+def test_merge(spark, tmp_path):
+    """Rows of touched days are replaced, other days stay, repeating or merging nothing changes nothing."""
 
     def rows_of(data):
         return spark.createDataFrame(data, "k bigint, v bigint, day string").withColumn(
@@ -132,7 +130,11 @@ def test_merge(spark, tmp_path, monkeypatch, listed):
     writers.merge(spark, path, rows_of([(1, 1, "2024-01-01"), (2, 1, "2024-01-02"), (3, 1, "2024-01-03")]), ["k"], ["v"])
     for _ in range(2):
         writers.merge(spark, path, rows_of([(2, 5, "2024-01-02"), (4, 1, "2024-01-01")]), ["k"], ["v"])
+    writers.merge(spark, path, rows_of([(9, 9, "2024-01-02")]).filter("k < 0"), ["k"], ["v"])
     assert rows(spark.read.parquet(path), "k", "v") == [(1, 1), (2, 5), (3, 1), (4, 1)]
+    # A day between two touched ones stays as it is.
+    writers.merge(spark, path, rows_of([(1, 7, "2024-01-01"), (3, 7, "2024-01-03")]), ["k"], ["v"])
+    assert rows(spark.read.parquet(path), "k", "v") == [(1, 7), (2, 5), (3, 7), (4, 1)]
 
 
 def test_no_store(readings, tmp_path):

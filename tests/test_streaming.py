@@ -36,7 +36,7 @@ def test_bridge_equals_batch_across_a_restart(spark, tmp_path):
     def run():
         src = readers.text_stream(spark, str(source), max_files=1)
         jobs.bridge(
-            src, writers.topic_files(out, "records"), str(tmp_path / "cp"), writers.topic_files(out, "dead")
+            src, writers.topic_files(out, "records"), str(tmp_path / "cp"), writers.dead_files(out, "dead")
         ).awaitTermination()
 
     drop(source, "1.txt", LINES[:30])
@@ -45,7 +45,8 @@ def test_bridge_equals_batch_across_a_restart(spark, tmp_path):
     run()
     batch = readings.to_topic(readings.parse_telemetry(spark.createDataFrame([(x,) for x in LINES], "value string")))
     assert rows(spark.read.text(f"{out}/records"), "value") == rows(batch, "value")
-    assert rows(spark.read.text(f"{out}/dead"), "value") == sorted([("junk",), ('{"a":1,"b":,,"c":1}',)])
+    dead = rows(spark.read.json(f"{out}/dead"), "value", "error")
+    assert dead == sorted([("junk", "parse"), ('{"a":1,"b":,,"c":1}', "parse")])
     record = json.loads(batch.first().value)
     assert set(record) == set(readings.FIELDS) and all(isinstance(v, str) for v in record.values())
 
@@ -69,7 +70,7 @@ def test_analyzer_equals_batch(spark, tmp_path, topic, store_name):
         writers.get_store(store_name, f"{out}/store"),
         writers.topic_files(out, "actions"),
         str(tmp_path / "cp"),
-        writers.topic_files(out, "dead"),
+        writers.dead_files(out, "dead"),
         processed_ms=lambda: F.lit(1700000099000),
     ).awaitTermination()
     frame = spark.createDataFrame([(r,) for r in topic], "value string")
@@ -77,7 +78,7 @@ def test_analyzer_equals_batch(spark, tmp_path, topic, store_name):
     acting = readings.actions(routed.valid, 2, 8)
     want = rows(acting.select(readings.action_message(F.lit(1700000099000)).alias("value")))
     assert rows(spark.read.text(f"{out}/actions"), "value") == want
-    assert rows(spark.read.text(f"{out}/dead"), "value") == rows(routed.dead, "value")
+    assert rows(spark.read.json(f"{out}/dead"), "value", "error") == rows(routed.dead, "value", "error")
     assert routed.dead.count() == 3
     assert sum(part.count() for part in routed) == len(topic)
     if store_name == "file":
@@ -86,6 +87,14 @@ def test_analyzer_equals_batch(spark, tmp_path, topic, store_name):
             assert rows(readers.stored_csv(spark, f"{out}/store/{table}"), *columns) == rows(part, *columns)
 
 
+def test_dropped_dead_letters_are_logged(spark, tmp_path, caplog):
+    drop(tmp_path / "in", "1.txt", LINES)
+    src = readers.text_stream(spark, str(tmp_path / "in"))
+    with caplog.at_level("WARNING", logger=jobs.__name__):
+        jobs.bridge(src, writers.topic_files(str(tmp_path), "records"), str(tmp_path / "cp")).awaitTermination()
+    assert "2 dead letters" in caplog.text
+
+
 def test_analyzer_replays_a_failed_batch_once(spark, tmp_path, topic):
     """The store fails after the actions went out; the restart repeats the batch, not its rows."""
     out = str(tmp_path / "out")

@@ -372,6 +372,23 @@ def label_values(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     )
 
 
+def rate_two_way(
+    df: DataFrame, series: Sequence[str], ts: str, sent: Column, received: Column, window_ms: int, tie: str | None = None
+) -> DataFrame:
+    """Rates of two counters of the same samples, the received one below zero.
+
+    The direction is part of the series key, so the samples are scanned and shuffled once.
+    """
+    counters = [
+        F.struct(F.lit(name).alias("direction"), column.alias("_bytes"))
+        for name, column in (("tx", sent), ("rx", received))
+    ]
+    both = df.withColumn("_counter", F.explode(F.array(*counters))).select("*", "_counter.*")
+    rates = rate(both, [*series, "direction"], ts, "_bytes", window_ms, tie)
+    sign = F.when(F.col("direction") == "rx", -1.0).otherwise(1.0)
+    return rates.withColumn("rate", F.col("rate") * sign)
+
+
 def two_way(sent: DataFrame, received: DataFrame) -> DataFrame:
     """Sent rates above and received rates below zero."""
     return sent.withColumn("direction", F.lit("tx")).unionByName(
@@ -379,6 +396,14 @@ def two_way(sent: DataFrame, received: DataFrame) -> DataFrame:
     )
 
 
+def label_experiments(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """Rows of the experiments that share one table, in one scan: ``names`` maps name to value of ``column``."""
+    name = F.lit(None).cast("string")
+    for experiment, value in names.items():
+        name = F.when(F.col(column) == value, F.lit(experiment)).otherwise(name)
+    return df.filter(F.col(column).isin(list(names.values()))).withColumn("experiment", name)
+
+
 def combine_experiments(frames: dict[str, DataFrame]) -> DataFrame:
     """Stack the result files of several experiments with an ``experiment`` column."""
     labelled = [df.withColumn("experiment", F.lit(name)) for name, df in frames.items()]

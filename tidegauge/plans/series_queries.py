@@ -190,15 +190,16 @@ def label_join_cpu(v):
 @query(
     "workload_window_join",
     """SELECT d.workload_id, m.event_id, m.ts, m.container_name FROM metrics m
-       JOIN wl_deployed d ON m.wl = d.wl AND m.namespace = d.namespace
+       JOIN wl_deployed d ON m.event_id // 8 + 1 = d.workload_id
        AND m.ts BETWEEN d.created_s - 60 AND d.created_s + d.duration + 60""",
     "metrics",
     "wl_deployed",
 )
 def workload_window_join(v):
-    samples = v.metrics().select("event_id", "ts", "namespace", "wl", "container_name")
-    workloads = v.deployed().select("workload_id", "created_s", "duration", "namespace", "wl")
-    return joins.window_join(samples, workloads, "ts", ["wl", "namespace"]).select(
+    """A sample carries the id of one workload, as deployed ones do."""
+    samples = v.metrics().select("event_id", "ts", F.expr("event_id div 8 + 1").alias("owner"), "container_name")
+    workloads = v.deployed().select("workload_id", "created_s", "duration", F.col("workload_id").alias("owner"))
+    return joins.window_join(samples, workloads, "ts", ["owner"]).select(
         "workload_id", "event_id", "ts", "container_name"
     )
 
@@ -316,11 +317,8 @@ def counter_rate(v):
     "metrics",
 )
 def network_two_way(v):
-    def day_rate(column):
-        rows = v.metrics().withColumn("_bytes", column)
-        return ops.rate(rows, ["pod_name"], "ms", "_bytes", DAY_MS, "event_id")
-
-    both = ops.two_way(day_rate(F.col("counter")), day_rate(100 - F.col("counter")))
+    sent, received = F.col("counter"), 100 - F.col("counter")
+    both = ops.rate_two_way(v.metrics(), ["pod_name"], "ms", sent, received, DAY_MS, "event_id")
     return both.withColumn("rate", F.round("rate", 9))
 
 
@@ -376,13 +374,10 @@ def recent_logs(v):
     "metrics",
 )
 def experiment_union(v):
-    """Each experiment is its own exported file; here one container per experiment."""
-    def experiment(container):
-        rows = v.metrics().filter(F.col("container_name") == container)
-        return rows.select("ts", "host", F.round(F.col("value") / 1e6, 6).alias("value"))
-
+    """One container per experiment; experiments in files of their own are stacked instead."""
     containers = {"pods-50": "click", "pods-80": "view", "pods-110": "purchase"}
-    return ops.combine_experiments({name: experiment(c) for name, c in containers.items()})
+    rows = ops.label_experiments(v.metrics(), "container_name", containers)
+    return rows.select("experiment", "ts", "host", F.round(F.col("value") / 1e6, 6).alias("value"))
 
 
 @query(

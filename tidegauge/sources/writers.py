@@ -147,9 +147,6 @@ def keyed_store(root: str, keys: Sequence[str] = ("readingTS",)) -> Store:
     return write
 
 
-LISTED_DAYS = 4096
-
-
 def merge(
     spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> None:
@@ -174,14 +171,13 @@ def merge(
 def _touched(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Stored rows of the days in ``rows``.
 
-    Few days become a literal list that prunes partitions before anything is read. More days
-    than ``LISTED_DAYS`` are matched by a join instead.
+    Only partitions between the first and the last of these days are read; where Spark
+    broadcasts the days, it prunes by them too.
     """
-    days = rows.select("day").distinct()
-    listed = [row.day for row in days.limit(LISTED_DAYS + 1).collect()]
-    if len(listed) <= LISTED_DAYS:
-        return stored.filter(F.col("day").isin(listed))
-    return stored.join(days, "day", "left_semi")
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    within = F.col("day").between(first, last)
+    days = rows.select("day").filter(within).distinct()
+    return stored.filter(within).join(days, "day", "left_semi")
 
 
 def no_store() -> Store:
@@ -209,6 +205,15 @@ def get_store(name: str, *args: str, **options) -> Store:
     return factory(*args, **options) if factory else no_store()
 
 
+def dead_files(root: str, table: str) -> Callable[[DataFrame, int], None]:
+    """Dead letters as JSON lines with the raw ``value`` and the reason ``error``."""
+
+    def write(letters: DataFrame, batch_id: int) -> None:
+        letters.select("value", "error").write.mode("overwrite").json(batch_folder(root, table, batch_id))
+
+    return write
+
+
 def topic_files(root: str, table: str) -> Callable[[DataFrame, int], None]:
     """Text records of a topic as files, one folder per batch."""
 

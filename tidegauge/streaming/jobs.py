@@ -8,6 +8,7 @@ fails the query, which then restarts from its checkpoint.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from ..operators import readings, series
 from ..schemas import INVALID_TABLE, TOPIC_KEY, VALID_TABLE
 from ..sources.writers import Store
 
+LOG = logging.getLogger(__name__)
 RecordSink = Callable[[DataFrame, int], None]
 BATCH: dict = {"availableNow": True}
 
@@ -27,6 +29,16 @@ def _start(writer: DataStreamWriter, checkpoint: str, trigger: dict) -> Streamin
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _bury(letters: DataFrame, dead: RecordSink | None, batch_id: int) -> None:
+    """Give dead letters with ``value`` and ``error`` to their sink; without one, log their number."""
+    if dead is not None:
+        dead(letters.select("value", "error", F.col("error").alias("key")), batch_id)
+        return
+    lost = letters.count()
+    if lost:
+        LOG.warning("batch %d: %d dead letters dropped, no sink is set", batch_id, lost)
+
+
 def bridge(
     src: DataFrame,
     sink: RecordSink,
@@ -35,13 +47,20 @@ def bridge(
     key: str = TOPIC_KEY,
     trigger: dict = BATCH,
 ) -> StreamingQuery:
-    """Device text to keyed JSON records; text that does not parse goes to ``dead``."""
+    """Device text to keyed JSON records; text that does not parse goes to ``dead``.
+
+    Dead letters have the raw ``value`` and the reason as ``error`` and as the record ``key``. A batch is
+    read and parsed once and kept for both outputs.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = readings.parse_telemetry(batch.select("value"))
-        sink(readings.to_topic(parsed, key), batch_id)
-        if dead is not None:
-            dead(readings.parsed_rows(parsed, False).select("value"), batch_id)
+        parsed = readings.parse_telemetry(batch.select("value")).persist()
+        try:
+            sink(readings.to_topic(parsed, key), batch_id)
+            unread = readings.parsed_rows(parsed, False).withColumn("error", F.lit("parse"))
+            _bury(unread, dead, batch_id)
+        finally:
+            parsed.unpersist()
 
     return _start(src.writeStream.foreachBatch(write), checkpoint, trigger)
 
@@ -68,7 +87,7 @@ def analyzer(
 ) -> StreamingQuery:
     """JSON records to stored valid and invalid readings, actions and dead letters.
 
-    A batch is typed once and kept for its outputs. Actions go out before the readings are
+    A batch is typed once and kept for its outputs. Dead letters are as in ``bridge``. Actions go out before the readings are
     stored, and also when nothing is stored.
     """
 
@@ -85,8 +104,7 @@ def analyzer(
             actions(acting.select(readings.action_message(now).alias("value")), batch_id)
             store(routed.valid, VALID_TABLE, batch_id)
             store(routed.invalid, INVALID_TABLE, batch_id)
-            if dead is not None:
-                dead(routed.dead.select("value"), batch_id)
+            _bury(routed.dead, dead, batch_id)
         finally:
             typed.unpersist()
 
