@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import schemas
 from tidegauge.operators import generate
+from tidegauge.operators import readings as operators
 from tidegauge.sources import readers, writers
 
 
@@ -162,3 +163,15 @@ def test_only_a_missing_folder_is_an_empty_table(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "some"))
     with pytest.raises(AnalysisException):
         writers._exists(spark, str(tmp_path / "some"), "id long, id long").count()
+
+
+def test_a_range_of_a_stored_table_is_pruned(spark, readings, tmp_path):
+    writers.relational_store(str(tmp_path))(readings, schemas.VALID_TABLE, 0)
+    stored = readers.stored_table(spark, f"{tmp_path}/temperature")
+    got = operators.recent(stored, 90_000, 3600)
+    assert rows(got) == [(90_000, "s1", 7, 3.5)]
+    assert rows(operators.recent(stored, 100, 0, "s2")) == [(100, "s2", 6, 2.5)]
+    # Same rows by the text alone.
+    assert rows(operators.recent(stored.drop("reading_s", "day"), 90_000, 3600)) == rows(got)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "GreaterThanOrEqual(reading_s,86400)" in plan

@@ -5,6 +5,7 @@ Every step here is a narrow projection or filter: one scan, no shuffle.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -204,10 +205,16 @@ def recent(
 ) -> DataFrame:
     """Stored readings of ``[now - range_s, now]``, newest first.
 
-    ``readingTS`` is stored as text, hence the cast before comparing.
+    ``readingTS`` is stored as text, hence the cast before comparing. Tables that also keep the second as
+    ``reading_s`` and are partitioned by ``day``, as the relational store's are, are pruned by both.
     """
     at = F.col("readingTS").try_cast("bigint")
+    if "reading_s" in stored.columns:
+        at = F.col("reading_s")
     rows = stored.filter(at.between(now - range_s, now))
+    if "day" in stored.columns:
+        days = [datetime.fromtimestamp(s, UTC).date() for s in (now - range_s, now)]
+        rows = rows.filter(F.col("day").between(*days))
     if sensor is not None:
         rows = rows.filter(F.col("sensorID") == sensor)
     return rows.select(at.alias("reading_ts"), "sensorID", "temperature", "humidity").orderBy(

@@ -89,14 +89,24 @@ def _last_id(spark: SparkSession, root: str, table: str, batch_id: int) -> int:
 
 
 def relational_store(root: str) -> Store:
-    """Append with a surrogate id, kept as parquet; ids continue after earlier batches."""
+    """Append with a surrogate id, kept as parquet by day; ids continue after earlier batches.
+
+    Beside the text of the reading time its second is kept as a number, ``reading_s``, so that
+    ``readings.recent`` prunes days and row groups.
+    """
 
     def write(readings: DataFrame, table: str, batch_id: int) -> None:
         spark = readings.sparkSession
         last = _last_id(spark, root, table, batch_id)
         order = ["readingTS", "sensorID", "processTS", "temperature", "humidity"]
         numbered = sequential_ids(_stored_form(readings), order, "id", last + 1)
-        numbered.write.mode("overwrite").parquet(batch_folder(root, table, batch_id))
+        dated = numbered.withColumn("reading_s", F.col("readingTS").try_cast("bigint")).withColumn(
+            "day", F.to_date(F.timestamp_seconds("reading_s"))
+        )
+        # The folder belongs to this batch: replace all of its days, also after a replay.
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+            "day"
+        ).parquet(batch_folder(root, table, batch_id))
         note = numbered.agg(F.coalesce(F.max("id"), F.lit(last)).alias("last"))
         note.write.mode("overwrite").parquet(batch_folder(f"{root}/_last_id", table, batch_id))
 
