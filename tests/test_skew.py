@@ -50,7 +50,7 @@ def last_per_instant(group):
     return sorted((ts, v) for ts, (_, v) in last.items())
 
 
-@pytest.mark.parametrize("chunk", [1, 64, 1000, 1 << 20])
+@pytest.mark.parametrize("chunk", [1, 8, 64, 1000, 1 << 20])
 def test_positions(frame, samples, chunk):
     want = []
     for name, group in by_series(samples).items():
@@ -220,3 +220,13 @@ def test_trailing_count_has_no_frame_of_the_span(spark):
     counted = series.trailing_count(hot, ["s"], "ts", 4000, 1000)
     assert "RangeFrame" not in counted._jdf.queryExecution().executedPlan().toString()
     assert rows(counted, "ts", "n") == [(t, min(t + 1, 4000)) for t in range(5000)]
+
+
+def test_positions_of_sparse_ids_are_summed_in_spans(spark):
+    """Every row is a chunk of its own; no task gets the chunks of the whole group."""
+    ids = spark.range(500).selectExpr("'g' AS s", "(id - 250) * 10007 AS seq")
+    got = numbering.positions(ids, ["s"], "seq", chunk_rows=100)
+    want = [((i - 250) * 10007, i + 1) for i in range(500)]
+    assert rows(got, "seq", "pos") == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(_span#\d+", plan)

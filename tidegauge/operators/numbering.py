@@ -28,8 +28,10 @@ def positions(
 
     ``seq`` must be an integer that is unique within a group. Rows are cut into chunks
     ``seq div chunk_rows``; uniqueness bounds a (group, chunk) by ``chunk_rows`` rows
-    whatever the skew. Chunk counts are tiny and give the offset of each chunk. The rows
-    and their offsets meet on the key the window needs anyway, so rows shuffle once.
+    whatever the skew. Chunk counts give the offset of each chunk: first among the chunks of
+    a span of ``chunk_rows`` chunks, then among the spans of the group. So sparse ids, where a
+    chunk may have one row, do not gather in one task either. The rows and their offsets
+    meet on the key the window needs anyway, so rows shuffle once.
     """
     # A struct key equals itself also when a group column is NULL, so no group is lost.
     group = F.struct(*[F.col(c) for c in by])
@@ -37,11 +39,21 @@ def positions(
         "_key", F.struct(group.alias("group"), F.expr(f"`{seq}` div {chunk_rows}").alias("chunk"))
     )
     counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = (
-        Window.partitionBy("_group").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = counts.select(
+        "_key",
+        F.struct(F.col("_key.group"), F.expr(f"_key.chunk div {chunk_rows}").alias("span")).alias("_span"),
+        "_rows",
     )
-    offsets = counts.select("_key", "_key.*", "_rows").toDF("_key", "_group", "_chunk", "_rows").select(
-        "_key", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
+
+    def before(part: str, order: str) -> Column:
+        earlier = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+
+    spans = chunks.groupBy("_span").agg(F.sum("_rows").alias("_rows"))
+    spans = spans.select("_span", before("_span.group", "_span.span").alias("_spans_before"))
+    within = chunks.select("_key", "_span", before("_span", "_key.chunk").alias("_chunks_before"))
+    offsets = within.join(spans, "_span").select(
+        "_key", (F.col("_chunks_before") + F.col("_spans_before")).alias("_offset")
     )
     local = Window.partitionBy("_key").orderBy(seq)
     numbered = rows.withColumn("_rn", F.row_number().over(local))
