@@ -202,7 +202,7 @@ def in_buckets(prints: DataFrame, most: int, largest: int) -> DataFrame:
     with more than ``largest`` agree in that block, and any near two of them agree in one of
     ``most + 1`` blocks of the other bits too: such a bucket is split by these, up to ``SPLITS`` times.
     Each time multiplies the copies of its fingerprints, and words that still share a bucket then
-    agree in over half of their bits (28 to 37 with ``most`` 3): these are dense, and the hierarchy links
+    agree in over half of their bits (37 with ``most`` 3): these are dense, and the hierarchy links
     dense groups whole.
     """
     blocks = most + 1
