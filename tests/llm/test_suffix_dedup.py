@@ -1,10 +1,12 @@
 import hashlib
 import random
+import uuid
 
 import numpy as np
 import pytest
 
-from tidegauge.llm.suffix_dedup import Stretches, op6_suffix_dedup, refined, remove_repeats
+from tidegauge.llm import suffix_dedup
+from tidegauge.llm.suffix_dedup import Sent, Stretches, op6_suffix_dedup, refined, remove_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,3 +95,32 @@ def test_pieces_of_a_long_text_hold_every_string_once():
     # The same text gives the same stretches, but for the last one, which is cut off.
     n = (s.doc == 2).sum() - 1
     assert (s.print[s.doc == 2][:n] == s.print[:n]).all()
+
+
+def test_a_passage_in_many_surroundings_is_not_one_tasks_work(spark, monkeypatch, tmp_path):
+    """Every document has one passage, each between other bytes; strings at its edges are shared by some."""
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage, edges = noise(70), [noise(40) for _ in range(40)]
+    docs = []
+    for i in range(400):
+        before, after = (rnd.choice(edges) if rnd.random() < 0.3 else noise(40) for _ in range(2))
+        docs.append((rnd.randint(0, 300), noise(30) + before + passage + after + noise(30)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    decide = suffix_dedup._decide
+
+    def counted(rows, match):
+        n = sum(len(Sent(b).texts) for g, b in zip(rows["group"], rows["stretches"]) if g >= 0)
+        (tmp_path / uuid.uuid4().hex).write_text(str(n))
+        return decide(rows, match)
+
+    monkeypatch.setattr(suffix_dedup, "_decide", counted)
+    sizes = []
+    for most in (1 << 15, 30):
+        assert sorted(rows(remove_repeats(df, part_bytes=9000, most_alike=most))) == sorted(plain(docs))
+        sizes.append([int(f.read_text()) for f in tmp_path.iterdir()])
+        for f in tmp_path.iterdir():
+            f.unlink()
+    # Of eight groups: whole, one call has all surroundings of a q-gram; split, strings are spread evenly.
+    shares = [max(x) / sum(x) for x in sizes]
+    assert shares[0] > 0.2 > 0.16 > shares[1], shares

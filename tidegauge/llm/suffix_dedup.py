@@ -12,6 +12,8 @@ bucket that it is sorted into. So of most texts little is sent.
 4. Per bucket, the strings in these stretches are refined: 4-gram buckets by the bucket 4 further
    on give those of 8 bytes, those 16, 32 and at last ``match``, each from the last ones' identifiers.
    The smallest document of every string decides what goes; the decisions go back to the parts.
+   A bucket of very many different stretches is not gathered: its strings are sent one by one, with the part's
+   smallest document, to groups named by a hash of the whole string.
 5. Each part cuts its texts.
 """
 
@@ -32,6 +34,8 @@ _BITS = 20  # positions in a buffer
 _LOW = np.uint64((1 << _BITS) - 1)
 #: Bytes of a piece of text that is worked on at once; a buffer has at most two pieces' size.
 _PIECE = 1 << (_BITS - 1)
+#: A part counts the different stretches of q-grams that have more than these.
+_FEW = 4
 _TAG_BITS = 32  # low bits of a q-gram's hash, which name its bucket; the others travel
 
 
@@ -129,6 +133,37 @@ def _tags(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return low.astype(np.int64), grams >> np.uint64(_TAG_BITS)
 
 
+def _named(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Tag and bucket number of q-grams as one number."""
+    bucket, tag = _tags(grams, buckets)
+    return (tag << np.uint64(_TAG_BITS)) | bucket.astype(np.uint64)
+
+
+def _strings(
+    texts: list[bytes], s: Stretches, which: np.ndarray, match: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index in ``s``, step in the stretch, hash) of all single strings in the stretches ``which``."""
+    found = []
+    most = _PIECE // (2 * match + 62)
+    up, down = _POWERS
+    size = np.uint64(match * int(_STEP) % (1 << 64))
+    for k in range(0, len(which), most):
+        own = which[k : k + most]
+        count = (s.last - s.first + 1)[own]
+        places = zip(s.doc[own].tolist(), s.first[own].tolist(), s.last[own].tolist())
+        buffer = b"".join([texts[d][a : z + match] for d, a, z in places])
+        x = np.frombuffer(buffer, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(x) + 1, dtype=np.uint64)
+        np.cumsum(x * up[: len(x)], out=sums[1:])
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start = np.repeat(np.cumsum(count + match - 1) - (count + match - 1), count) + step
+        hashes = _mix(((sums[start + match] - sums[start]) * down[start]) ^ size)
+        found.append((np.repeat(own, count), step, hashes))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _pack(tags: np.ndarray) -> bytes:
     return tags.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 - _TAG_BITS // 8].tobytes()
 
@@ -158,16 +193,24 @@ def refined(text: bytes, match: int) -> np.ndarray:
     return ids[: len(text)].astype(np.int64)
 
 
-def _shared_buckets(blobs: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket's tags by part: those that come twice, back to each part that has them."""
+def _shared_buckets(blobs: pd.DataFrame, most_alike: int) -> pd.DataFrame:
+    """Of one bucket's tags by part: those that come twice, back to each part that has them.
+
+    ``hot``: those of them that may have more than ``most_alike`` different stretches.
+    """
     parts = [_unpack(b) for b in blobs["tags"]]
     tags, count = np.unique(np.concatenate(parts), return_counts=True)
+    alike = count * _FEW
+    often = np.frombuffer(b"".join(blobs["often"]), dtype="<u8").reshape(-1, 2)
+    np.add.at(alike, np.searchsorted(tags, often[:, 0]), often[:, 1].astype(np.int64))
     twice = tags[count > 1]
-    back = []
+    hot = tags[(count > 1) & (alike > most_alike)]
+    back, crowded = [], []
     for x in parts:
         x = np.unique(x)
         back.append(_pack(x[np.isin(x, twice, assume_unique=True)]))
-    out = pd.DataFrame({"_part": blobs["_part"], "bucket": blobs["bucket"], "tags": back})
+        crowded.append(_pack(x[np.isin(x, hot, assume_unique=True)]))
+    out = pd.DataFrame({"_part": blobs["_part"], "bucket": blobs["bucket"], "tags": back, "hot": crowded})
     return out[out["tags"].map(len) > 0]
 
 
@@ -201,7 +244,10 @@ def _decide(rows: pd.DataFrame, match: int) -> pd.DataFrame:
     """Which strings of each part's stretches also start in a smaller document, per part.
 
     ``masks`` holds a bit per string of each stretch of ``prints``, for the part's smallest document with it.
+    Names of a part's hot q-grams (groups below 0) go back as they are, without masks.
     """
+    if rows["group"].iloc[0] < 0:
+        return pd.DataFrame({"_part": rows["_part"], "prints": rows["stretches"], "masks": b""})
     sent = [Sent(b) for b in rows["stretches"]]
     ends = np.cumsum([len(x.texts) for x in sent])
     doc = np.concatenate([x.doc for x in sent])
@@ -254,6 +300,7 @@ def remove_repeats(
     q: int = 20,
     part_bytes: int = 8 << 20,
     as_text: bool = False,
+    most_alike: int = 1 << 15,
 ) -> DataFrame:
     """Replace the text by what is left without strings that a document with a smaller id has, too.
 
@@ -264,7 +311,8 @@ def remove_repeats(
     empty texts keep nothing and lose nothing. With ``as_text``, ``kept`` is a string without the
     characters that lost a part of their bytes. A null id is neither smaller nor larger than others: such
     rows lose nothing. Rows of one id don't cut each other. Repeated rows stay repeated. Other columns
-    stay; columns with the names added are replaced. The id must be a long.
+    stay; columns with the names added are replaced. The id must be a long. The strings of a q-gram with
+    more than about ``most_alike`` different stretches are compared one by one.
     """
     if not 4 <= q <= match <= q + 62:
         raise ValueError("the q-gram must have 4 to `match` bytes and at most 62 bytes less")
@@ -300,9 +348,41 @@ def remove_repeats(
         order = np.argsort(bucket, kind="stable")
         bucket, tag = bucket[order], tag[order]
         number, at = np.unique(bucket, return_index=True)
-        tidy()
         blobs = [_pack(x) for x in np.split(tag, at[1:])] if len(tag) else []
-        return pd.DataFrame({"bucket": number, "_part": frame["_part"].iloc[0], "tags": blobs})
+        # How many different stretches the tags have that have more than a few.
+        named = _named(s.gram, buckets)
+        order = np.lexsort((s.print, named))
+        named, mark = named[order], s.print[order]
+        new = np.ones(len(named), dtype=bool)
+        new[1:] = (named[1:] != named[:-1]) | (mark[1:] != mark[:-1])
+        named, count = np.unique(named[new], return_counts=True)
+        named, count = named[count > _FEW], count[count > _FEW]
+        own = (named & np.uint64((1 << _TAG_BITS) - 1)).astype(np.int64)
+        pairs = np.stack([named >> np.uint64(_TAG_BITS), count.astype(np.uint64)], axis=1).astype("<u8")
+        order = np.argsort(own, kind="stable")
+        ends = np.searchsorted(own[order], number, side="right")
+        begins = np.searchsorted(own[order], number)
+        often = [pairs[order[a:z]].tobytes() for a, z in zip(begins, ends)]
+        tidy()
+        return pd.DataFrame({"bucket": number, "_part": frame["_part"].iloc[0], "tags": blobs, "often": often})
+
+    def single(texts: list[bytes], ids: np.ndarray, s: Stretches, which: np.ndarray, part: int) -> list[tuple]:
+        """Rows of single strings, each with the part's smallest document; groups from ``buckets`` on."""
+        owner, step, hashes = _strings(texts, s, which, match)
+        order = np.lexsort((ids[s.doc[owner]], hashes))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = hashes[order][1:] != hashes[order][:-1]
+        order = order[new]
+        group = (hashes[order] & np.uint64(buckets - 1)).astype(np.int64)
+        order = order[np.lexsort((step[order], owner[order], group))]
+        group, at = np.unique(group, return_index=True)[0], np.unique(np.sort(group), return_index=True)[1]
+        out = []
+        for g, own in zip(group, np.split(order, at[1:])):
+            doc, a = s.doc[owner[own]], s.first[owner[own]] + step[own]
+            pieces = [texts[d][x : x + match] for d, x in zip(doc.tolist(), a.tolist())]
+            tag = hashes[own] >> np.uint64(_TAG_BITS)
+            out.append((buckets + int(g), part, Sent.pack(tag, hashes[own], ids[doc], pieces)))
+        return out
 
     def send_stretches(frame: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         columns = ["group", "_part", "stretches"]
@@ -310,15 +390,24 @@ def remove_repeats(
             return pd.DataFrame(columns=columns)
         texts, ids, s = stretches(frame)
         bucket, tag = _tags(s.gram, buckets)
-        wanted = [
-            (_unpack(t) << np.uint64(_TAG_BITS)) | np.uint64(b) for b, t in zip(back["bucket"], back["tags"])
-        ]
-        own = (tag << np.uint64(_TAG_BITS)) | bucket.astype(np.uint64)
-        hit = np.flatnonzero(np.isin(own, np.concatenate(wanted)))
+        wanted, hot = (
+            np.concatenate(
+                [(_unpack(t) << np.uint64(_TAG_BITS)) | np.uint64(b) for b, t in zip(back["bucket"], back[name])]
+            )
+            for name in ("tags", "hot")
+        )
+        own = _named(s.gram, buckets)
+        hit = np.flatnonzero(np.isin(own, wanted))
         # One row for equal stretches, with the smallest of their documents.
         hit = hit[np.lexsort((ids[s.doc[hit]], s.print[hit]))]
         new = np.concatenate([[True], s.print[hit][1:] != s.print[hit][:-1]])
         hit = hit[new[: len(hit)]]
+        part = frame["_part"].iloc[0]
+        more = []
+        if len(hot):
+            crowded = np.isin(own[hit], hot)
+            more = [(-1 - part, part, hot.astype("<u8").tobytes()), *single(texts, ids, s, hit[crowded], part)]
+            hit = hit[~crowded]
         hit = hit[np.argsort(bucket[hit], kind="stable")]
         group, at = np.unique(bucket[hit], return_index=True)
         blobs = []
@@ -329,7 +418,7 @@ def remove_repeats(
             blobs.append(Sent.pack(tag[own], s.print[own], ids[s.doc[own]], pieces))
         blobs = blobs[: len(group)]
         tidy()
-        return pd.DataFrame({"group": group, "_part": frame["_part"].iloc[0], "stretches": blobs}, columns=columns)
+        return pd.DataFrame([*zip(group, [part] * len(group), blobs), *more], columns=columns)
 
     out_names = [*kept, "n_bytes", "kept", "spans"]
 
@@ -344,6 +433,9 @@ def remove_repeats(
         heads = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]])) if n else np.zeros(0, int)
         count = np.diff(np.append(heads, n))
         smallest = np.repeat(doc[heads], count)
+        named = decided["masks"].map(len) == 0
+        hot = np.frombuffer(b"".join(decided["prints"][named]), dtype="<u8")
+        decided = decided[~named]
         said = pd.Series(
             np.frombuffer(b"".join(decided["masks"]), dtype="<i8"),
             index=np.frombuffer(b"".join(decided["prints"]), dtype="<i8"),
@@ -351,6 +443,16 @@ def remove_repeats(
         here = said.reindex(mark, fill_value=0).to_numpy() if n else np.zeros(0, dtype=np.int64)
         whole = (1 << (s.last - s.first + 1)[order]) - 1
         mask[order] = np.where(doc > smallest, whole, here)
+        if len(hot):
+            which = np.flatnonzero(np.isin(_named(s.gram, buckets), hot))
+            owner, step, hashes = _strings(texts, s, which, match)
+            _, string = np.unique(hashes, return_inverse=True)
+            doc = ids[s.doc[owner]]
+            least = np.full(len(hashes), np.iinfo(np.int64).max)
+            np.minimum.at(least, string, doc)
+            gone = (doc > least[string]) | (said.reindex(hashes.view(np.int64), fill_value=0).to_numpy() != 0)
+            mask[which] = 0
+            np.bitwise_or.at(mask, owner[gone], 1 << step[gone])
         hit = np.flatnonzero(mask)
         bits = (mask[hit][:, None] >> np.arange(match - q + 1)) & 1
         row, step = np.nonzero(bits)
@@ -372,8 +474,10 @@ def remove_repeats(
     schema = docs.select(*kept).schema.add("n_bytes", LongType()).add("kept", StringType() if as_text else BinaryType())
     schema = schema.add("spans", ArrayType(span))
     texts = keyed.groupBy("_part")
-    sent = texts.applyInPandas(send_buckets, "bucket long, _part long, tags binary")
-    back = sent.groupBy("bucket").applyInPandas(_shared_buckets, "_part long, bucket long, tags binary")
+    sent = texts.applyInPandas(send_buckets, "bucket long, _part long, tags binary, often binary")
+    back = sent.groupBy("bucket").applyInPandas(
+        lambda x: _shared_buckets(x, most_alike), "_part long, bucket long, tags binary, hot binary"
+    )
     rows = texts.cogroup(back.groupBy("_part")).applyInPandas(
         send_stretches, "group long, _part long, stretches binary"
     )
