@@ -120,3 +120,13 @@ def test_op10_keeps_all_messages(spark):
 
 def test_empty(spark):
     assert link_quotations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rewrapped_quotation_of_several_paragraphs(spark):
+    """Two of three paragraphs, wrapped anew: neither the whole passage nor one of its lines was ever said."""
+    said = "First of three.\n\nThe second paragraph stands on one line.\n\nSo does the third paragraph here."
+    quote = "> The second paragraph\n> stands on one line.\n>\n> So does the third\n> paragraph here.\n\nI agree."
+    rows = link_quotations(spark.createDataFrame([(1, 0, "user", said), (2, 0, "user", quote)], SCHEMA)).collect()
+    by = {r.conv_id: r for r in rows}
+    assert (by[2].parent_conv, by[2].parent_turn, by[2].depth) == (1, 0, 1)
+    assert (by[2].root_conv, by[2].root_turn, by[2].thread_id) == (1, 0, 1)

@@ -63,7 +63,8 @@ def passages(body: str) -> set[str]:
 def _parsed(rows: DataFrame, text: str, conv: str, turn: str) -> DataFrame:
     """Per row: body, n_quotes, the digests of what it says and of what it quotes.
 
-    Quotes: (kind, level, number, digest, characters), kind 0 for a whole passage, 1 for a line of it.
+    Quotes: (kind, level, number, digest, characters), kind 0 for a whole passage, 1 for a paragraph of it
+    (blank lines of its level part them), 2 for a line.
     """
     kept = [c for c in rows.columns if c not in ("body", "n_quotes", "_own", "_quoted")]
 
@@ -74,9 +75,11 @@ def _parsed(rows: DataFrame, text: str, conv: str, turn: str) -> DataFrame:
                 body, quotes = parse(value)
                 found = []
                 for number, (level, lines) in enumerate(quotes):
-                    units = [(0, normalised("\n".join(lines)))]
+                    run_ = "\n".join(lines)
+                    units = [(0, normalised(run_))]
                     if len(lines) > 1:
-                        units += [(1, normalised(x)) for x in lines]
+                        units += [(1, n) for x in re.split(r"\n\s*\n", run_) if (n := normalised(x)) != units[0][1]]
+                        units += [(2, normalised(x)) for x in lines]
                     found += [
                         {"kind": k, "level": level, "number": number, "digest": digest(n), "chars": len(n)}
                         for k, n in units
@@ -107,7 +110,7 @@ def link_quotations(
     message before the quoting one that says it itself (as its whole, a paragraph or a line; compared
     in lower case with white space as one space): of the same conversation if there is one, else of any
     conversation before, if the passage has ``least_chars`` characters or more. A message replies to
-    the original of one of its passages: whole passages before single lines, the same conversation
+    the original of one of its passages: whole passages before paragraphs before lines, the same conversation
     before others, low levels before deep ones, the first passage first.
 
     Adds ``body`` (without quotations), ``n_quotes``, ``parent_conv`` and ``parent_turn`` (null if nothing
