@@ -16,6 +16,7 @@ from .sharding import op1_shard_bytes
 from .simhash import op8_simhash
 from .suffix_dedup import op6_suffix_dedup
 from .topk import OP5_SQL, op5_segment_topk
+from .vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_bytes": op1_shard_bytes,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_quotation_linking": op10_quotation_linking,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-SQL: dict[str, str] = {"op5_segment_topk": OP5_SQL, "op7_mixing": OP7_SQL}
+SQL: dict[str, str] = {"op5_segment_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op13_vector_codes": OP13_SQL}
