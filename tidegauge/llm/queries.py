@@ -16,6 +16,7 @@ from .sharding import op1_shard_bytes
 from .simhash import op8_simhash
 from .suffix_dedup import op6_suffix_dedup
 from .topk import OP5_SQL, op5_segment_topk
+from .toxicity import op11_toxicity
 from .vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_quotation_linking": op10_quotation_linking,
+    "op11_toxicity": op11_toxicity,
     "op13_vector_codes": op13_vector_codes,
 }
 
