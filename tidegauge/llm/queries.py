@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .compression_classifier import op4_compression_quality
+from .lexical_search import OP12_SQL, op12_pair_maxscore
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op3_packing
 from .quality_rules import op9_quality_rules
@@ -31,7 +32,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quotation_linking": op10_quotation_linking,
     "op11_toxicity": op11_toxicity,
+    "op12_pair_maxscore": op12_pair_maxscore,
     "op13_vector_codes": op13_vector_codes,
 }
 
-SQL: dict[str, str] = {"op5_segment_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op13_vector_codes": OP13_SQL}
+SQL: dict[str, str] = {
+    "op5_segment_topk": OP5_SQL,
+    "op7_mixing": OP7_SQL,
+    "op12_pair_maxscore": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
+}
