@@ -389,7 +389,7 @@ def rank(
         )
         out = named if out is None else out.unionByName(named)
     if out is None:
-        schema = items.select(item_id).schema.add("rank", "int").add(id_, "long").add("score", "long")
+        schema = items.select(item_id).schema.add("rank", "integer").add(id_, "long").add("score", "long")
         return spark.createDataFrame([], schema)
     return out
 
