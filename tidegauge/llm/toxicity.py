@@ -100,37 +100,41 @@ def train(
     start = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Model({}, start)
-    sets = [words(t) for t in [*positive, *unlabelled]]
     n = len(positive)
-    in_toxic, in_all = Counter(), Counter()
-    for own in sets[:n]:
-        in_toxic.update(own)
-    for own in sets[n:]:
-        in_all.update(own)
-    cut = {w: features(w) for w in in_toxic.keys() | in_all.keys()}
-    often, usual = Counter(), Counter()
-    for w, k in in_toxic.items():
-        for f in cut[w]:
-            often[f] += k
-    for w, k in in_all.items():
-        for f in cut[w]:
-            if f in often:
-                usual[f] += k
-    share = n / len(unlabelled)
-    usual = {f: usual[f] * share for f in often}  # what toxic text would have of a feature that says nothing
-    names = sorted(f for f, k in often.items() if k >= least + lift * usual[f] + 2 * usual[f] ** 0.5)
+    number: dict[str, int] = {}
+    docs = [
+        np.array([number.setdefault(w, len(number)) for w in sorted(words(t))], dtype=np.int32)
+        for t in (*positive, *unlabelled)
+    ]
+    held = [np.bincount(np.concatenate(part), minlength=len(number)) for part in (docs[:n], docs[n:])]
+    often: Counter = Counter()
+    for w, k in zip(number, held[0].tolist()):
+        if k:
+            for f in features(w):
+                often[f] += k
+    often = {f: k for f, k in often.items() if k >= least}
+    usual = dict.fromkeys(often, 0)
+    for w, k in zip(number, held[1].tolist()):
+        if k:
+            for f in features(w):
+                if f in usual:
+                    usual[f] += k
+    share = n / len(unlabelled)  # times that is what toxic text would have of a feature that says nothing
+    names = sorted(
+        f for f, k in often.items() if k >= least + lift * usual[f] * share + 2 * (usual[f] * share) ** 0.5
+    )
     if not names:
         return Model({}, start)
-    number = {f: i for i, f in enumerate(names)}
-    of_word: dict[str, int] = {}
-    word_features: list[list[int]] = []
-    for w in sorted(cut):
-        mine = [number[f] for f in cut[w] if f in number]
+    column = {f: i for i, f in enumerate(names)}
+    place, word_features = np.full(len(number), -1, dtype=np.int32), []
+    for w, i in number.items():
+        mine = [column[f] for f in features(w) if f in column]
         if mine:
-            of_word[w] = len(word_features)
+            place[i] = len(word_features)
             word_features.append(mine)
     by_word = _Sparse(word_features, len(names))
-    by_doc = _Sparse(([of_word[w] for w in sorted(own) if w in of_word] for own in sets), len(word_features))
+    places = (place[own] for own in docs)
+    by_doc = _Sparse((own[own >= 0].tolist() for own in places), len(word_features))
     theta, offset = np.zeros(len(names)), start
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, steps + 1):
