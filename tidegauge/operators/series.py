@@ -9,6 +9,7 @@ know about the slices before it is carried over in one small summary row per sli
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,6 +129,161 @@ def rate(
     )
 
 
+def _before(series: Sequence[str], other: str, *more: Column) -> Column:
+    """Equality of the series columns with those of a summary, which have ``other`` before their names."""
+    same = F.lit(True)
+    for c in series:
+        same = same & F.col(c).eqNullSafe(F.col(f"{other}{c}"))
+    for condition in more:
+        same = same & condition
+    return same
+
+
+def _slice_width(bucket_ms: int, slice_ms: int) -> int:
+    """A width near ``slice_ms`` that either holds whole buckets or divides them."""
+    if bucket_ms <= slice_ms:
+        return bucket_ms * (slice_ms // bucket_ms)
+    parts = -(-bucket_ms // slice_ms)
+    while bucket_ms % parts:
+        parts += 1
+    return bucket_ms // parts
+
+
+def rate_on_grid(
+    df: DataFrame,
+    series: Sequence[str],
+    ts: str,
+    value: str,
+    lookback_ms: int,
+    step_ms: int,
+    tie: str | None = None,
+    slice_ms: int = HOUR_MS,
+    unique: bool = False,
+) -> DataFrame:
+    """Counter increase and rate per second in ``(t - lookback, t]`` at every grid step ``t``.
+
+    Resets and the rate are as in ``rate``; a step whose lookback holds fewer than two instants gives
+    no row. ``unique``: see ``instants``.
+
+    Increases are summed once along a series, resets put right, so the increase between two samples is the
+    difference of two sums. Both ends of a lookback lie on a grid of buckets as wide as the greatest common
+    divisor of lookback and step: a step ends with the last sample of its latest bucket and begins with the
+    first sample of its earliest one. A bucket knows its neighbours, hence the steps it is that end of, and
+    hands its sums to them. A sample is thus read once, however often lookbacks overlap, and what
+    is written per step is one row for each end. Sums are made per time slice, with one summary
+    row per slice in between, so no series has to fit into one task.
+    """
+    bucket_ms = math.gcd(lookback_ms, step_ms)
+    width = _slice_width(bucket_ms, slice_ms)
+    # Buckets and slices are open at their beginning, like the lookback.
+    samples = instants(df.filter(F.col(value).isNotNull()), series, ts, value, tie, unique).withColumns(
+        {"_slice": _bucket(ts, width, width - 1), "_bucket": _bucket(ts, bucket_ms, bucket_ms - 1)}
+    )
+
+    def increase(now: Column, before: Column) -> Column:
+        return F.when(before.isNull(), 0).when(now < before, now).otherwise(now - before)
+
+    in_slice = Window.partitionBy(*series, "_slice").orderBy(ts)
+    so_far = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = samples.withColumn("_inc", increase(F.col(value), F.lag(value).over(in_slice))).withColumns(
+        {"_sum": F.sum("_inc").over(so_far), "_n": F.row_number().over(in_slice).cast("bigint")}
+    )
+    # What is summed never falls along a slice, so the ends of a bucket have its extremes.
+    pieces = summed.groupBy(*series, "_slice", "_bucket").agg(
+        F.min(ts).alias("_t0"), F.max(ts).alias("_t1"),
+        F.min("_sum").alias("_sum0"), F.max("_sum").alias("_sum1"),
+        F.min("_n").alias("_n0"), F.max("_n").alias("_n1"),
+    )
+    slices = summed.groupBy(*series, "_slice").agg(
+        F.sum("_inc").alias("_inc"),
+        F.count(F.lit(1)).alias("_n"),
+        F.min_by(value, ts).alias("_v0"),
+        F.max_by(value, ts).alias("_v1"),
+    )
+    along = Window.partitionBy(*series).orderBy("_slice")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    edges = slices.withColumn("_edge", increase(F.col("_v0"), F.lag("_v1").over(along)))
+    carried = edges.select(
+        *[F.col(c).alias(f"_c_{c}") for c in series],
+        F.col("_slice").alias("_c_slice"),
+        (F.coalesce(F.sum(F.col("_inc") + F.col("_edge")).over(earlier), F.lit(0)) + F.col("_edge")).alias("_c_sum"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_c_n"),
+    )
+    buckets = pieces.join(carried, _before(series, "_c_", F.col("_slice") == F.col("_c_slice"))).select(
+        *series,
+        "_bucket",
+        "_t0",
+        "_t1",
+        *[(F.col(f"_sum{i}") + F.col("_c_sum")).alias(f"_sum{i}") for i in (0, 1)],
+        *[(F.col(f"_n{i}") + F.col("_c_n")).alias(f"_n{i}") for i in (0, 1)],
+    )
+    if width < bucket_ms:
+        ends = {"_t0": F.min, "_t1": F.max, "_sum0": F.min, "_sum1": F.max, "_n0": F.min, "_n1": F.max}
+        buckets = buckets.groupBy(*series, "_bucket").agg(*[f(c).alias(c) for c, f in ends.items()])
+    buckets = _with_neighbours(buckets, series)
+
+    # Steps, counted from 0, that a bucket is the last one of, and those it is the first one of.
+    b, reach = F.col("_bucket"), lookback_ms // bucket_ms
+    per_step = step_ms // bucket_ms
+    up = lambda x: F.ceil(x / per_step)  # noqa: E731  (bucket numbers are far below 2 ** 53)
+    down = lambda x: F.floor(x / per_step)
+    visible_to = b - 1 + reach
+    until = F.least(visible_to, F.coalesce(F.col("_next") - 1, visible_to))
+    since = F.greatest(b, F.coalesce(F.col("_previous") + reach, b))
+    nothing = lambda name: F.lit(None).cast("bigint").alias(name)
+
+    def steps(first: Column, last: Column) -> Column:
+        return F.explode(F.when(up(first) <= down(last), F.sequence(up(first), down(last))))
+
+    sum_type = buckets.schema["_sum0"].dataType
+    lasts = buckets.select(
+        *series, steps(b, until).alias("_step"), "_t1", "_sum1", "_n1",
+        nothing("_t0"), F.lit(None).cast(sum_type).alias("_sum0"), nothing("_n0"),
+    )
+    firsts = buckets.select(
+        *series, steps(since, visible_to).alias("_step"),
+        nothing("_t1"), F.lit(None).cast(sum_type).alias("_sum1"), nothing("_n1"), "_t0", "_sum0", "_n0",
+    )
+    both = lasts.unionByName(firsts).groupBy(*series, "_step").agg(
+        *[F.max(c).alias(c) for c in ("_t0", "_t1", "_sum0", "_sum1", "_n0", "_n1")]
+    )
+    gain = F.col("_sum1") - F.col("_sum0")
+    return both.filter(F.col("_t1") > F.col("_t0")).select(
+        *series,
+        (F.col("_step") * step_ms).alias("step"),
+        (F.col("_n1") - F.col("_n0") + 1).alias("samples"),
+        gain.alias("increase"),
+        (gain / ((F.col("_t1") - F.col("_t0")) / 1000)).alias("rate"),
+    )
+
+
+def _with_neighbours(buckets: DataFrame, series: Sequence[str], together: int = 4096) -> DataFrame:
+    """Add ``_previous`` and ``_next``, the nearest buckets of the series that have samples.
+
+    Buckets are looked at in groups of ``together`` numbers; beyond a group's ends its summary helps out.
+    """
+    grouped = buckets.withColumn("_group", F.floor(F.col("_bucket") / together))
+    here = Window.partitionBy(*series, "_group").orderBy("_bucket")
+    near = grouped.withColumns(
+        {"_previous": F.lag("_bucket").over(here), "_next": F.lead("_bucket").over(here)}
+    )
+    along = Window.partitionBy(*series).orderBy("_group")
+    around = (
+        grouped.groupBy(*series, "_group")
+        .agg(F.min("_bucket").alias("_low"), F.max("_bucket").alias("_high"))
+        .select(
+            *[F.col(c).alias(f"_a_{c}") for c in series],
+            F.col("_group").alias("_a_group"),
+            F.lag("_high").over(along).alias("_a_previous"),
+            F.lead("_low").over(along).alias("_a_next"),
+        )
+    )
+    return near.join(around, _before(series, "_a_", F.col("_group") == F.col("_a_group"))).select(
+        *buckets.columns,
+        *[F.coalesce(f"_{c}", f"_a_{c}").alias(f"_{c}") for c in ("previous", "next")],
+    )
+
+
 def trailing_count(
     df: DataFrame,
     series: Sequence[str],

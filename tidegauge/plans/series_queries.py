@@ -449,3 +449,35 @@ def network_by_workload(v):
     """Rate of each pod with the workload it belongs to."""
     rates = ops.rate(v.metrics(), list(joins.POD_KEYS), "ms", "counter", DAY_MS, "event_id")
     return joins.label_join(rates.withColumn("rate", F.round("rate", 9)), v.pod_info())
+
+
+LOOKBACK_MS, STEP_MS = 64_800_000, 14_400_000
+
+
+@query(
+    "rate_grid_by_workload",
+    f"""WITH s AS (
+         SELECT *, lag(v) OVER (PARTITION BY namespace, host, pod_name ORDER BY ms) AS p FROM (
+           SELECT namespace, host, pod_name, ms, arg_max(counter, event_id) AS v FROM metrics GROUP BY ALL)
+       ), steps AS (SELECT DISTINCT unnest(range((ms + {STEP_MS} - 1) // {STEP_MS},
+           (ms + {LOOKBACK_MS} - 1) // {STEP_MS} + 1)) * {STEP_MS} AS step FROM s
+       ), seen AS (
+         SELECT namespace, host, pod_name, step, ms, CASE WHEN v < p THEN v ELSE v - p END AS inc,
+           min(ms) OVER (PARTITION BY namespace, host, pod_name, step) AS first
+         FROM s JOIN steps ON ms > step - {LOOKBACK_MS} AND ms <= step
+       ), rates AS (
+         SELECT namespace, host, pod_name, step, count(*) AS samples,
+           CAST(sum(CASE WHEN ms > first THEN inc ELSE 0 END) AS BIGINT) AS increase,
+           round(sum(CASE WHEN ms > first THEN inc ELSE 0 END) / ((max(ms) - min(ms)) / 1000.0), 9) AS rate
+         FROM seen GROUP BY ALL HAVING max(ms) > min(ms)
+       )
+       SELECT r.*, i.label_workload_id FROM rates r JOIN pod_info i USING (namespace, host, pod_name)""",
+    "metrics",
+    "pod_info",
+)
+def rate_grid_by_workload(v):
+    """Network rate of each pod at every panel step, over a lookback of several steps, with its workload."""
+    rates = ops.rate_on_grid(
+        v.metrics(), list(joins.POD_KEYS), "ms", "counter", LOOKBACK_MS, STEP_MS, "event_id"
+    )
+    return joins.label_join(rates.withColumn("rate", F.round("rate", 9)), v.pod_info())
