@@ -128,14 +128,18 @@ def test_merge(spark, tmp_path):
         )
 
     path = str(tmp_path / "t")
+
+    def stored():
+        return rows(readers.snapshot_table(spark, path, "k bigint, v bigint, day date"), "k", "v")
+
     writers.merge(spark, path, rows_of([(1, 1, "2024-01-01"), (2, 1, "2024-01-02"), (3, 1, "2024-01-03")]), ["k"], ["v"])
     for _ in range(2):
         writers.merge(spark, path, rows_of([(2, 5, "2024-01-02"), (4, 1, "2024-01-01")]), ["k"], ["v"])
     writers.merge(spark, path, rows_of([(9, 9, "2024-01-02")]).filter("k < 0"), ["k"], ["v"])
-    assert rows(spark.read.parquet(path), "k", "v") == [(1, 1), (2, 5), (3, 1), (4, 1)]
+    assert stored() == [(1, 1), (2, 5), (3, 1), (4, 1)]
     # A day between two touched ones stays as it is.
     writers.merge(spark, path, rows_of([(1, 7, "2024-01-01"), (3, 7, "2024-01-03")]), ["k"], ["v"])
-    assert rows(spark.read.parquet(path), "k", "v") == [(1, 7), (2, 5), (3, 7), (4, 1)]
+    assert stored() == [(1, 7), (2, 5), (3, 7), (4, 1)]
 
 
 def test_no_store(readings, tmp_path):
@@ -149,13 +153,14 @@ def test_save_values_and_sorted(spark, tmp_path):
     writers.save_values(both, str(tmp_path / "v"))
     assert readers.value_file(spark, f"{tmp_path}/v/class=abnormal").filter("temperature >= 11").count() == 10
     writers.save_sorted(ids.selectExpr("10 - id AS value", "id AS tie"), str(tmp_path / "s"), "a", "b", "quicksort")
-    assert rows(spark.read.parquet(str(tmp_path / "s")), "id", "value", "algorithm")[0] == (1, 1, "quicksort")
+    stored = readers.snapshot_table(spark, str(tmp_path / "s"), schemas.SORTED_VALUE)
+    assert rows(stored, "id", "value", "algorithm")[0] == (1, 1, "quicksort")
 
 
 def test_snapshot_replaces(spark, tmp_path):
     for name in ("a", "b"):
         writers.replace_snapshot(spark.createDataFrame([(name,)], "pod string"), str(tmp_path / "p"))
-    assert rows(spark.read.parquet(str(tmp_path / "p"))) == [("b",)]
+    assert rows(readers.snapshot_table(spark, str(tmp_path / "p"), "pod string")) == [("b",)]
 
 
 def test_only_a_missing_folder_is_an_empty_table(spark, tmp_path):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text
-from ..operators.catalogue import latest_by_key
+from . import snapshots, writers
 
 METRIC_LABELS = ("host", "container_name", "pod_name")
 
@@ -87,16 +87,24 @@ def keyed_table(
 ) -> DataFrame:
     """Current rows of a keyed store: the last write per key over all batches.
 
-    The days are partitions and a key lies in one day, so a day range prunes files before
-    the rows are compared.
+    Only folders of the current version and of days in the range are listed, and a key lies in one day.
     """
-    written = spark.read.schema(f"{schemas.READING_KEYED}, day DATE, batch_id BIGINT").parquet(path)
+    rows = snapshots.read(spark, path, writers.KEYED_FILES, first_day, last_day)
     if first_day:
-        written = written.filter(F.col("day") >= F.lit(first_day).cast("date"))
+        rows = rows.filter(F.col("day") >= F.lit(first_day).cast("date"))
     if last_day:
-        written = written.filter(F.col("day") <= F.lit(last_day).cast("date"))
-    first, *ties = schemas.KEYED_ORDER
-    return latest_by_key(written, list(keys), [first, "batch_id", *ties]).drop("batch_id")
+        rows = rows.filter(F.col("day") <= F.lit(last_day).cast("date"))
+    return writers.last_writes(rows, keys).drop("batch_id")
+
+
+def snapshot_table(
+    spark: SparkSession, path: str, schema: str, first_day: str | None = None, last_day: str | None = None
+) -> DataFrame:
+    """The current version of a table that is replaced or merged as a whole; no table has no rows.
+
+    ``schema`` has ``day`` as its last column if the table is by day.
+    """
+    return snapshots.read(spark, path, schema, first_day, last_day)
 
 
 def relational_table(
@@ -122,7 +130,9 @@ def node_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalogue_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One of the catalogue tables, stored as parquet under ``root``."""
+    """One of the catalogue tables, stored as parquet under ``root``, or as versions by ``update_catalogue``."""
+    if snapshots.current(spark, f"{root}/{name}")[0]:
+        return snapshots.read(spark, f"{root}/{name}", schemas.CATALOGUE[name])
     return spark.read.schema(schemas.CATALOGUE[name]).parquet(f"{root}/{name}")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.utils import AnalysisException
 from .. import schemas
 from ..operators.catalogue import latest_by_key
 from ..operators.numbering import sequential_ids
-from ..session import cut_lineage
+from . import snapshots
 
 Store = Callable[[DataFrame, str, int], None]
 
@@ -45,8 +45,12 @@ def clear(
 ) -> None:
     """Empty the tables of a store, as at a fresh start. Never done implicitly.
 
-    ``partition`` is ``day`` for a keyed store.
+    A table of versions gets an empty one; its readers go on with theirs.
     """
+    versioned = [t for t in tables if snapshots.current(spark, f"{root}/{t}")[0]]
+    for table in versioned:
+        snapshots.commit(spark, f"{root}/{table}", lambda _: [])
+    tables = [t for t in tables if t not in versioned]
     nothing = spark.createDataFrame([], f"value STRING, {partition} STRING")
     for table in (*tables, *[f"_last_id/{t}" for t in tables]):
         nothing.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
@@ -128,13 +132,16 @@ def jdbc_store(url: str, **options: str) -> Store:
     return write
 
 
+#: Columns of a keyed table as its files have them. A batch says nothing about its rows but their order.
+KEYED_FILES = f"{schemas.READING_KEYED}, batch_id BIGINT, day DATE"
+
+
 def keyed_store(root: str, keys: Sequence[str] = ("readingTS",)) -> Store:
     """Keyed table, last write wins; ``readers.keyed_table`` reads it.
 
-    A batch only adds its own folder, by day, with one row per key. Which write is the last
-    is settled when the table is read: a batch never rewrites the days it touches, so its
-    cost does not grow with the table, and no crash can damage earlier batches. Fold old
-    batches together from time to time with ``merge``.
+    A batch only adds folders of its own, by day, with one row per key, and switches the table's version
+    (``snapshots``). Which write is the last is settled when the table is read: a batch never rewrites the days it
+    touches, so its cost does not grow with the table. ``compact_keyed`` folds the folders of a day together.
 
     With the default key, readings of the same second replace each other;
     ``("readingTS", "sensorID")`` keeps one per sensor.
@@ -147,47 +154,47 @@ def keyed_store(root: str, keys: Sequence[str] = ("readingTS",)) -> Store:
             F.col("sensor").alias("sensorID"),
             "temperature",
             F.col("humidity").cast("float").alias("humidity"),
+            F.lit(batch_id).cast("bigint").alias("batch_id"),
         ).withColumn("day", F.to_date("readingTS"))
-        latest = latest_by_key(rows, list(keys), list(schemas.KEYED_ORDER))
-        # The folder belongs to this batch: replace all of its days, also after a replay.
-        latest.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-            "day"
-        ).parquet(batch_folder(root, table, batch_id))
+        snapshots.append(latest_by_key(rows, list(keys), list(schemas.KEYED_ORDER)), f"{root}/{table}", batch_id)
 
     return write
 
 
+def last_writes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a keyed table's files to its current rows."""
+    first, *ties = schemas.KEYED_ORDER
+    return latest_by_key(rows, list(keys), [first, "batch_id", *ties])
+
+
+def compact_keyed(spark: SparkSession, path: str, keys: Sequence[str] = ("readingTS",), least: int = 2) -> int:
+    """Fold the folders of every day of a keyed table that has ``least`` of them; returns how many days.
+
+    May run beside the stream that fills the table, and may fail at any point: readers see the folders from before
+    until the folded ones are whole.
+    """
+    return snapshots.compact(spark, path, KEYED_FILES, lambda rows: last_writes(rows, keys), least)
+
+
 def merge(
     spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> None:
-    """Merge ``rows`` into the plain parquet table at ``path``, last write per key wins.
+    """Merge ``rows`` into the table of versions at ``path``, last write per key wins.
 
-    The table is partitioned by ``day``, which must follow from the key. Only days that
-    ``rows`` touch are read and replaced. The merged rows are written to the checkpoint
-    folder first: the job must not read the files it replaces. Repeating a merge changes
-    nothing; keep ``rows`` until it is through.
+    Both are by ``day``, which must follow from the key. Only days that ``rows`` touch are read, and their
+    folders are exchanged for the merged ones in one switch. ``readers.snapshot_table`` reads the table.
+    Repeating a merge changes nothing.
     """
+    columns = [c for c in rows.columns if c != "day"]
+    rows = rows.select(*columns, "day")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    stored = _exists(spark, path, schema)
-    merged = rows
-    if stored is not None:
-        merged = _touched(stored, rows).select(*rows.columns).unionByName(rows)
-    merged = cut_lineage(latest_by_key(merged, keys, order))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "day"
-    ).parquet(path)
+    days = {str(r["day"]) for r in rows.select("day").distinct().collect()}  # a row per day
+    touched = [f for f in snapshots.current(spark, path)[1] if f.day in days]
 
+    def merged(stored: DataFrame) -> DataFrame:
+        return latest_by_key(stored.select(*rows.columns).unionByName(rows), keys, order)
 
-def _touched(stored: DataFrame, rows: DataFrame) -> DataFrame:
-    """Stored rows of the days in ``rows``.
-
-    Only partitions between the first and the last of these days are read; where Spark
-    broadcasts the days, it prunes by them too.
-    """
-    first, last = rows.agg(F.min("day"), F.max("day")).first()
-    within = F.col("day").between(first, last)
-    days = rows.select("day").filter(within).distinct()
-    return stored.filter(within).join(days, "day", "left_semi")
+    snapshots.rewrite(spark, path, schema, touched, merged)
 
 
 def no_store() -> Store:
@@ -253,19 +260,36 @@ def save_values(values: DataFrame, root: str) -> None:
 
 
 def save_sorted(values: DataFrame, path: str, server: str, client: str, algorithm: str) -> None:
-    """Values in ascending order with consecutive ids; input columns ``value`` and ``tie``."""
-    sequential_ids(values, ["value", "tie"]).select(
+    """Values in ascending order with consecutive ids; input columns ``value`` and ``tie``.
+
+    Readers (``readers.snapshot_table``) see the values from before until the new ones are whole.
+    """
+    numbered = sequential_ids(values, ["value", "tie"]).select(
         "id",
         F.lit(server).alias("server"),
         F.lit(client).alias("client"),
         F.lit(algorithm).alias("algorithm"),
         F.col("value").cast("bigint").alias("value"),
-    ).write.mode("overwrite").parquet(path)
+    )
+    snapshots.replace(numbered, path)
 
 
 def replace_snapshot(snapshot: DataFrame, path: str) -> None:
-    """Replace the current series set; what is not in the snapshot is gone."""
-    snapshot.write.mode("overwrite").parquet(path)
+    """Replace the current series set; what is not in the snapshot is gone.
+
+    Readers (``readers.snapshot_table``) see the set from before until the new one is whole.
+    """
+    snapshots.replace(snapshot, path)
+
+
+def update_catalogue(
+    spark: SparkSession, root: str, name: str, change: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Write a catalogue table back after ``change``, one of the operators of ``catalogue``, in one switch.
+
+    Raises ``snapshots.Conflict`` if the table changed meanwhile, and leaves it as it is.
+    """
+    snapshots.update(spark, f"{root}/{name}", schemas.CATALOGUE[name], change)
 
 
 def append_export(metrics: DataFrame, path: str) -> None:
