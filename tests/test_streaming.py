@@ -168,37 +168,114 @@ def test_log_counts_equal_batch_once_the_watermark_passed(spark, tmp_path):
     assert rows(got) == rows(batch)
 
 
-def test_live_alerts_equal_batch(spark, tmp_path):
-    """Two series over many batches; one run is open across batches and a restart."""
-    ups = {"a,b": [0] * 12 + [1] + [0] * 4 + [1] * 3, "b": [1, 1] + [0] * 18}
-    samples = [(name, i * 10 + 3, up) for name, values in ups.items() for i, up in enumerate(values)]
-    frame = spark.createDataFrame(samples, "instance string, s bigint, up int").withColumn(
-        "ts", F.timestamp_seconds("s")
-    )
-    source = tmp_path / "in"
+def alert_events(samples, hold, silence):
+    """Events of aligned samples (series, step, active) in plain Python."""
+    out, by = [], {}
+    for name, step, active in sorted(samples):
+        by.setdefault(name, []).append((step, active))
+    for name, points in by.items():
+        since = last = None
+        for step, active in points:
+            if since is not None and step - last > silence:
+                out.append((name, last + silence, since, "resolved"))
+                since = None
+            if active and since is None:
+                since, fired = step, False
+                out.append((name, step, since, "pending"))
+            if active and not fired and step - since >= hold:
+                fired = True
+                out.append((name, since + hold, since, "firing"))
+            if not active and since is not None:
+                out.append((name, step, since, "resolved"))
+                since = None
+            last = step
+        if since is not None:
+            out.append((name, last + silence, since, "resolved"))
+    return sorted(out)
 
-    def write(low, high):
-        frame.filter((F.col("s") >= low) & (F.col("s") < high)).coalesce(1).write.mode("append").parquet(str(source))
 
-    def run():
-        src = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+@pytest.fixture
+def live(spark, tmp_path):
+    """A folder that a stream of alerts reads file by file; (write, run) for samples (instance, second, up)."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    schema = "instance string, s bigint, up int, ts timestamp"
+
+    def write(samples):
+        frame = spark.createDataFrame(samples, "instance string, s bigint, up int")
+        frame = frame.withColumn("ts", F.timestamp_seconds("s"))
+        frame.coalesce(1).write.mode("append").parquet(str(source))
+
+    def run(hold_ms, **how):
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
         src = src.withColumn("job", F.lit(None).cast("string"))
-        alerts.sustained_alerts(
-            src, ["instance", "job"], "ts", F.col("up") == 0, 60_000, str(tmp_path / "out"), str(tmp_path / "cp")
-        ).awaitTermination()
+        query = alerts.sustained_alerts(
+            src, ["instance", "job"], "ts", F.col("up") == 0, hold_ms, out, str(tmp_path / "cp"), **how
+        )
+        query.awaitTermination()
+        got = spark.read.parquet(out).filter("instance NOT LIKE 'z%'")
+        assert got.filter("job <> ''").count() == 0
+        return rows(got, "instance", "at_ms", "active_since", "state")
 
-    write(0, 50)
-    write(50, 100)
-    run()
-    write(100, 1000)
-    # A much later sample lets the watermark pass all steps above.
-    spark.createDataFrame([("z", 5000, 1)], "instance string, s bigint, up int").withColumn(
-        "ts", F.timestamp_seconds("s")
-    ).coalesce(1).write.mode("append").parquet(str(source))
-    run()
-    grid = frame.withColumns({"step_ms": F.expr("s div 10 * 10000"), "job": F.lit("")})
-    batch = series.sustained(grid, ["instance", "job"], "step_ms", F.col("up") == 0, 60_000)
-    got = spark.read.parquet(str(tmp_path / "out"))
-    columns = ["instance", "job", "step_ms", "active_since", "state"]
-    assert rows(got, *columns) == rows(batch, *columns)
-    assert got.filter("state = 'firing'").count() > 0
+    return write, run
+
+
+def test_live_alerts_equal_batch(spark, live):
+    """Runs that are open across slices, batches and a restart; the batch operator finds the same ones."""
+    write, run = live
+    ups = {"a,b": [0] * 12 + [1] + [0] * 4 + [1] * 3 + [0] * 40, "b": [1, 1] + [0] * 30 + [1, 0, 1]}
+    samples = [(name, i * 10 + 3, up) for name, values in ups.items() for i, up in enumerate(values)]
+    how = {"slice_": "1 minute"}
+    write([x for x in samples if x[1] < 50])
+    write([x for x in samples if 50 <= x[1] < 100])
+    first = run(60_000, **how)
+    write([x for x in samples if x[1] >= 100])
+    write([("z", 5000, 1)])  # much later: the watermark passes all steps above, and timers
+    write([("z2", 6000, 1)])
+    got = run(60_000, **how)
+    assert set(first) < set(got)
+    aligned = [(name, s // 10 * 10_000, up == 0) for name, s, up in samples]
+    assert got == alert_events(aligned, 60_000, 300_000)
+    grid = spark.createDataFrame(aligned, "instance string, step_ms bigint, active boolean")
+    batch = series.sustained(grid, ["instance"], "step_ms", F.col("active"), 60_000)
+    runs = batch.groupBy("instance", "active_since").agg(F.max(F.expr("state = 'firing'")).alias("fired"))
+    assert {(r.instance, r.active_since) for r in runs.collect()} == {(n, since) for n, _, since, s in got if s == "pending"}
+    assert {(r.instance, r.active_since) for r in runs.filter("fired").collect()} == {
+        (n, since) for n, _, since, s in got if s == "firing"
+    }
+
+
+def test_a_silent_series_resolves_and_is_forgotten(spark, live, tmp_path):
+    """A series that stops while firing, and one that comes back after a silence."""
+    write, run = live
+    samples = [("gone", s, 0) for s in range(0, 200, 10)]
+    samples += [("back", s, 0) for s in [*range(0, 100, 10), *range(900, 1000, 10)]] + [("back", 1000, 1)]
+    write([x for x in samples if x[1] < 500])
+    write([("z", 700, 1)])
+    write([x for x in samples if x[1] >= 500])
+    write([("z", 5000, 1)])
+    write([("z", 6000, 1)])
+    got = run(60_000, silence="2 minutes", slice_="1 minute")
+    assert got == alert_events([(n, s * 1000, up == 0) for n, s, up in samples], 60_000, 120_000)
+    assert ("gone", 310_000, 0, "resolved") in got
+    # Nothing is kept of series without an open run.
+    kept = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "run").load(str(tmp_path / "cp"))
+    assert kept.count() == 0
+
+
+def test_a_slice_may_not_hide_a_silence(spark, live):
+    write, run = live
+    write([("a", 1, 1)])
+    with pytest.raises(ValueError, match="slice"):
+        run(60_000, silence="1 minute", slice_="5 minutes")
+
+
+def test_boundaries_of_slices(spark):
+    """Only the ends of stretches go on, at most as many as a slice has steps."""
+    ups = [0, 0, 0, 1, 0, 1, 1, 1, 1, 0, 0, 0] + [1] * 12
+    samples = spark.createDataFrame([("a", i * 10, u) for i, u in enumerate(ups)], "i string, s bigint, u int")
+    aligned = alerts.aligned_condition(samples.withColumn("ts", F.timestamp_seconds("s")), ["i"], "ts", F.col("u") == 0)
+    got = alerts.boundaries(aligned, ["i"], "2 minutes").orderBy("first_ms").collect()
+    assert [(r.first_ms, r.last_ms, r.steps, r.actives) for r in got] == [
+        (0, 110_000, [0, 20_000, 30_000, 40_000, 50_000, 80_000, 90_000, 110_000], [True, True, False, True, False, False, True, True]),
+        (120_000, 230_000, [120_000, 230_000], [False, False]),
+    ]
