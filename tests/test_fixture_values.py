@@ -40,7 +40,7 @@ N = "count(1)"
         ("inject_every_nth", (N, "sum(temperature)"), None, (8717, 391049)),
         ("wl_list_admin", (N,), None, (10000,)),
         ("wl_running", (N,), None, (4979,)),
-        ("workload_window_join", (N,), None, (238,)),
+        ("workload_window_join", (N,), None, (186,)),
         ("telemetry_compose", ("sum(length(value))",), None, (841103,)),
     ],
 )

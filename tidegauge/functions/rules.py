@@ -70,3 +70,22 @@ def uniform(key: Column, seed: str) -> Column:
     """
     bits = hex_prefix(F.concat(F.lit(f"{seed}:"), key.cast("string")), 13)
     return bits / F.lit(float(1 << 52))
+
+
+#: What an absent value counts as in a rank: less than any time, and less than any number.
+ABSENT_FIRST, ABSENT_SECOND = -(2**62), -(2**63)
+
+
+def rank(first: Column, second: Column | None = None) -> Column:
+    """Two whole numbers, or one, as a number of fixed width that orders like the pair; nulls come first.
+
+    Aggregations keep such a value in a hash table, while a struct makes them sort all rows. With two, ``first``
+    may be 5.4e18 at most.
+    """
+    if second is None:
+        return F.coalesce(first.cast("bigint"), F.lit(ABSENT_SECOND))
+    wide = lambda c, absent: F.coalesce(c.cast("bigint"), F.lit(absent)).cast("decimal(20,0)")
+    scaled = (wide(first, ABSENT_FIRST).cast("decimal(19,0)") * F.lit(2**32).cast("decimal(10,0)")) * F.lit(
+        2**32
+    ).cast("decimal(10,0)")
+    return (scaled.cast("decimal(38,0)") + wide(second, ABSENT_SECOND)).cast("decimal(38,0)")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import rules, text
 from .numbering import sequential_ids
 
 TYPE_COLUMNS = (
@@ -285,14 +285,38 @@ def seed(existing: DataFrame, defaults: DataFrame, key: str, order: str) -> Data
     return existing.unionByName(absent.select(*existing.columns))
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_FIXED = (*_WHOLE, "boolean", "float", "double", "date", "timestamp", "timestamp_ntz")
+
+
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last write per key. An aggregation, so a hot key is reduced before the shuffle."""
+    """Last write per key; of writes that agree in ``order`` one.
+
+    Leading times and whole numbers of the order are ranked by hash aggregation, which reduces a hot key
+    before the shuffle. If nothing else is left to compare and all columns have a fixed width, that
+    aggregation has the rows already. Otherwise the rows that have their key's highest rank are looked up, by
+    a broadcast where the keys are few, and only these are compared by the rest of the order.
+    """
+    kinds, times = dict(df.dtypes), ("timestamp", "timestamp_ntz")
+    first = []
+    for c in order[:2]:
+        if kinds[c] not in (*_WHOLE, *times):
+            break
+        first.append(F.unix_micros(F.col(c).cast("timestamp")) if kinds[c] in times else F.col(c))
     others = [c for c in df.columns if c not in keys]
-    newest = F.max_by(
-        F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order])
-    )
-    return (
-        df.groupBy(*keys)
-        .agg(newest.alias("_row"))
-        .select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
-    )
+    if not first:
+        newest = F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order]))
+        found = df.groupBy(*keys).agg(newest.alias("_row"))
+        return found.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    rank = rules.rank(*first)
+    if len(first) == len(order) and all(kinds[c] in _FIXED for c in others):
+        # All of them follow the same rank over the same rows, so they come from one row.
+        return df.groupBy(*keys).agg(*[F.max_by(c, rank).alias(c) for c in others]).select(*df.columns)
+    ranked = df.withColumn("_rank", rank)
+    best = ranked.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("_rank").alias("_k_rank"))
+    same = F.col("_rank") == F.col("_k_rank")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    place = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    tied = ranked.join(best, same, "left_semi").withColumn("_place", F.row_number().over(place))
+    return tied.filter(F.col("_place") == 1).select(*df.columns)

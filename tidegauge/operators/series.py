@@ -66,8 +66,8 @@ def align(
     step_ms: int = 10_000,
     tie: str | None = None,
 ) -> DataFrame:
-    """Last sample of each series in each step of the collection grid."""
-    order = F.struct(ts, tie) if tie else F.col(ts)
+    """Last sample of each series in each step of the collection grid; ``ts`` and ``tie`` are whole numbers."""
+    order = rules.rank(F.col(ts), F.col(tie) if tie else None)
     return (
         df.withColumn("_step", _bucket(ts, step_ms) * step_ms)
         .groupBy(*series, F.col("_step").alias("step"))
@@ -370,8 +370,8 @@ def last_value(
     tie: str | None = None,
     red_from: float = 80,
 ) -> DataFrame:
-    """Last non-NULL value per series with its threshold colour."""
-    order = F.struct(ts, tie) if tie else F.col(ts)
+    """Last non-NULL value per series with its threshold colour; ``ts`` and ``tie`` are whole numbers."""
+    order = rules.rank(F.col(ts), F.col(tie) if tie else None)
     return (
         df.filter(F.col(value).isNotNull())
         .groupBy(*series)

@@ -190,20 +190,49 @@ def label_join_cpu(v):
 @query(
     "workload_window_join",
     """SELECT d.workload_id, m.event_id, m.ts, m.container_name FROM metrics m
-       JOIN wl_deployed d ON m.event_id // 8 + 1 = d.workload_id
+       JOIN wl_deployed d ON CASE WHEN m.event_id % 3 = 0 THEN 47 ELSE m.event_id // 8 + 1 END = d.workload_id
+       AND m.namespace = d.namespace
        AND m.ts BETWEEN d.created_s - 60 AND d.created_s + d.duration + 60""",
     "metrics",
     "wl_deployed",
 )
 def workload_window_join(v):
-    """A sample carries the id of one workload, as deployed ones do."""
-    samples = v.metrics().select("event_id", "ts", F.expr("event_id div 8 + 1").alias("owner"), "container_name")
-    workloads = v.deployed().select("workload_id", "created_s", "duration", F.col("workload_id").alias("owner"))
-    return joins.window_join(samples, workloads, "ts", ["owner"]).select(
+    """A sample carries the id of one workload and its namespace; a third of all are of one workload."""
+    owner = F.when(F.col("event_id") % 3 == 0, F.lit(47).cast("bigint")).otherwise(F.expr("event_id div 8 + 1"))
+    samples = v.metrics().select("event_id", "ts", owner.alias("owner"), "namespace", "container_name")
+    workloads = v.deployed().select(
+        "workload_id", "created_s", "duration", F.col("workload_id").alias("owner"), "namespace"
+    )
+    return joins.window_join(samples, workloads, "ts", ["owner", "namespace"]).select(
         "workload_id", "event_id", "ts", "container_name"
     )
 
 
+@query(
+    "label_join_over_time",
+    """WITH shown AS (
+         SELECT DISTINCT namespace, host, pod_name, ts // 3600 * 3600 AS shown_at,
+           'wl-' || ((regexp_extract(wl, '([0-9]+)', 1)::BIGINT + ts // 604800) % 42)::VARCHAR AS label_workload_id
+         FROM metrics WHERE container_name IN ('view', 'click')
+       ), seen AS (
+         SELECT m.event_id, m.ts, m.namespace, m.host, m.pod_name, max(s.shown_at) AS shown_at FROM metrics m
+         JOIN shown s USING (namespace, host, pod_name) WHERE s.shown_at <= m.ts AND m.ts < s.shown_at + 21600 GROUP BY ALL
+       )
+       SELECT e.event_id, e.ts, s.label_workload_id FROM seen e JOIN shown s USING (namespace, host, pod_name, shown_at)""",
+    "metrics",
+)
+def label_join_over_time(v):
+    """Hourly snapshots of pods that move to another workload every week; a pod is forgotten after six hours."""
+    number = F.regexp_extract("wl", "([0-9]+)", 1).cast("bigint")
+    moved = F.concat(F.lit("wl-"), ((number + F.expr("ts div 604800")) % 42).cast("string"))
+    shown = v.metrics().filter(F.col("container_name").isin("view", "click")).select(
+        *joins.POD_KEYS, F.expr("ts div 3600 * 3600").alias("at"), moved.alias("label_workload_id")
+    )
+    samples = v.metrics().select("event_id", "ts", *joins.POD_KEYS)
+    joined = joins.label_join_over_time(samples, shown, "ts", "at", stale=21_600)
+    return joined.select("event_id", "ts", "label_workload_id")
+
+
 @query(
     "logs_per_minute",
     """SELECT ms // 60000 * 60000 AS window_ms, pod_name, count(status) AS total FROM logs GROUP BY ALL""",
