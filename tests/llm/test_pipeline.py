@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 from test_mixing import plain_budgets
-from test_quality_rules import bits, plain_counts, plain_model
+from test_quality_rules import bits, plain_counts, plain_models
 from test_simhash import grouped
 from test_simhash import plain as plain_print
 from test_suffix_dedup import plain as plain_cut
@@ -20,22 +20,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def plain_quality(docs):
-    p, measured = plain_model(d[1] for d in docs), []
-    by_lang = defaultdict(list)
+    models, measured = plain_models((d[2], d[1]) for d in docs), []
+    by_lang = defaultdict(dict)
     for d in docs:
         n = plain_counts(d[1])
         failed = n[0] < 50 or 100 * n[4] > 50 * n[0]
-        b = None if failed else bits(p, d[1])
+        b = None if failed else bits(models[d[2]], d[1])
         measured.append(b)
         if b is not None:
-            by_lang[d[2]].append(round(round(b, 6), 3))
+            by_lang[d[2]][d[1]] = round(round(b, 6), 3)
     out = []
     for d, b in zip(docs, measured):
         if b is None:
             continue
-        x = sorted(by_lang[d[2]])
+        x = sorted(by_lang[d[2]].values())
         q1, q3 = x[-(-len(x) // 4) - 1], x[-(-3 * len(x) // 4) - 1]
-        wide = 4 * max(q3 - q1, 0.02)
+        wide = 3 * max(q3 - q1, 0.1)
         if q1 - wide - 1e-9 <= round(b, 6) <= q3 + wide + 1e-9:
             out.append(d)
     return out

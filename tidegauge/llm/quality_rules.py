@@ -1,7 +1,8 @@
-"""Word, symbol and repetition rules, and perplexity bands of an n-gram model."""
+"""Word, symbol and repetition rules, and perplexity bands of an n-gram model per language."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from itertools import islice
 from typing import NamedTuple
@@ -11,38 +12,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table, tidy, written
+from .shared import remembering, table, tidy, written
 
-ORDER = 4
-SYMBOLS = 64  # classes of bytes: an n-gram of the order fits into 24 bits
-EDGE = 63  # stands before the first symbol of a text
-_SHIFTS = tuple(6 * (ORDER - 1 - i) for i in range(ORDER))
-#: Symbols that are scored or counted at once.
+ORDER = 5  # bytes of an n-gram; a code has eight bits for each
+EDGE = 0  # stands before the first byte of a text
+#: Bytes that are scored or counted at once.
 AT_ONCE = 1 << 21
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-
-def byte_classes() -> np.ndarray:
-    """Class of each byte: small letters apart, the rest of ASCII by kind, other bytes by 4 bits."""
-    out = np.full(256, 37, dtype=np.uint32)
-    out[ord("a") : ord("z") + 1] = np.arange(26)
-    out[ord("A") : ord("Z") + 1] = 26
-    out[ord("0") : ord("9") + 1] = 27
-    out[[9, 10, 11, 12, 13]] = 29
-    out[ord(" ")] = 28
-    for k, chars in enumerate((b".", b",", b"!?", b":;", b"-_", b"\"'`", b"()[]{}", b"#*$%&|<>")):
-        out[list(chars)] = 30 + k + (k == 7)  # 37 is any other ASCII
-    out[:9] = 39
-    out[14:32] = 39
-    out[128:192] = 40 + np.arange(64) // 4
-    out[192:224] = 56 + np.arange(32) // 8
-    out[224:240] = 60
-    out[240:] = 61
-    return out
-
-
-_CLASSES = byte_classes()
+PART = "language string, part int, codes binary, counts binary, with_n array<long>, heads binary"
+MODEL = "language string, part int, grams long, tables binary"
 _WHITE = " \t\n\x0b\x0c\r"
+#: Bytes of words: ASCII letters and all beyond ASCII.
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -73,31 +55,36 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeat
 
 
-def grams(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(codes, symbols per text) of successive runs of texts; each text starts at an edge."""
+def words_in(texts: list[bytes]) -> np.ndarray:
+    """How many words each text has: runs of ASCII letters and bytes beyond ASCII."""
+    # What stands between texts is no letter, so words do not cross them.
+    letter = _LETTER[np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", dtype=np.uint8)]
+    begins = np.append(0, np.cumsum(letter[1:] & ~letter[:-1]))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.diff(begins[ends], prepend=0)
+
+
+def grams(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, bytes per text) of successive runs of texts; each text starts at an edge."""
     lead = bytes(ORDER - 1)
     run: list[bytes] = []
     size = 0
 
     def codes() -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(x) for x in run], dtype=np.int64)
-        x = _CLASSES[np.frombuffer(lead + lead.join(run), dtype=np.uint8)]
-        ends = np.cumsum(lengths + ORDER - 1)
-        starts = ends - lengths
-        for k in range(1, ORDER):
-            x[starts - k] = EDGE
-        all_ = np.zeros(len(x), dtype=np.uint32)
+        x = np.frombuffer(lead + lead.join(run), dtype=np.uint8)
+        starts = np.cumsum(lengths + ORDER - 1) - lengths
+        all_ = np.zeros(len(x), dtype=np.uint64)
         for k in range(ORDER):
-            shift = np.uint32(_SHIFTS[ORDER - 1 - k])
-            all_[k:] |= x[: len(x) - k] << np.uint32(6 * k)
+            all_[k:] |= x[: len(x) - k].astype(np.uint64) << np.uint64(8 * k)
         real = np.ones(len(x), dtype=bool)
         for k in range(1, ORDER):
             real[starts - k] = False
         return all_[real], lengths
 
     for text in texts:
-        run.append((text or "").encode())
-        size += len(run[-1])
+        run.append(text)
+        size += len(text)
         if size >= AT_ONCE:
             yield codes()
             run, size = [], 0
@@ -105,177 +92,339 @@ def grams(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
         yield codes()
 
 
-class Model(NamedTuple):
-    """Interpolated modified Kneser-Ney model. Per order, from 1: the sorted codes of its n-grams with
-    their log2 probabilities, and the sorted codes of its contexts with the log2 of what they leave to
-    the next lower order. At most SYMBOLS ** ORDER n-grams, whatever the corpus. Two models of the same
-    n-grams may stand side by side: their logarithms are then columns, and so are the scores."""
+def _counted(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    new = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, dtype=np.int64)
+    return codes[new], np.add.reduceat(counts, new) if len(new) else counts
+
+
+def _pack(codes: np.ndarray) -> bytes:
+    """Sorted codes as distances, which Spark's compression makes small."""
+    return np.diff(codes, prepend=np.uint64(0)).astype("<u8").tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, dtype="<u8"), dtype=np.uint64)
+
+
+def _shorter(codes: np.ndarray, k: int) -> np.ndarray:
+    """The last ``k`` bytes of each n-gram."""
+    return codes & np.uint64((1 << 8 * k) - 1)
+
+
+def by_order(codes: np.ndarray, counts: np.ndarray, lowest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(codes, counts) of orders ``lowest`` to ORDER; below the highest, in how many contexts an n-gram stands."""
+    out = [(codes, counts.astype(np.float64))]
+    for k in range(ORDER - 1, lowest - 1, -1):
+        c, n = np.unique(_shorter(out[0][0], k), return_counts=True)
+        out.insert(0, (c, n.astype(np.float64)))
+    return out
+
+
+def discounts(with_n: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0 to 3 and more, from how many n-grams occur 1 to 4 times."""
+    y = with_n[0] / (with_n[0] + 2 * with_n[1]) if with_n[0] else 0.0
+    out = np.zeros(4)
+    for i in range(1, 4):
+        rate = with_n[i] / with_n[i - 1] if with_n[i - 1] else 0.0
+        out[i] = min(max(i - (i + 1) * y * rate, 0.1), i - 0.1)
+    return out
+
+
+def _estimated(
+    codes: np.ndarray, n: np.ndarray, discount: np.ndarray, lower: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log2 probabilities of n-grams, their contexts, and log2 of what each context leaves to the lower order."""
+    off = np.minimum(discount[np.minimum(n, 3).astype(int)], n * 0.9)
+    contexts, where = np.unique(codes >> np.uint64(8), return_inverse=True)
+    total = np.bincount(where, n, len(contexts))
+    left = np.bincount(where, off, len(contexts)) / total
+    return np.log2((n - off) / total[where] + left[where] * lower), contexts, np.log2(left)
+
+
+class Tables(NamedTuple):
+    """Sorted arrays of one language: per order from 2, n-grams with log2 probabilities, and contexts with the log2
+    of what they leave to the next lower order; of order 1, the log2 probability of every byte. ``parts`` tells
+    which bytes before the last one are covered."""
 
     codes: list[np.ndarray]
     logs: list[np.ndarray]
     contexts: list[np.ndarray]
     rest: list[np.ndarray]
+    bytes_: np.ndarray
+    parts: np.ndarray
 
     def score(self, code: np.ndarray) -> np.ndarray:
-        """log2 probability of the last symbol of each n-gram after its first ones."""
-        out = np.zeros((len(code), *self.logs[0].shape[1:]), dtype=np.float64)
-        todo = np.arange(len(code))
-        for k in range(ORDER, 0, -1):
-            own = code[todo] & np.uint32((1 << 6 * k) - 1)
-            at = np.minimum(np.searchsorted(self.codes[k - 1], own), len(self.codes[k - 1]) - 1)
-            hit = self.codes[k - 1][at] == own
-            out[todo[hit]] += self.logs[k - 1][at[hit]]
-            todo, own = todo[~hit], own[~hit] >> np.uint32(6)
+        """log2 probability of the last byte of each n-gram after its first ones."""
+        out = np.zeros(len(code))
+        todo: np.ndarray | None = None  # all
+        for k in range(ORDER, 1, -1):
+            known, contexts = self.codes[k - 2], self.contexts[k - 2]
+            if not len(known):
+                continue
+            own = _shorter(code if todo is None else code[todo], k)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[at] == own
+            found = np.where(hit, self.logs[k - 2][at], 0.0)
+            if todo is None:
+                out, todo = found, np.flatnonzero(~hit)
+            else:
+                out[todo] += found
+                todo = todo[~hit]
             if not len(todo):
                 return out
-            at = np.minimum(np.searchsorted(self.contexts[k - 1], own), len(self.contexts[k - 1]) - 1)
-            hit = self.contexts[k - 1][at] == own
-            out[todo[hit]] += self.rest[k - 1][at[hit]]
-        out[todo] += -np.log2(SYMBOLS)
+            own = own[~hit] >> np.uint64(8)
+            at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
+            out[todo] += np.where(contexts[at] == own, self.rest[k - 2][at], 0.0)
+        todo = np.arange(len(code)) if todo is None else todo
+        out[todo] += self.bytes_[_shorter(code[todo], 1).astype(np.int64)]
         return out
 
 
-def kneser_ney(code: np.ndarray, count: np.ndarray) -> Model:
-    """Model of the distinct n-grams ``code`` (sorted) that occur ``count`` times."""
-    by_order = [(code.astype(np.uint32), count.astype(np.float64))]
-    for k in range(ORDER - 1, 0, -1):  # lower orders count in how many contexts an n-gram stands
-        c, n = np.unique(by_order[0][0] & np.uint32((1 << 6 * k) - 1), return_counts=True)
-        by_order.insert(0, (c, n.astype(np.float64)))
-    model = Model([], [], [], [])
-    for k, (c, n) in enumerate(by_order, 1):
-        with_n = [float((n == i).sum()) for i in range(1, 5)]
-        y = with_n[0] / (with_n[0] + 2 * with_n[1]) if with_n[0] else 0.0
-        discount = np.zeros(4)
-        for i in range(1, 4):
-            rate = with_n[i] / with_n[i - 1] if with_n[i - 1] else 0.0
-            discount[i] = min(max(i - (i + 1) * y * rate, 0.1), i - 0.1)
-        off = np.minimum(discount[np.minimum(n, 3).astype(int)], n * 0.9)
-        ctx, where = np.unique(c >> np.uint32(6), return_inverse=True)
-        total = np.bincount(where, n, len(ctx))
-        left = np.bincount(where, off, len(ctx)) / total
-        if k == 1:
-            lower = np.full(len(c), 1 / SYMBOLS)
-        else:
-            lower = np.exp2(model.logs[-1][np.searchsorted(model.codes[-1], c & np.uint32((1 << 6 * (k - 1)) - 1))])
-        model.codes.append(c)
-        model.logs.append(np.log2((n - off) / total[where] + left[where] * lower))
-        model.contexts.append(ctx)
-        model.rest.append(np.log2(left))
-    return model
-
-
-def beside(a: Model, b: Model) -> Model:
-    """Two models of the same n-grams as one with two columns."""
-    both = lambda x, y: [np.stack(pair, axis=1) for pair in zip(x, y)]
-    return Model(a.codes, both(a.logs, b.logs), a.contexts, both(a.rest, b.rest))
-
-
-def count_grams(docs: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
-    """Counts of all n-grams of all texts: rows (code, n, once), summed in each task before the shuffle.
-
-    ``n`` counts every row. With ``lang``, ``once`` counts each distinct text of a language once; copies are
-    brought together in each task before the shuffle, too. Without it, ``once`` is ``n``.
-    """
-    if lang is None:
-        texts = docs.select(F.col(text).alias("_text"), F.lit(1).cast("long").alias("_copies"))
-    else:
-        texts = docs.groupBy(F.col(lang), text_digest(text)).agg(
-            F.first(text).alias("_text"), F.count(F.lit(1)).alias("_copies")
-        )
+def _joined(rows: Iterable[bytes]) -> Tables:
+    """Tables of several parts of one language as one."""
+    parts = [pickle.loads(r) for r in rows]
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for k in range(ORDER - 1):
+        for keys, values in ((0, 1), (2, 3)):
+            x = np.concatenate([p[keys][k] for p in parts])
+            order = np.argsort(x, kind="stable")
+            out[keys].append(x[order])
+            out[values].append(np.concatenate([p[values][k] for p in parts])[order])
+    return Tables(*out, parts[0][4], np.any([p[5] for p in parts], axis=0))
+
 
-    def add(code: np.ndarray, counts: list[np.ndarray], new: np.ndarray, more: list[np.ndarray]):
-        code, where = np.unique(np.concatenate([code, new]), return_inverse=True)
-        joined = (np.bincount(where, np.concatenate(x), len(code)) for x in zip(counts, more))
-        return code, [x.astype(np.int64) for x in joined]
+def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Counts of all n-grams of the distinct texts of each language, in parts by the byte before the last.
+
+    Copies of a text are brought together in each task before the shuffle, and count once. A task sums what it
+    reads and hands on a sorted array per language and part. N-grams of every order that end alike, and the
+    contexts they have, are in one part, so that all counts of lower orders are made there, too.
+    """
+    texts = docs.groupBy(F.col(lang).alias("language"), text_digest(text)).agg(F.first(text).alias("_text"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.zeros(0, dtype=np.int64)
-        code, counts = np.zeros(0, dtype=np.uint32), [none, none]
+        known: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def add(language: str | None, texts: list[bytes]) -> None:
+            for codes, _ in grams(texts):
+                runs = known.setdefault(language, [])
+                runs.append(np.unique(codes, return_counts=True))
+                # Runs of about equal sizes are merged, so a code is sorted a logarithmic number of times.
+                while len(runs) > 1 and 2 * len(runs[-1][0]) >= len(runs[-2][0]):
+                    b, a = runs.pop(), runs.pop()
+                    runs.append(_counted(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])))
+
+        waiting: dict[str | None, list[bytes]] = {}
+        sizes: dict[str | None, int] = {}
         for batch in batches:
-            copies, at = batch["_copies"].to_numpy(), 0
-            for codes, lengths in grams(batch["_text"]):
-                new, more = np.unique(codes, return_counts=True)
-                code, counts = add(code, counts, new, [more, more])
-                # What further copies add to the count of rows.
-                further = copies[at : at + len(lengths)] - 1
-                at += len(lengths)
-                if further.any():
-                    further = np.repeat(further, lengths)
-                    hit = further > 0
-                    new, where = np.unique(codes[hit], return_inverse=True)
-                    more = np.bincount(where, further[hit], len(new))
-                    code, counts = add(code, counts, new, [more, np.zeros(len(new))])
-        if len(code):
-            yield pd.DataFrame({"code": code.astype(np.int64), "n": counts[0], "once": counts[1]})
-
-    counted = texts.select("_text", "_copies").mapInPandas(run, "code long, n long, once long")
-    return counted.groupBy("code").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
+            for language, t in zip(batch["language"], batch["_text"]):
+                data = (t or "").encode()
+                waiting.setdefault(language, []).append(data)
+                sizes[language] = sizes.get(language, 0) + len(data)
+                if sizes[language] >= AT_ONCE:
+                    add(language, waiting.pop(language))
+                    del sizes[language]
+        for language, own in waiting.items():
+            add(language, own)
+        for language, runs in known.items():
+            codes, counts = _counted(*(np.concatenate(x) for x in zip(*runs)))
+            parts = (codes >> np.uint64(8)) & np.uint64(255)
+            order = np.argsort(parts, kind="stable")
+            codes, counts, parts = codes[order], counts[order], parts[order]
+            cuts = np.flatnonzero(np.diff(parts)) + 1
+            rows = [
+                (language, int(p[0]), _pack(c), n.astype("<u8").tobytes(), [], b"")
+                for p, c, n in zip(np.split(parts, cuts), np.split(codes, cuts), np.split(counts, cuts))
+                if len(p)
+            ]
+            yield pd.DataFrame(rows, columns=_names(PART))
+        tidy()
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        codes = np.concatenate([_unpack(c) for c in rows["codes"]])
+        codes, counts = _counted(codes, np.concatenate([np.frombuffer(n, dtype="<u8") for n in rows["counts"]]))
+        orders = by_order(codes, counts, 2)
+        with_n = [int((n == i).sum()) for _, n in orders for i in range(1, 5)]
+        heads = np.zeros(256, dtype="<i8")
+        heads[_shorter(orders[0][0], 1).astype(np.int64)] = 1
+        row = (rows["language"].iloc[0], int(key[1]), _pack(codes), counts.astype("<u8").tobytes(), with_n, heads.tobytes())
+        return pd.DataFrame([row], columns=_names(PART))
+
+    summed = texts.select("language", "_text").mapInPandas(run, PART)
+    return summed.groupBy("language", "part").applyInPandas(merge, PART)
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
 def text_digest(text: str) -> Column:
     return F.unhex(F.md5(F.col(text))).alias("_of_text")
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str | None = None) -> Model | None:
-    """Model of all texts; None if they have no symbol. At most 64 ** 4 counts reach the driver.
+def estimate(counts: DataFrame) -> DataFrame:
+    """The model: a row per language and part, with sorted arrays for every order.
 
-    With ``lang``, beside it the model of the distinct texts of each language, in a second column.
+    Interpolated modified Kneser-Ney. The discounts of a language come from all its parts, of which there are
+    256 at most; each part is then estimated by itself.
     """
-    counts = count_grams(docs, text, lang).toArrow()
-    if not counts.num_rows:
-        return None
-    code, n, once = (counts[name].to_numpy() for name in ("code", "n", "once"))
-    order = np.argsort(code)
-    model = kneser_ney(code[order], n[order])
-    return model if lang is None else beside(model, kneser_ney(code[order], once[order]))
 
+    def of_language(rows: pd.DataFrame) -> pd.DataFrame:
+        with_n = np.sum([np.array(x) for x in rows["with_n"]], axis=0).reshape(ORDER - 1, 4)
+        heads = np.sum([np.frombuffer(x, dtype="<i8") for x in rows["heads"]], axis=0).astype(float)
+        first = discounts(np.array([(heads == i).sum() for i in range(1, 5)], dtype=float))
+        off = np.minimum(first[np.minimum(heads, 3).astype(int)], heads * 0.9)
+        chance = (heads - off) / heads.sum() + off.sum() / heads.sum() / 256
+        off_of = np.concatenate([discounts(x.astype(float)) for x in with_n])
+        return pd.DataFrame(
+            [(rows["language"].iloc[0], off_of.astype("<f8").tobytes(), chance.astype("<f8").tobytes())],
+            columns=["of", "off_", "chance_"],
+        )
 
-def measure(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Replace the text by the counts of ``BASE``, ``bits`` and ``text_bits``, the mean bits of a symbol.
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                orders = by_order(_unpack(row.codes), np.frombuffer(row.counts, dtype="<u8"), 2)
+                off = np.frombuffer(row.off_, dtype="<f8").reshape(ORDER - 1, 4)
+                chance = np.frombuffer(row.chance_, dtype="<f8")
+                tables: tuple = ([], [], [], [])
+                for k, (codes, n) in enumerate(orders, 2):
+                    if k == 2:
+                        lower = chance[_shorter(codes, 1).astype(np.int64)]
+                    else:
+                        lower = np.exp2(tables[1][-1][np.searchsorted(tables[0][-1], _shorter(codes, k - 1))])
+                    logs, contexts, rest = _estimated(codes, n, off[k - 2], lower)
+                    for kept, x in zip(tables, (codes, logs, contexts, rest)):
+                        kept.append(x)
+                own = np.zeros(256, dtype=bool)
+                own[row.part] = True
+                data = pickle.dumps((*tables, np.log2(chance), own), protocol=5)
+                yield pd.DataFrame([(row.language, row.part, len(orders[-1][0]), data)], columns=_names(MODEL))
+        tidy()
 
-    ``bits`` are those of the model's first column, ``text_bits`` of its second. Both have six digits and are
-    null for a text without symbols. The perplexity of a symbol is 2 ** bits.
+    told = counts.select("language", "with_n", "heads")
+    each = told.groupBy("language").applyInPandas(of_language, "of string, off_ binary, chance_ binary")
+    joined = counts.select("language", "part", "codes", "counts").join(each, F.col("language").eqNullSafe(F.col("of")))
+    return joined.mapInPandas(run, MODEL)
+
+
+class Model:
+    """A written model, handed to tasks in broadcasts of a bounded size each; a task opens one at a time."""
+
+    def __init__(self, rows: DataFrame, most_bytes: int = 48 << 20):
+        self.rows = rows
+        sizes = rows.select("language", "part", F.octet_length("tables").alias("n")).collect()  # 256 a language
+        groups: list[list[tuple]] = []
+        room = 0
+        for r in sorted(sizes, key=lambda r: (r["language"] is not None, r["language"] or "", r["part"])):
+            if r["n"] > room:
+                groups.append([])
+                room = most_bytes
+            groups[-1].append((r["language"], r["part"]))
+            room -= r["n"]
+        context = rows.sparkSession.sparkContext
+        self.groups = []
+        for group in groups:
+            parts = {}
+            for language, part in group:
+                parts.setdefault(language, []).append(part)
+            opened = {}
+            for language, own in parts.items():
+                mine = rows.where(F.col("language").eqNullSafe(F.lit(language)) & F.col("part").isin(own))
+                opened[language] = _joined(bytes(r["tables"]) for r in mine.select("tables").collect())
+            self.groups.append((set(parts), context.broadcast(opened)))
+        #: Whether one broadcast has it all, so that tasks may keep it open.
+        self.whole = len(self.groups) == 1
+
+
+def log_chances(groups: list, texts: dict[str | None, list[bytes]], keep: bool) -> dict[str | None, np.ndarray]:
+    """log2 probability of every text by the model of its language.
+
+    Bytes after a byte that the language's model never saw have the chance of the byte alone, and all bytes are
+    alike where there is no model of the language.
     """
-    names = ("bits", "text_bits")
-    kept = [c for c in docs.columns if c not in (text, *names, *BASE)]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    out = {language: np.zeros(len(own)) for language, own in texts.items()}
+    left = {language: np.ones(256, dtype=bool) for language in texts}
+    alone: dict[str | None, np.ndarray] = {language: np.full(256, -8.0) for language in texts}
+
+    def add(language: str | None, parts: np.ndarray, score) -> None:
+        at = 0
+        for codes, lengths in grams(texts[language]):
+            owner = np.repeat(np.arange(at, at + len(lengths)), lengths)
+            at += len(lengths)
+            if not parts.all():
+                own = parts[((codes >> np.uint64(8)) & np.uint64(255)).astype(np.int64)]
+                codes, owner = codes[own], owner[own]
+            out[language] += np.bincount(owner, score(codes), len(out[language]))
+
+    for languages, shared in groups:
+        if languages.isdisjoint(texts):
+            continue
+        opened = shared.value
+        for language in languages & texts.keys():
+            tables = opened[language]
+            parts = tables.parts
+            alone[language] = tables.bytes_
+            left[language] &= ~parts
+            add(language, parts, tables.score)
+        if not keep:
+            del opened, tables
+            shared.__dict__.pop("_value", None)  # the next one takes its place in memory
+    for language in texts:
+        if left[language].any():
+            add(language, left[language], lambda codes, own=alone[language]: own[_shorter(codes, 1).astype(np.int64)])
+    return out
+
+
+def measure(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Replace the text by the counts of ``BASE`` and ``bits``, the mean bits of a word by its language's model.
+
+    All bytes of a text are scored, and divided by its words, runs of letters: symbols and separators between
+    words make them dear, however predictable they are. Six digits; null for a text without words. The
+    perplexity of a word is 2 ** bits.
+    """
+    kept = [c for c in docs.columns if c not in (text, "bits", *BASE)]
+    groups, keep = model.groups, model.whole
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for batch in batches:
-            out = [batch[kept].reset_index(drop=True)]
-            counts = [base_counts(x) for x in batch[text]]
-            out.append(pd.DataFrame(counts, columns=list(BASE), dtype="int64"))
-            bits: list[np.ndarray] = [np.zeros((2, 0))]
-            for codes, lengths in grams(batch[text]):
-                owner = np.repeat(np.arange(len(lengths)), lengths)
-                logs = m.score(codes) if len(codes) else np.zeros((0, 2))
-                with np.errstate(invalid="ignore"):
-                    bits.append(np.array([-np.bincount(owner, x, len(lengths)) / lengths for x in logs.T]))
-            for name, mean in zip(names, np.concatenate(bits, axis=1)):
-                values = [None if np.isnan(x) else round(float(x), 6) for x in mean]
-                out.append(pd.Series(values, name=name, dtype=object))
-            yield pd.concat(out, axis=1)
-        tidy()
+        with remembering():
+            for batch in batches:
+                out = [batch[kept].reset_index(drop=True)]
+                out.append(pd.DataFrame([base_counts(x) for x in batch[text]], columns=list(BASE), dtype="int64"))
+                texts: dict[str | None, list[bytes]] = {}
+                places: dict[str | None, list[int]] = {}
+                for i, (language, t) in enumerate(zip(batch[lang], batch[text])):
+                    texts.setdefault(language, []).append((t or "").encode())
+                    places.setdefault(language, []).append(i)
+                found = log_chances(groups, texts, keep)
+                bits = np.full(len(batch), np.nan)
+                for language, own in texts.items():
+                    words = words_in(own)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        bits[places[language]] = np.where(words > 0, -found[language] / words, np.nan)
+                values = [None if np.isnan(x) else round(float(x), 6) for x in bits]
+                out.append(pd.Series(values, name="bits", dtype=object))
+                yield pd.concat(out, axis=1)
 
     schema = docs.select(*kept).schema
     for name in BASE:
         schema = schema.add(name, "long")
-    for name in names:
-        schema = schema.add(name, "double")
-    return docs.select(*kept, text).mapInPandas(run, schema)
+    return docs.select(*kept, text).mapInPandas(run, schema.add("bits", "double"))
 
 
 def bands(measured: DataFrame, group: str, reach: float, least: float, step: float = 0.001) -> DataFrame:
-    """Rows (_group, low, high): quartiles of ``text_bits`` widened by ``reach`` times their distance.
+    """Rows (_group, low, high): quartiles of ``bits`` widened by ``reach`` times their distance.
 
-    Exact quartiles over the distinct texts (``_of_text``) of a group, of ``text_bits`` rounded to ``step``,
+    Exact quartiles over the distinct texts (``_of_text``) of a group, of ``bits`` rounded to ``step``,
     from counts per group and step: no group is gathered in one task. The distance of the quartiles counts
     as ``least`` at least.
     """
-    steps = F.round(F.col("text_bits") / step).cast("long").alias("_step")
+    steps = F.round(F.col("bits") / step).cast("long").alias("_step")
     counted = (
-        measured.where("text_bits is not null and not base_failed")
+        measured.where("bits is not null and not base_failed")
         .select(F.col(group).alias("_group"), "_of_text", steps)
         .distinct()
         .groupBy("_group", "_step")
@@ -295,6 +444,12 @@ def bands(measured: DataFrame, group: str, reach: float, least: float, step: flo
     )
 
 
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most_bytes: int = 48 << 20) -> Model:
+    """Model of the distinct texts of every language; it has as many n-grams as the texts have."""
+    counts = written(count_grams(docs, text, lang))
+    return Model(written(estimate(counts)), most_bytes)
+
+
 def judge(
     docs: DataFrame,
     id_: str = "doc_id",
@@ -302,24 +457,24 @@ def judge(
     lang: str = "lang",
     fewest: int = 50,
     repeat_percent: int = 50,
-    reach: float = 4.0,
-    least: float = 0.02,
+    reach: float = 3.0,
+    least: float = 0.1,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows (id, lang, counts of BASE, bits, text_bits, low, high, base_failed, kept), one per document.
+    """Rows (id, lang, counts of BASE, bits, low, high, base_failed, kept), one per document.
 
     ``keep`` names further columns to return.
 
-    ``bits`` are by the model of all rows, ``text_bits`` by that of the distinct texts of each language, so
+    ``bits`` are by the model of the distinct texts of the document's language (null is a language too), so
     that many copies of a text neither teach the model nor set the band. ``base_failed``: fewer than
     ``fewest`` words, or more than ``repeat_percent`` per cent of the words are repeated. ``kept``: the base
-    rules hold and ``text_bits`` lie in the band of the document's language (null is a language too). The
-    band is that of the distinct texts that pass the base rules. Null and empty texts fail the base rules.
-    Copies and repeated rows are judged alike. No rows give no rows.
+    rules hold and ``bits`` lie in the band of the language. The band is that of the distinct texts that pass the
+    base rules. Null and empty texts, and texts without letters, are not kept. Copies and repeated rows
+    are judged alike. No rows give no rows.
     """
     docs = docs.select(id_, lang, text, *keep)
     model = fit(docs, text, lang)
-    measured = measure(docs.withColumn("_of_text", text_digest(text)), model, text).withColumn(
+    measured = measure(docs.withColumn("_of_text", text_digest(text)), model, text, lang).withColumn(
         "base_failed",
         (F.col("n_words") < fewest)
         | (F.lit(100) * F.col("n_repeat_words") > F.lit(repeat_percent) * F.col("n_words")),
@@ -327,11 +482,11 @@ def judge(
     measured = written(measured)
     band = bands(measured, lang, reach, least)
     joined = measured.join(band, F.col(lang).eqNullSafe(F.col("_group")), "left").drop("_group", "_of_text")
-    inside = F.col("text_bits").between(F.col("low"), F.col("high"))
+    inside = F.col("bits").between(F.col("low"), F.col("high"))
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     """The counts and the verdict for every document."""
     found = judge(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *BASE, "base_failed", "kept", "bits", "text_bits", "low", "high")
+    return found.select("doc_id", *BASE, "base_failed", "kept", "bits", "low", "high")
