@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import carried, table, written
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Hex digits of an order key that make its bucket.
@@ -130,6 +130,24 @@ def mix(
     """
     tokens = words(F.col("text")) if tokens is None else tokens
     docs = docs.drop("epoch", "tokens").withColumn("tokens", tokens)
+    return carried(
+        docs,
+        [*levels, id_, "tokens"],
+        ["epoch"],
+        lambda rows: _mixed(rows, levels, weights, budget, id_, epochs, seed, default),
+    )
+
+
+def _mixed(
+    docs: DataFrame,
+    levels: list[str],
+    weights: Mapping[tuple, int],
+    budget: int | None,
+    id_: str,
+    epochs: int,
+    seed: int,
+    default: int,
+) -> DataFrame:
     narrow = written(docs.select(F.col(id_).alias("_id"), *levels, "tokens"))
     leaves = narrow.groupBy(*levels).agg(F.sum("tokens").alias("available"))
     if budget is None:

@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, running, table, written
+from .shared import carried, components, running, table, written
 
 _MARK = re.compile(r"[ \t]*>(?:[ \t]?>)*[ \t]?")
-_WROTE = re.compile(r"[^\n]{1,300}\b(?:wrote|writes):\s*")
+_WROTE = re.compile(r"(?<!\w)(?:wrote|writes):\s*\Z")
 
 
 def normalised(passage: str) -> str:
@@ -44,7 +44,7 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, list[str]]]]:
             if not last:
                 while own and not own[-1].strip():
                     own.pop()
-                if own and _WROTE.fullmatch(own[-1].rstrip("\r")):
+                if own and (found := _WROTE.search(own[-1], max(0, len(own[-1].rstrip()) - 8))) and found.start():
                     own.pop()
             if level == last:
                 quotes[-1][1].append(line[mark.end() :])
@@ -96,6 +96,9 @@ def _parsed(rows: DataFrame, text: str, conv: str, turn: str) -> DataFrame:
     return rows.select(*kept).mapInPandas(run, f"{schema}, {added}")
 
 
+ADDED = ("body", "n_quotes", "parent_conv", "parent_turn", "depth", "root_conv", "root_turn", "thread_id", "position")
+
+
 def link_quotations(
     messages: DataFrame,
     conv: str = "conv_id",
@@ -122,8 +125,13 @@ def link_quotations(
     and their thread is their conversation. Repeated rows and rows of equal keys are one message in
     links, and come one after another. Columns with the names added are replaced. No rows give no rows.
     """
-    names = ("body", "n_quotes", "parent_conv", "parent_turn", "depth", "root_conv", "root_turn", "thread_id", "position")
-    kept = [c for c in messages.columns if c not in (*names, text)]
+    return carried(
+        messages, [conv, turn, text], ADDED, lambda rows: _linked(rows, conv, turn, text, least_chars, rounds)
+    )
+
+
+def _linked(messages: DataFrame, conv: str, turn: str, text: str, least_chars: int, rounds: int) -> DataFrame:
+    kept = [c for c in messages.columns if c != text]
     parsed = written(_parsed(messages.select(*kept, text), text, conv, turn).drop(text))
     keyed = parsed.where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
     key = F.struct(F.col(conv).alias("c"), F.col(turn).alias("t"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import running, table, written
+from .shared import carried, running, table, written
 
 
 def text_bytes(text: Column) -> Column:
@@ -24,10 +24,15 @@ def shard_by_bytes(
     row, and shards are contiguous in the order. ``slot`` counts a shard's rows from 0.
 
     Adds ``shard`` (int) and ``slot`` (long). ``size`` must be positive and not null. Rows that
-    agree in ``order`` may swap places. Nulls in ``order`` come first. No rows give no rows.
+    agree in ``order`` may swap places. Nulls in ``order`` come first. Columns with the names added are replaced.
+    No rows give no rows.
     """
-    kept = [c for c in rows.columns if c not in ("shard", "slot", "position", "before")]
-    placed = written(running(rows.select(*kept), order, {"before": size}))
+    return carried(rows, [*order, size], ["shard", "slot"], lambda x: _shard_by_bytes(x, shards, order, size))
+
+
+def _shard_by_bytes(rows: DataFrame, shards: int, order: list[str], size: str) -> DataFrame:
+    kept = rows.columns
+    placed = written(running(rows, order, {"before": size}))
     total = placed.agg(F.sum(size)).first()[0] or 1
     middle = (F.lit(2) * F.col("before") + F.col(size)).cast("decimal(38,0)") * shards
     cut = placed.withColumn("_wide", middle).withColumn(

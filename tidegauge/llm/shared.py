@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -69,6 +69,22 @@ def same(a: DataFrame, b: DataFrame, names: Iterable[str]) -> Column:
     return condition
 
 
+def carried(
+    df: DataFrame, used: Iterable[str], added: Iterable[str], run: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``run(df)``, for which all columns but those ``used`` have names that clash with nothing.
+
+    They get their own names back. Columns of ``df`` named as one of the ``added`` are replaced by it.
+    """
+    used, added = set(used), set(added)
+    more = [c for c in df.columns if c not in used]
+    names = {c: f"_further{i}" for i, c in enumerate(more)}
+    own = {f"_further{i}": c for i, c in enumerate(more)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    out = run(df.select(*[quoted(c).alias(names.get(c, c)) for c in df.columns]))
+    return out.select(*[quoted(c).alias(own.get(c, c)) for c in out.columns if own.get(c) not in added])
+
+
 def running(
     df: DataFrame, order: list[str], sums: dict[str, str], group: list[str] | None = None
 ) -> DataFrame:
@@ -77,9 +93,14 @@ def running(
     Rows are ordered by ``order`` within ``group``. No group and no order value has to fit into
     one task: rows are dealt out by ranges of (group, order, row number), each partition is summed
     by itself, and the totals of earlier partitions are added. Rows that agree in ``order`` get
-    successive positions. ``sums`` names the new column and the column that is summed.
+    successive positions. ``sums`` names the new column and the column that is summed. Columns with the names
+    added are replaced.
     """
-    group = group or []
+    used = [*order, *sums.values(), *(group or [])]
+    return carried(df, used, ["position", *sums], lambda rows: _running(rows, order, sums, group or []))
+
+
+def _running(df: DataFrame, order: list[str], sums: dict[str, str], group: list[str]) -> DataFrame:
     spread = (
         df.withColumn("_tie", F.monotonically_increasing_id())
         .repartitionByRange(partitions(df.sparkSession), *group, *order, "_tie")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
-from .shared import partitions, table, tidy
+from .shared import carried, partitions, table, tidy
 
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BITS = 20  # positions in a buffer
@@ -316,9 +316,19 @@ def remove_repeats(
     """
     if not 4 <= q <= match <= q + 62:
         raise ValueError("the q-gram must have 4 to `match` bytes and at most 62 bytes less")
+    return carried(
+        docs,
+        [id_, text],
+        ["n_bytes", "kept", "spans"],
+        lambda rows: _remove_repeats(rows, id_, text, match, q, part_bytes, as_text, most_alike),
+    )
+
+
+def _remove_repeats(
+    docs: DataFrame, id_: str, text: str, match: int, q: int, part_bytes: int, as_text: bool, most_alike: int
+) -> DataFrame:
     spark = docs.sparkSession
-    added = ("n_bytes", "kept", "spans", "_part")
-    kept = [c for c in docs.columns if c not in (text, *added)]
+    kept = [c for c in docs.columns if c != text]
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     parts = max(partitions(spark), -(-total // part_bytes))
     buckets = 1
