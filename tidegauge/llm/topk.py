@@ -1,18 +1,29 @@
-"""Exact top-k inner products, pruned by segment means and deviations."""
+"""Exact top-k inner products, pruned by segment means and deviations in a rotated basis.
+
+The inner product of two vectors is that of their rotations. A rotation that puts the directions in which a
+sample of the vectors is long first makes their segments tell: short segments where much is decided, long ones where
+little is. Bounds come level by level, each only for the pairs that the level before left, and exact integer
+scores only for what is left after the finest level.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, table
+from .shared import table, tidy, written
 
-#: Segments of a vector per level, coarse to fine.
-LEVELS = (1, 4, 16)
-#: Candidates that are compared with a block of queries at once.
-AT_ONCE = 1024
+#: Per level, coarse to fine: the share of the components that are segments by themselves, and how many segments
+#: the others make.
+LEVELS = ((1 / 8, 1), (1 / 2, 2), (7 / 8, 4))
+#: Candidates that are compared with a block of queries at once, and pairs whose bounds or scores are computed at once.
+AT_ONCE, PAIRS = 1024, 1 << 16
+FOUND = "query_id long, _id long, score long"
 
 
 def whole_vectors(rows: DataFrame, id_: str, vector: str, scale: int) -> DataFrame:
@@ -25,75 +36,140 @@ def whole_vectors(rows: DataFrame, id_: str, vector: str, scale: int) -> DataFra
     )
 
 
-def segment_features(v: np.ndarray, segments: int) -> np.ndarray:
-    """Means and deviations of a vector's segments, weighted by the root of their lengths.
+class Basis(NamedTuple):
+    """An orthogonal matrix, and per level where the segments of a rotated vector begin."""
+
+    rotation: np.ndarray
+    starts: list[np.ndarray]
+
+    @classmethod
+    def of(cls, sample: np.ndarray) -> Basis:
+        """Directions in which the sample is longest first."""
+        width = sample.shape[1]
+        x = sample.astype(np.float64)
+        x = x / max(1.0, abs(x).max(initial=0))
+        _, vectors = np.linalg.eigh(x.T @ x) if width else (None, np.zeros((0, 0)))
+        starts = []
+        for share, rest in LEVELS:
+            lead = min(width, int(np.ceil(width * share)))
+            cuts = np.linspace(lead, width, min(rest, width - lead) + 1)[:-1].astype(int)
+            starts.append(np.concatenate([np.arange(lead), cuts]))
+        return cls(vectors[:, ::-1], starts)
+
+
+def segment_features(v: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Means and deviations of the segments of vectors, weighted by the root of their lengths.
 
     With these, the squared distance of two vectors is at least that of their features, and so their
-    inner product is at most that of their features.
+    inner product is at most that of their features. A segment of one component has no deviation.
     """
-    width = v.shape[1]
-    if not width:
+    if not len(starts):
         return np.zeros((len(v), 1))
-    edges = np.linspace(0, width, min(segments, width) + 1).astype(int)
-    out = []
-    for a, b in zip(edges, edges[1:]):
-        part = v[:, a:b].astype(np.float64)
-        root = (b - a) ** 0.5
-        out += [part.mean(axis=1) * root, part.std(axis=1) * root]
-    return np.stack(out, 1)
-
-
-def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products of all rows of ``q`` and ``c``; sums beyond a long stay at its ends."""
-    top = float(abs(q).max(initial=0)) * float(abs(c).max(initial=0))
-    if top * max(q.shape[1], 1) < 2**52:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    wide = q.astype(object) @ c.astype(object).T
-    return np.clip(wide, -(2**63), 2**63 - 1).astype(np.int64)
-
-
-def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int):
-    """(query row, id, score) of the k best of ``c`` for each row of ``q``, ties to smaller ids.
-
-    Long vectors first, so that the k-th score rises soon. For each run of candidates: upper bounds
-    of the scores from lower bounds of the distances, level by level over the pairs that are left, then
-    the exact scores of those that are left after the finest level.
+    length = np.diff(np.append(starts, v.shape[1]))
+    total = np.add.reduceat(v, starts, axis=1)
+    mean = total / np.sqrt(length)
+    long = np.flatnonzero(length > 1)
+    left = np.add.reduceat(v * v, starts, axis=1)[:, long] - mean[:, long] ** 2
+    return np.concatenate([mean, np.sqrt(np.maximum(left, 0))], axis=1)
+
+
+def dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs of rows (a[i], b[j])."""
+    out = np.empty(len(i), dtype=a.dtype)
+    for at in range(0, len(i), PAIRS):
+        some = slice(at, at + PAIRS)
+        out[some] = np.einsum("ij,ij->i", a[i[some]], b[j[some]])
+    return out
+
+
+def exact(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Integer inner products of the pairs of rows; sums beyond a long stay at its ends."""
+    top = float(abs(q.astype(np.float64)).max(initial=0)) * float(abs(c.astype(np.float64)).max(initial=0))
+    if top * max(q.shape[1], 1) < 2**62:
+        return dots(q, c, i, j)
+    wide = [sum(int(x) * int(y) for x, y in zip(q[m], c[n])) for m, n in zip(i, j)]
+    return np.array([max(-(2**63), min(2**63 - 1, w)) for w in wide], dtype=np.int64)
+
+
+class Best:
+    """The k best of what was offered to each query, ties to smaller ids."""
+
+    def __init__(self, queries: int, k: int, floor: np.ndarray | None = None):
+        self.queries, self.k = queries, k
+        self.row, self.id, self.score = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.floor = np.full(queries, -np.inf) if floor is None else floor.astype(np.float64)
+
+    def offer(self, row: np.ndarray, id_: np.ndarray, score: np.ndarray) -> None:
+        row, id_, score = (np.concatenate(x) for x in ((self.row, row), (self.id, id_), (self.score, score)))
+        # ~score falls where the score rises, also at the ends of a long.
+        order = np.lexsort((id_, ~score, row))
+        row, id_, score = row[order], id_[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        some = place < self.k
+        self.row, self.id, self.score = row[some], id_[some], score[some]
+        full = place == self.k - 1
+        self.floor[row[full]] = np.maximum(self.floor[row[full]], score[full].astype(np.float64))
+
+
+class Work(NamedTuple):
+    """How many pairs there were, and how many got an exact score."""
+
+    pairs: int
+    exact: int
+
+
+def search(
+    qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, best: Best, basis: Basis
+) -> Work:
+    """Offer to ``best`` what can be among the k best of ``c`` for each row of ``q``.
+
+    Long vectors first, so that the k-th score rises soon, and of a run of candidates those with the highest bounds.
     """
-    order = np.lexsort((cid, -np.einsum("ij,ij->i", c.astype(np.float64), c.astype(np.float64))))
-    cid, c = cid[order], c[order]
-    levels = [(segment_features(q, n), segment_features(c, n)) for n in LEVELS if n <= max(1, q.shape[1])]
-    best_id = np.full((len(q), k), np.iinfo(np.int64).max)
-    best = np.full((len(q), k), np.iinfo(np.int64).min)
-    filled = np.zeros((len(q), k), dtype=bool)
+    norm = np.sqrt(np.einsum("ij,ij->i", c.astype(np.float64), c.astype(np.float64)))
+    order = np.lexsort((cid, -norm))
+    cid, c, norm = cid[order], c[order], norm[order]
+    turned = q.astype(np.float64) @ basis.rotation
+    slack = 1e-9 * np.sqrt(np.einsum("ij,ij->i", turned, turned))  # beyond what rounding can amount to
+    fq = [segment_features(turned, x) for x in basis.starts]
+    pairs = done = 0
     for at in range(0, len(c), AT_ONCE):
         run = slice(at, at + AT_ONCE)
-        ids, rows = cid[run], c[run]
-        floor_ = np.where(filled[:, -1], best[:, -1].astype(np.float64), -np.inf)
-        left = qid[:, None] != ids[None, :]
-        for fq, fc in levels:
-            bound = fq @ fc[run].T
-            left &= bound + 1e-6 * (1 + np.abs(bound)) >= floor_[:, None]
-            if not left.any():
-                break
-        some_q, some_c = np.flatnonzero(left.any(axis=1)), np.flatnonzero(left.any(axis=0))
-        if not len(some_q):
-            continue
-        score = exact(q[some_q], rows[some_c])
-        alive = left[np.ix_(some_q, some_c)]
-        for i, row in enumerate(some_q):
-            ok = alive[i]
-            if filled[row, -1]:
-                ok = ok & (score[i] >= best[row, -1])
-            hit = np.flatnonzero(ok)
-            if not len(hit):
-                continue
-            s = np.concatenate([best[row][filled[row]], score[i][hit]])
-            n = np.concatenate([best_id[row][filled[row]], ids[some_c[hit]]])
-            top = np.lexsort((n, -s.astype(object) if s.min() == -(2**63) else -s))[:k]
-            best[row, : len(top)], best_id[row, : len(top)] = s[top], n[top]
-            filled[row, : len(top)] = True
-    row, col = np.nonzero(filled)
-    return row, best_id[row, col], best[row, col]
+        ids, rows, lengths = cid[run], c[run], norm[run]
+        there = rows.astype(np.float64) @ basis.rotation
+        fc = [segment_features(there, x) for x in basis.starts]
+        other = qid[:, None] != ids[None, :]
+        pairs += int(other.sum())
+        bound = fq[0] @ fc[0].T + slack[:, None] * lengths[None, :] + 1e-6
+        i, j = np.nonzero(other & (bound >= best.floor[:, None]))
+        bound = bound[i, j]
+        for a, b in zip(fq[1:], fc[1:]):
+            bound = dots(a, b, i, j) + slack[i] * lengths[j] + 1e-6
+            left = bound >= best.floor[i]
+            i, j, bound = i[left], j[left], bound[left]
+        # The highest bounds first: what they reach rules out pairs behind them.
+        order = np.lexsort((-bound, i))
+        i, j, bound = i[order], j[order], bound[order]
+        many = best.k
+        while len(i):
+            first = np.arange(len(i)) - np.searchsorted(i, i) < many
+            best.offer(i[first], ids[j[first]], exact(q, rows, i[first], j[first]))
+            done += int(first.sum())
+            left = ~first & (bound >= best.floor[i])
+            i, j, bound = i[left], j[left], bound[left]
+            many *= 2
+    return Work(pairs, done)
+
+
+def _by_width(ids: Iterable, vectors: Iterable) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrices of vectors by their length."""
+    out: dict[int, tuple[list, list]] = {}
+    for n, v in zip(ids, vectors):
+        a, b = out.setdefault(len(v), ([], []))
+        a.append(n)
+        b.append(v)
+    return {
+        w: (np.array(a, dtype=np.int64), np.array(b, dtype=np.int64).reshape(len(a), w)) for w, (a, b) in out.items()
+    }
 
 
 def top_k(
@@ -103,8 +179,8 @@ def top_k(
     id_: str = "vec_id",
     vector: str = "embedding",
     scale: int = 1024,
-    query_block: int = 4096,
-    slice_rows: int = 16_384,
+    query_block: int = 8192,
+    sample_rows: int = 4096,
 ) -> DataFrame:
     """Rows (query_id, rank, id, score): the ``k`` largest integer inner products of every query.
 
@@ -113,41 +189,47 @@ def top_k(
     no part. Vectors meet those of their own length only. Repeated query ids count
     once, with the first vector in order; repeated rows all count. Fewer rows give fewer results.
 
-    Queries in blocks and rows in slices, both bounded, meet as a grid; a cell keeps k rows per query.
+    Queries go in blocks of about ``query_block``, each to all tasks in a broadcast of that size; rows stay where
+    they are read, and a task hands on k rows per query. A sample of ``sample_rows`` rows gives the rotation, and
+    the k-th score of each query in the sample is asked of all rows from the start.
     """
     spark = queries.sparkSession
-    q = whole_vectors(queries, id_, vector, scale).groupBy("_id").agg(F.min("_v").alias("_v"))
+    q = written(whole_vectors(queries, id_, vector, scale).groupBy("_id").agg(F.min("_v").alias("_v")))
     c = whole_vectors(rows, id_, vector, scale)
-    n_q, n_c = q.count(), c.count()
-    blocks = max(1, -(-n_q // query_block))
-    slices = max(1, min(partitions(spark), n_c // 256), -(-n_c // slice_rows))
-    q = q.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    )
-    c = c.withColumn("_slice", (F.monotonically_increasing_id() % slices).cast("int")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
+    blocks = max(1, -(-q.count() // query_block))
+    drawn = c.orderBy(F.xxhash64("_id", "_v"), "_id").limit(sample_rows).collect()
+    sample = _by_width((r["_id"] for r in drawn), (r["_v"] for r in drawn))
+    bases = {w: Basis.of(v) for w, (_, v) in sample.items()}
+    parts = []
+    for block in range(blocks):
+        own = q.where(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(blocks)) == block).collect()
+        asked = {}
+        for w, (qid, v) in _by_width((r["_id"] for r in own), (r["_v"] for r in own)).items():
+            known = Best(len(qid), k)
+            if w in sample:
+                search(qid, v, *sample[w], known, bases[w])
+            # Rows of the sample come again with all others: only what they reach is kept.
+            asked[w] = (qid, v, known.floor, bases.get(w) or Basis.of(v[:0]))
+        shared = spark.sparkContext.broadcast((asked, k))
 
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        by_width = {w: x for w, x in b.groupby(b["_v"].map(len))} if len(b) else {}
-        for w, x in a.groupby(a["_v"].map(len)) if len(a) else ():
-            if w not in by_width:
-                continue
-            y = by_width[w]
-            qv = np.array(x["_v"].tolist(), dtype=np.int64).reshape(len(x), w)
-            cv = np.array(y["_v"].tolist(), dtype=np.int64).reshape(len(y), w)
-            qid = x["_id"].to_numpy()
-            row, found, score = search(qid, qv, y["_id"].to_numpy(), cv, k)
-            out.append(pd.DataFrame({"query_id": qid[row], "_id": found, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "_id": [], "score": []}, dtype="int64")
-
-    keys = ("_block", "_slice")
-    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(
-        cell, "query_id long, _id long, score long"
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "_id")  # k rows a slice
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        def run(batches: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            asked, k = shared.value
+            best = {w: Best(len(qid), k, floor) for w, (qid, _, floor, _) in asked.items()}
+            for batch in batches:
+                for w, (cid, vectors) in _by_width(batch["_id"], batch["_v"]).items():
+                    if w in asked:
+                        qid, v, _, basis = asked[w]
+                        search(qid, v, cid, vectors, best[w], basis)
+            for w, b in best.items():
+                yield pd.DataFrame({"query_id": asked[w][0][b.row], "_id": b.id, "score": b.score})
+            tidy()
+
+        parts.append(c.mapInPandas(run, FOUND))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "_id")  # k rows a task
+    ranked = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("_id").alias(id_), "score")
 
 
