@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .shared import remembering, table, tidy, written
 
 ORDER = 5  # bytes of an n-gram; a code has eight bits for each
-EDGE = 0  # stands before the first byte of a text
+#: The byte 0 stands before the first one of a text.
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that are scored or counted at once.
 AT_ONCE = 1 << 21
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -59,9 +60,9 @@ def words_in(texts: list[bytes]) -> np.ndarray:
     """How many words each text has: runs of ASCII letters and bytes beyond ASCII."""
     # What stands between texts is no letter, so words do not cross them.
     letter = _LETTER[np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", dtype=np.uint8)]
-    begins = np.append(0, np.cumsum(letter[1:] & ~letter[:-1]))
+    begins = np.flatnonzero(letter[1:] & ~letter[:-1])
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return np.diff(begins[ends], prepend=0)
+    return np.diff(np.searchsorted(begins, ends), prepend=0)
 
 
 def grams(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -144,15 +145,52 @@ def _estimated(
     return np.log2((n - off) / total[where] + left[where] * lower), contexts, np.log2(left)
 
 
+class HashArray(NamedTuple):
+    """Values by code in an array sorted by hash. ``first`` tells where the hashes with given leading bits begin, so a
+    look-up needs a step or two. The hash is a product with an odd number, so no two codes share one."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    shift: np.uint64
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, codes: np.ndarray, values: np.ndarray) -> HashArray:
+        hashes = codes * _ODD
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        bits = max(1, len(codes).bit_length())
+        shift = np.uint64(64 - bits)
+        first = np.searchsorted(hashes >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        return cls(hashes, first.astype(np.int32 if len(codes) < 1 << 31 else np.int64), shift, values[order])
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, whether there is one) of the codes; 0 where there is none."""
+        if not len(self.hashes):
+            return np.zeros(len(codes)), np.zeros(len(codes), dtype=bool)
+        wanted = codes * _ODD
+        lead = (wanted >> self.shift).astype(np.int64)
+        at = self.first[lead]
+        hit = self.hashes[np.minimum(at, len(self.hashes) - 1)] == wanted
+        rest = np.flatnonzero(~hit)
+        ends = self.first[lead[rest] + 1]
+        while len(rest):
+            at[rest] += 1
+            inside = at[rest] < ends
+            rest, ends = rest[inside], ends[inside]
+            own = self.hashes[at[rest]] == wanted[rest]
+            hit[rest[own]] = True
+            rest, ends = rest[~own], ends[~own]
+        return np.where(hit, self.values[np.minimum(at, len(self.hashes) - 1)], 0.0), hit
+
+
 class Tables(NamedTuple):
-    """Sorted arrays of one language: per order from 2, n-grams with log2 probabilities, and contexts with the log2
-    of what they leave to the next lower order; of order 1, the log2 probability of every byte. ``parts`` tells
-    which bytes before the last one are covered."""
-
-    codes: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    rest: list[np.ndarray]
+    """One language: per order from 2, log2 probabilities by n-gram, and by context the log2 of what it leaves to the
+    next lower order; of order 1, the log2 probability of every byte. ``parts`` tells which bytes before the last
+    one are covered."""
+
+    logs: list[HashArray]
+    rest: list[HashArray]
     bytes_: np.ndarray
     parts: np.ndarray
 
@@ -161,13 +199,8 @@ class Tables(NamedTuple):
         out = np.zeros(len(code))
         todo: np.ndarray | None = None  # all
         for k in range(ORDER, 1, -1):
-            known, contexts = self.codes[k - 2], self.contexts[k - 2]
-            if not len(known):
-                continue
             own = _shorter(code if todo is None else code[todo], k)
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            hit = known[at] == own
-            found = np.where(hit, self.logs[k - 2][at], 0.0)
+            found, hit = self.logs[k - 2].find(own)
             if todo is None:
                 out, todo = found, np.flatnonzero(~hit)
             else:
@@ -175,10 +208,7 @@ class Tables(NamedTuple):
                 todo = todo[~hit]
             if not len(todo):
                 return out
-            own = own[~hit] >> np.uint64(8)
-            at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
-            out[todo] += np.where(contexts[at] == own, self.rest[k - 2][at], 0.0)
-        todo = np.arange(len(code)) if todo is None else todo
+            out[todo] += self.rest[k - 2].find(own[~hit] >> np.uint64(8))[0]
         out[todo] += self.bytes_[_shorter(code[todo], 1).astype(np.int64)]
         return out
 
@@ -186,14 +216,9 @@ class Tables(NamedTuple):
 def _joined(rows: Iterable[bytes]) -> Tables:
     """Tables of several parts of one language as one."""
     parts = [pickle.loads(r) for r in rows]
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    for k in range(ORDER - 1):
-        for keys, values in ((0, 1), (2, 3)):
-            x = np.concatenate([p[keys][k] for p in parts])
-            order = np.argsort(x, kind="stable")
-            out[keys].append(x[order])
-            out[values].append(np.concatenate([p[values][k] for p in parts])[order])
-    return Tables(*out, parts[0][4], np.any([p[5] for p in parts], axis=0))
+    both = lambda i, k: np.concatenate([p[i][k] for p in parts])
+    logs, rest = ([HashArray.of(both(i, k), both(i + 1, k)) for k in range(ORDER - 1)] for i in (0, 2))
+    return Tables(logs, rest, parts[0][4], np.any([p[5] for p in parts], axis=0))
 
 
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
