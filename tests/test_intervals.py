@@ -122,3 +122,23 @@ def test_last_rows_need_no_sort_aggregation(spark, name):
     df = entry_point.queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_product_with_a_heavy_inner_index(spark):
+    """One inner index holds a third of both matrices: it is cut into blocks, and no block is large."""
+    rng = random.Random(9)
+    n = 900
+    a = [(rng.randrange(60), 7 if x % 3 == 0 else rng.randrange(40), rng.randrange(-5, 6)) for x in range(n)] + [(None, 1, 2), (1, None, 3)]
+    b = [(7 if x % 3 == 0 else rng.randrange(40), rng.randrange(60), rng.randrange(-5, 6)) for x in range(n)] + [(None, 1, 2), (1, None, 3)]
+    left, right = (spark.createDataFrame(x, "i bigint, j bigint, v bigint") for x in (a, b))
+    want = {}
+    for i, k, v in a:
+        for k2, j, w in b:
+            if k is not None and k == k2:
+                want[i, j] = want.get((i, j), 0) + v * w
+    for heavy in (20, 1 << 16):
+        got = joins.matrix_product(left, right, heavy)
+        assert {(r.i, r.j): r.v for r in got.collect()} == want
+    split = joins.matrix_product(left, right, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_at_a" in split and "_at_b" in split
+    assert joins.matrix_product(left.limit(0), right).count() == 0

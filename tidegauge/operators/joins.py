@@ -194,12 +194,35 @@ def label_join_over_time(
     return joined.select(*columns, F.explode("labels").alias(label))
 
 
-def matrix_product(a: DataFrame, b: DataFrame) -> DataFrame:
+def matrix_product(a: DataFrame, b: DataFrame, heavy: int = 1 << 16) -> DataFrame:
     """Product of two matrices in coordinate form ``(i, j, v)``.
 
     Work is the number of products a sparse multiplication needs; they are summed on the
-    map side before they are shuffled by output cell.
+    map side before they are shuffled by output cell. An inner index with more than ``heavy`` entries on a side is
+    a grid of blocks: each side's entries are dealt out along one edge of the grid and repeated along the
+    other, so a block has about ``heavy`` entries a side and every pair meets in one block.
     """
     left = a.select("i", F.col("j").alias("_k"), F.col("v").alias("_va"))
     right = b.select(F.col("i").alias("_k"), "j", F.col("v").alias("_vb"))
-    return left.join(right, "_k").groupBy("i", "j").agg(F.sum(F.col("_va") * F.col("_vb")).alias("v"))
+    sides = left.select("_k", F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
+        right.select("_k", F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    )
+    # A row per heavy index: at most one for every `heavy` entries.
+    grid = (
+        sides.groupBy(F.col("_k").alias("_heavy"))
+        .agg(F.sum("_a").alias("_n_a"), F.sum("_b").alias("_n_b"))
+        .filter((F.greatest("_n_a", "_n_b") > heavy) & (F.least("_n_a", "_n_b") > 0))
+        .select("_heavy", *[F.ceil(F.col(f"_n_{x}") / heavy).cast("int").alias(f"_{x}s") for x in "ab"])
+    )
+
+    def dealt(side: DataFrame, by: str, along: str, across: str) -> DataFrame:
+        """Entries with their blocks: one along an edge of the grid, all across."""
+        known = side.join(grid, F.col("_k") == F.col("_heavy"), "left")
+        wide = F.coalesce(F.col(f"_{along}s"), F.lit(1))
+        others = F.sequence(F.lit(0), F.coalesce(F.col(f"_{across}s"), F.lit(1)) - 1)
+        return known.select(
+            *side.columns, F.pmod(F.xxhash64(by), wide).cast("int").alias(f"_at_{along}"), F.explode(others).alias(f"_at_{across}")
+        )
+
+    met = dealt(left, "i", "a", "b").join(dealt(right, "j", "b", "a"), ["_k", "_at_a", "_at_b"])
+    return met.groupBy("i", "j").agg(F.sum(F.col("_va") * F.col("_vb")).alias("v"))
