@@ -419,3 +419,21 @@ def test_a_detail_id_that_points_nowhere_counts_as_none(spark):
     assert rows(got, "id", "replicas", "chart_name") == [
         (1, 2, None), (2, None, "chart"), (3, None, "chart"), (4, 2, None),
     ]
+
+
+def test_release_texts(spark):
+    schema = "id bigint, release_name string, values_files string, set_values string"
+    data = [
+        (1, "a", '["x.yaml","y.yaml"]', '{"b":"2","a":"1"}'), (2, "b", "[]", "{}"), (3, "c", None, None),
+        (4, "d", "no list", '{"a":'), (5, "e", '["x"]', '{"n":3,"o":{"p":1},"q":null}'),
+    ]
+    deployments = spark.createDataFrame(data, schema)
+    opened = {r.id: (r.values_files, r.set_values) for r in catalogue.read_release(deployments).collect()}
+    assert opened[1] == (["x.yaml", "y.yaml"], {"b": "2", "a": "1"}) and opened[2] == ([], {})
+    assert opened[3] == (None, None) and opened[4] == (None, None)
+    assert opened[5] == (["x"], {"n": "3", "o": '{"p":1}', "q": None})
+    again = {r.id: (r.values_files, r.set_values) for r in catalogue.write_release(catalogue.read_release(deployments)).collect()}
+    assert again[1] == ('["x.yaml","y.yaml"]', '{"a":"1","b":"2"}') and again[2] == ("[]", "{}") and again[3] == (None, None)
+    assert rows(catalogue.release_settings(deployments).filter("id < 4"), "id", "files", "name", "value") == [
+        (1, 2, "a", "1"), (1, 2, "b", "2"),
+    ]

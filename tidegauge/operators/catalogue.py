@@ -285,6 +285,37 @@ def seed(existing: DataFrame, defaults: DataFrame, key: str, order: str) -> Data
     return existing.unionByName(absent.select(*existing.columns))
 
 
+def read_release(deployments: DataFrame) -> DataFrame:
+    """Chart deployments with the texts of their settings opened: ``values_files`` a list, ``set_values`` pairs by name.
+
+    Both are JSON texts, a list of file names and an object. An absent text, or one that is not JSON of that kind,
+    is NULL; a value that is not a text is kept as its JSON.
+    """
+    opened = {"values_files": "array<string>", "set_values": "map<string,string>"}
+    return deployments.withColumns({c: F.from_json(c, F.lit(kind)) for c, kind in opened.items()})
+
+
+def write_release(deployments: DataFrame) -> DataFrame:
+    """``read_release`` undone: lists and pairs as JSON texts, pairs in order of their names."""
+    names = F.array_sort(F.map_keys("set_values"))
+    sorted_pairs = F.map_from_arrays(names, F.transform(names, lambda n: F.element_at("set_values", n)))
+    return deployments.withColumns({"values_files": F.to_json("values_files"), "set_values": F.to_json(sorted_pairs)})
+
+
+def release_settings(deployments: DataFrame) -> DataFrame:
+    """One row per setting of a deployment: ``id``, ``release_name``, ``name``, ``value``, and how many files it has.
+
+    Deployments without readable pairs have no row.
+    """
+    opened = read_release(deployments)
+    return opened.select(
+        "id",
+        "release_name",
+        F.coalesce(F.size("values_files"), F.lit(0)).cast("bigint").alias("files"),
+        F.explode("set_values").alias("name", "value"),
+    )
+
+
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 _FIXED = (*_WHOLE, "boolean", "float", "double", "date", "timestamp", "timestamp_ntz")
 

@@ -327,3 +327,37 @@ def wl_insert(v):
         F.coalesce("yaml_workload_id", F.lit(-1)).alias("yaml_id"),
         F.coalesce(F.col("is_completed").cast("string"), F.lit("")).alias("is_completed"),
     )
+
+
+@query(
+    "helm_release_settings",
+    """WITH deployments AS (
+         SELECT o_orderkey AS id, 'release-' || o_orderkey::VARCHAR AS release_name,
+           CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '["base.yaml"]'
+             ELSE '["base.yaml","zone-' || (o_orderkey % 5)::VARCHAR || '.yaml"]' END AS values_files,
+           CASE WHEN o_orderkey % 7 = 0 THEN '{"replicas":' WHEN o_orderkey % 7 = 1 THEN NULL
+             ELSE '{"replicas":"' || (o_orderkey % 9)::VARCHAR || '","image.tag":"v' || (o_orderkey % 11)::VARCHAR || '"}' END AS set_values
+         FROM orders WHERE o_orderkey % 3 = 1
+       ), named AS (
+         SELECT *, unnest(json_keys(CASE WHEN json_valid(set_values) THEN set_values END)) AS name FROM deployments
+       )
+       SELECT id, release_name, coalesce(json_array_length(values_files), 0)::BIGINT AS files, name,
+         json_extract_string(set_values, '$."' || name || '"') AS value FROM named""",
+)
+def helm_release_settings(v):
+    """Settings of chart deployments, kept as JSON texts of which some are absent and some damaged."""
+    key = F.col("o_orderkey")
+    number = lambda m: (key % m).cast("string")
+    files = (
+        F.when(key % 4 == 1, "[]")
+        .when(key % 4 == 2, '["base.yaml"]')
+        .when(key % 4 == 3, F.concat(F.lit('["base.yaml","zone-'), number(5), F.lit('.yaml"]')))
+    )
+    pairs = F.concat(F.lit('{"replicas":"'), number(9), F.lit('","image.tag":"v'), number(11), F.lit('"}'))
+    deployments = v.table("orders").filter(key % 3 == 1).select(
+        key.alias("id"),
+        F.concat(F.lit("release-"), key.cast("string")).alias("release_name"),
+        files.alias("values_files"),
+        F.when(key % 7 == 0, '{"replicas":').when(key % 7 != 1, pairs).alias("set_values"),
+    )
+    return ops.release_settings(deployments)
