@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import oracle
+from tidegauge.llm import mixing
 from tidegauge.llm.mixing import OP7_SQL, budgets, mix, op7_mixing, words
 
 
@@ -88,6 +89,26 @@ def test_prefixes_of_epochs(spark):
             assert sorted(got[s]) == sorted(want)
 
 
+@pytest.mark.parametrize("few", [0, 3, 40])
+def test_buckets_are_divided_until_they_are_small(spark, monkeypatch, few):
+    """The same prefix whatever the size from which a bucket is looked at by document."""
+    rows = [(i % 700, f"s{i % 2}", i % 7) for i in range(1000)] + [(5, "s1", 3)] * 500
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    draw = lambda: sorted(tuple(r) for r in mix(df, ["source"], {("s1",): 2}, 1700, tokens=F.col("n")).collect())
+    want = draw()
+    monkeypatch.setattr(mixing, "FEW", few)
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    assert draw() == want and want
+
+
+def test_very_many_siblings_are_not_one_task(spark):
+    """Children of one node are dealt out by ranges; no window holds them all."""
+    leaves = spark.range(5000).selectExpr("cast(id as string) AS s", "id % 50 AS available")
+    shared = budgets(leaves, ["s"], {("7",): 40}, 60_000, 2)
+    got = {(r.s,): r.budget for r in shared.collect()}
+    assert got == plain_budgets({(str(i),): i % 50 for i in range(5000)}, {("7",): 40}, 60_000, 2)
+
+
 def test_odd_rows(odd, none):
     out = mix(odd, ["lang", "source"], {}, epochs=1)
     assert out.count() == 13 and {r.ids for r in out.collect()} == {"mine"}  # all tokens, one epoch

@@ -7,11 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import carried, table, written
+from .shared import carried, running, table, written
 
 WHITE = r"[\x20\x09-\x0D]+"
-#: Hex digits of an order key that make its bucket.
+#: Hex digits of an order key by which a bucket is divided into smaller ones, of the 32 that a key has.
 DIGITS = 3
+#: Documents of a bucket that are looked at one by one.
+FEW = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -38,26 +40,25 @@ def share_out(nodes: DataFrame, parent: list[str], name: list[str]) -> DataFrame
     weights, and so on. In order of room by weight, a child is full if its room is at most the share it
     has of what the fuller ones before it leave. Integer arithmetic; shares are rounded down.
     """
-    by = Window.partitionBy(*parent).orderBy("_fill", *name)
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by.rowsBetween(0, Window.unboundedFollowing)
-    all_ = Window.partitionBy(*parent)
+    group = parent or ["_top"]
+    nodes = nodes if parent else nodes.withColumn("_top", F.lit(0))
     ordered = nodes.withColumn("_fill", F.expr("cast(room as decimal(38,0)) * 1000000 div weight"))
-    tested = ordered.withColumn(
+    # However many children a node has, they are summed in ranges.
+    placed = running(ordered, ["_fill", *name], {"_room_before": "room", "_weight_before": "weight"}, group)
+    tested = placed.join(nodes.groupBy(*group).agg(F.sum("weight").alias("_weights")), group).withColumn(
         "_full",
-        _wide("room") * F.sum("weight").over(rest)
-        <= (F.col("given") - F.coalesce(F.sum("room").over(before), F.lit(0))) * _wide("weight"),
+        _wide("room") * (F.col("_weights") - F.col("_weight_before"))
+        <= (F.col("given") - F.col("_room_before")) * _wide("weight"),
     )
-    shared = tested.withColumns(
-        {
-            "_kept": F.coalesce(F.sum(F.when(F.col("_full"), F.col("room"))).over(all_), F.lit(0)),
-            "_open": F.sum(F.when(~F.col("_full"), F.col("weight"))).over(all_),
-        }
+    sums = tested.groupBy(*group).agg(
+        F.coalesce(F.sum(F.when(F.col("_full"), F.col("room"))), F.lit(0)).alias("_kept"),
+        F.sum(F.when(~F.col("_full"), F.col("weight"))).alias("_open"),
     )
+    shared = tested.join(sums, group)
     share = F.expr("cast(given - _kept as decimal(20,0)) * cast(weight as decimal(18,0)) div _open")
     return shared.withColumn(
         "budget", F.when(F.col("_full"), F.col("room")).otherwise(F.least(share, F.col("room"))).cast("long")
-    ).drop("_fill", "_full", "_kept", "_open")
+    ).select(*[c for c in nodes.columns if c != "_top"], "budget")
 
 
 def budgets(
@@ -125,8 +126,9 @@ def mix(
     Rows of one id go together (null ids are one id). Documents without tokens are drawn as others are.
     Columns with the names added are replaced. No rows give no rows.
 
-    The prefix of a hot leaf is found without sorting it: tokens are summed per bucket of the order, and
-    only the bucket in which the budget ends is looked at by document.
+    The prefix of a hot leaf is found without sorting it: tokens are summed per bucket of the order. The bucket
+    in which the budget ends is divided again and again, until it has few documents, and then looked at by
+    document.
     """
     tokens = words(F.col("text")) if tokens is None else tokens
     docs = docs.drop("epoch", "tokens").withColumn("tokens", tokens)
@@ -163,18 +165,34 @@ def _mixed(
     # Written, so that Spark knows how small it is and does not shuffle texts to join it.
     plan = written(plan)
     keyed = narrow.withColumns(name).join(plan, keys).withColumn("_key", order_key(seed, F.col("_whole"), "_id"))
-    keyed = keyed.select(*keys, "_rest", "tokens", "_key", F.substring("_key", 1, DIGITS).alias("_bucket"))
-    sums = keyed.groupBy(*keys, "_bucket").agg(F.sum("tokens").alias("_sum"), F.first("_rest").alias("_rest"))
-    upto = Window.partitionBy(*keys).orderBy("_bucket")
-    sums = sums.withColumn("_before", F.sum("_sum").over(upto) - F.col("_sum"))
-    # The first bucket that does not fit in whole; its documents one by one.
-    last = (
-        sums.where(F.col("_before") + F.col("_sum") > F.col("_rest"))
-        .groupBy(*keys)
-        .agg(F.min(F.struct("_bucket", "_before")).alias("_b"))
-        .select(*keys, "_b.*")
-    )
-    last = written(last)
+    keyed = keyed.select(*keys, "_rest", "tokens", "_key")
+    upto = Window.partitionBy(*keys).orderBy("_bucket")  # 16 ** DIGITS buckets a leaf at most
+    last, digits = None, 0
+    while True:
+        digits += DIGITS
+        inside = keyed.withColumn("_bucket", F.substring("_key", 1, digits))
+        if last is None:
+            inside = inside.withColumn("_begin", F.lit(0).cast("long"))
+        else:
+            above = last.select(*keys, F.col("_bucket").alias("_above"), F.col("_before").alias("_begin"))
+            inside = inside.withColumn("_above", F.substring("_key", 1, digits - DIGITS)).join(above, [*keys, "_above"])
+        sums = inside.groupBy(*keys, "_bucket").agg(
+            F.sum("tokens").alias("_sum"),
+            F.count(F.lit(1)).alias("_many"),
+            F.first("_rest").alias("_rest"),
+            F.first("_begin").alias("_begin"),
+        )
+        sums = sums.withColumn("_before", F.col("_begin") + F.sum("_sum").over(upto) - F.col("_sum"))
+        # The first bucket that does not fit in whole.
+        last = written(
+            sums.where(F.col("_before") + F.col("_sum") > F.col("_rest"))
+            .groupBy(*keys)
+            .agg(F.min(F.struct("_bucket", "_before", "_many")).alias("_b"))
+            .select(*keys, "_b.*")
+        )
+        if digits >= 30 or (last.agg(F.max("_many")).first()[0] or 0) <= FEW:
+            break
+    keyed = keyed.withColumn("_bucket", F.substring("_key", 1, digits))
     one = keyed.join(last, [*keys, "_bucket"]).groupBy(*keys, "_key", "_rest", "_before").agg(F.sum("tokens").alias("_t"))
     by = Window.partitionBy(*keys).orderBy("_key")
     one = one.withColumn("_upto", F.col("_before") + F.sum("_t").over(by))
