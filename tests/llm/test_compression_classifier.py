@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidegauge.llm.compression_classifier import fit, held_out, op4_compression_quality, score
@@ -45,3 +47,33 @@ def test_odd_rows(spark, odd, none, values):
     assert len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
     assert score(none, model).count() == 0
     assert fit(none, labels).slope == 0
+
+
+def test_scores_equal_plain(spark):
+    """A score recomputed text by text: sizes under both dictionaries of every pair, the limit and the curve."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    model = fit(docs, spark.read.parquet(f"{folder}/labels.parquet"), learn=~held_out())
+    assert model.good and model.slope > 0
+
+    def size(dictionary, data):
+        used = zstandard.ZstdCompressionDict(dictionary)
+        return len(zstandard.ZstdCompressor(level=model.level, dict_data=used).compress(data))
+
+    some = docs.where("doc_id % 40 = 0")
+    texts = {r.doc_id: r.text for r in some.collect()}
+    for r in score(some, model).collect():
+        data = (texts[r.doc_id] or "").encode()
+        saved = sum(size(b, data) - size(g, data) for g, b in zip(model.good, model.bad)) / len(model.good)
+        x = max(-model.limit, min(model.limit, saved / math.sqrt(len(data) + 1))) / model.limit
+        assert abs(r.score - 1 / (1 + math.exp(-(model.slope * x + model.offset)))) < 1e-6
+
+
+def test_an_id_in_a_third_of_the_rows_is_one_text(spark):
+    """A labelled id that stands in very many documents brings one of them, and no other changes the model."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    one = labels.where("quality = 1").agg(F.min("doc_id")).first()[0]
+    copies = spark.range(500).select(F.lit(one).alias("doc_id"), F.concat(F.lit("\uffff"), "id").alias("text"))
+    assert fit(docs.unionByName(copies), labels) == fit(docs, labels)

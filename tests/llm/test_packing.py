@@ -88,3 +88,18 @@ def test_odd_rows(spark, odd, none, ranks, tokenizer, end):
     rows = pack_documents(odd, ranks, public_tokenizers.PATTERN, capacity=100, end_id=end).collect()
     check(docs, rows, 100, end, tokenizer)
     assert pack_documents(none, ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_rows_do_not_depend_on_settings(spark, ranks):
+    """The number of shards follows from the documents, not from the session's shuffle partitions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    key, found = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(key)
+    try:
+        for n in ("3", "11"):
+            spark.conf.set(key, n)
+            rows = pack_documents(docs, ranks, public_tokenizers.PATTERN, end_id=50_256, shard_bytes=100_000).collect()
+            found.append(sorted(map(repr, rows)))
+    finally:
+        spark.conf.set(key, before)
+    assert found[0] == found[1] and len({r.shard for r in rows}) > 3

@@ -89,7 +89,7 @@ def fit(
 
     The sample is drawn by a hash of the id: about ``per_class`` documents of each class for the
     dictionaries, in ``pairs`` disjoint parts, and about ``calibrate`` other ones for the logistic
-    curve; texts of 1 to ``most_bytes`` bytes only. These parameters bound what reaches the driver.
+    curve; texts of 1 to ``most_bytes`` bytes only, one per id. These parameters bound what reaches the driver.
     ``learn`` selects the labelled rows that may be used at all. Rows without label or text are not used.
     Without labels, or with one class, the score is the share of good documents (0.5 if none).
     """
@@ -113,7 +113,8 @@ def fit(
     drawn = F.broadcast(drawn)  # bounded by the parameters
     sample = (
         docs.where(bytes_.between(1, most_bytes)).select(F.col(id_), F.col(text).alias("_text")).join(drawn, id_)
-        .select(id_, "_text", "_label", "_place")
+        .groupBy(id_, "_label", "_place")
+        .agg(F.min("_text").alias("_text"))  # an id may stand in very many rows
         .toPandas()
         .sort_values(["_place", id_, "_text"])
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
-from .shared import partitions, remembering, table
+from .shared import remembering, table
 
 #: Words that a worker remembers; beyond that it starts anew. Bounds memory, not the result.
 REMEMBERED = 800_000
@@ -240,12 +240,13 @@ def pack_documents(
 ) -> DataFrame:
     """Tokenize whole texts and pack their ids; see ``chunks`` and ``pack``. The id must be a long.
 
-    A shard gets about ``shard_bytes`` of text. Repeated rows are packed as often as they come.
+    A shard gets about ``shard_bytes`` of text, whatever the session's settings, so rows depend on the documents
+    alone. Repeated rows are packed as often as they come.
     """
     size = sum(1 for line in ranks.splitlines() if line)
     width = np.dtype(id_type(max(size, (end_id or 0) + 1))).itemsize
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    shards = max(partitions(docs.sparkSession), -(-total // shard_bytes))
+    shards = max(1, -(-total // shard_bytes))
     found = chunks(docs, ranks, pattern, capacity, end_id, id_, text)
     return pack(found, capacity, width, shards, end_id or 0, id_)
 
