@@ -339,7 +339,7 @@ def estimate(counts: DataFrame) -> DataFrame:
 class Model:
     """A written model, handed to tasks in broadcasts of a bounded size each; a task opens one at a time."""
 
-    def __init__(self, rows: DataFrame, most_bytes: int = 48 << 20):
+    def __init__(self, rows: DataFrame, most_bytes: int = 24 << 20):
         self.rows = rows
         sizes = rows.select("language", "part", F.octet_length("tables").alias("n")).collect()  # 256 a language
         groups: list[list[tuple]] = []
@@ -469,7 +469,7 @@ def bands(measured: DataFrame, group: str, reach: float, least: float, step: flo
     )
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most_bytes: int = 48 << 20) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most_bytes: int = 24 << 20) -> Model:
     """Model of the distinct texts of every language; it has as many n-grams as the texts have."""
     counts = written(count_grams(docs, text, lang))
     return Model(written(estimate(counts)), most_bytes)
