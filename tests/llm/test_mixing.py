@@ -101,14 +101,6 @@ def test_buckets_are_divided_until_they_are_small(spark, monkeypatch, few):
     assert draw() == want and want
 
 
-def test_very_many_siblings_are_not_one_task(spark):
-    """Children of one node are dealt out by ranges; no window holds them all."""
-    leaves = spark.range(5000).selectExpr("cast(id as string) AS s", "id % 50 AS available")
-    shared = budgets(leaves, ["s"], {("7",): 40}, 60_000, 2)
-    got = {(r.s,): r.budget for r in shared.collect()}
-    assert got == plain_budgets({(str(i),): i % 50 for i in range(5000)}, {("7",): 40}, 60_000, 2)
-
-
 def test_odd_rows(odd, none):
     out = mix(odd, ["lang", "source"], {}, epochs=1)
     assert out.count() == 13 and {r.ids for r in out.collect()} == {"mine"}  # all tokens, one epoch
