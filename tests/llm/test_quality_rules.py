@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ from tidegauge.llm.quality_rules import (
     base_counts,
     count_grams,
     fit,
+    grams,
     judge,
     log_chances,
     op9_quality_rules,
@@ -187,6 +189,33 @@ def test_broadcasts_of_a_bounded_size_change_nothing(spark):
     assert all(np.allclose(a[k], b[k]) for k in texts)
 
 
+def test_long_texts_are_cut_into_pieces():
+    texts = [b"", b"abcdefghij", b"xy", b"", b"0123456789" * 3, b"z"]
+    want = []
+    for i, text in enumerate(texts):
+        x = bytes(ORDER - 1) + text
+        want += [(i, int.from_bytes(x[k : k + ORDER], "big")) for k in range(len(text))]
+    for at_once in (1, 2, 4, 7, 10, 1000):
+        runs = list(grams(texts, at_once))
+        assert max(len(codes) for codes, _ in runs) <= at_once
+        assert [(i, c) for codes, places in runs for i, c in zip(places.tolist(), codes.tolist())] == want
+    assert not list(grams([b"", b""], 5))
+
+
+def test_scoring_needs_little_memory(spark):
+    """Whatever the length of a text, a task scores it in small arrays."""
+    line = b"the end of abc, abd and the rest\n"
+    model = fit(spark.createDataFrame([("en", line.decode())], "lang string, text string"))
+    for texts in ([line * 125_000], [line * 25] * 5_000):
+        tracemalloc.start()
+        try:
+            out = log_chances(model.groups, {"en": texts}, True)
+            _, peak = tracemalloc.get_traced_memory()
+        finally:
+            tracemalloc.stop()
+        assert len(out["en"]) == len(texts) and peak < 40e6
+
+
 def test_counts_are_of_distinct_texts(spark):
     rows = [("en", "abcab")] * 50 + [("en", "ab"), ("de", "abcab"), (None, "ab"), (None, None)]
     counts = count_grams(spark.createDataFrame(rows, "lang string, text string").repartition(4)).collect()

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from tidegauge.llm import sentencepiece_codec
 from tidegauge.llm.sentencepiece_codec import (
     Codec,
     default_model,
@@ -49,6 +50,15 @@ def test_backtracks(codec):
     assert went_back
 
 
+def test_a_task_leaves_nothing_it_remembered():
+    model = default_model()
+    for _ in range(2):
+        with sentencepiece_codec.codec(model) as c:
+            text = "the quick brown fox, and what the dog said"
+            assert c.encode(text) == c.processor.encode(text) and c.agree and c.first
+        assert not any((c.agree, c.runs, c.first, c.later, c.raw))
+
+
 def digest(x: str) -> str:
     return hashlib.sha256(x.encode()).hexdigest()
 

@@ -17,8 +17,10 @@ from .shared import remembering, table, tidy, written
 ORDER = 5  # bytes of an n-gram; a code has eight bits for each
 #: The byte 0 stands before the first one of a text.
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes that are scored or counted at once.
+#: Bytes that are counted at once.
 AT_ONCE = 1 << 21
+#: Bytes that are scored at once: a dozen arrays of eight bytes for each, which fit the processor's cache.
+SCORED_AT_ONCE = 1 << 17
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 PART = "language string, part int, codes binary, counts binary, with_n array<long>, heads binary"
 MODEL = "language string, part int, grams long, tables binary"
@@ -65,15 +67,19 @@ def words_in(texts: list[bytes]) -> np.ndarray:
     return np.diff(np.searchsorted(begins, ends), prepend=0)
 
 
-def grams(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(codes, bytes per text) of successive runs of texts; each text starts at an edge."""
+def grams(texts: Iterable[bytes], at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, place of each one's text) of successive runs of at most ``at_once`` bytes; each text starts at an edge.
+
+    A longer text is cut into pieces, each with the bytes before it.
+    """
     lead = bytes(ORDER - 1)
-    run: list[bytes] = []
+    run: list[bytes] = []  # pieces after the bytes before them
+    places: list[int] = []
     size = 0
 
     def codes() -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.array([len(x) for x in run], dtype=np.int64)
-        x = np.frombuffer(lead + lead.join(run), dtype=np.uint8)
+        lengths = np.array([len(x) - ORDER + 1 for x in run], dtype=np.int64)
+        x = np.frombuffer(b"".join(run), dtype=np.uint8)
         starts = np.cumsum(lengths + ORDER - 1) - lengths
         all_ = np.zeros(len(x), dtype=np.uint64)
         for k in range(ORDER):
@@ -81,14 +87,17 @@ def grams(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         real = np.ones(len(x), dtype=bool)
         for k in range(1, ORDER):
             real[starts - k] = False
-        return all_[real], lengths
-
-    for text in texts:
-        run.append(text)
-        size += len(text)
-        if size >= AT_ONCE:
-            yield codes()
-            run, size = [], 0
+        return all_[real], np.repeat(places, lengths)
+
+    for place, text in enumerate(texts):
+        for at in range(0, len(text), at_once):
+            piece = text[at : at + at_once]
+            if size + len(piece) > at_once:
+                yield codes()
+                run, places, size = [], [], 0
+            run.append((lead + text[max(0, at - ORDER + 1) : at])[1 - ORDER :] + piece)
+            places.append(place)
+            size += len(piece)
     if run:
         yield codes()
 
@@ -234,7 +243,7 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         known: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def add(language: str | None, texts: list[bytes]) -> None:
-            for codes, _ in grams(texts):
+            for codes, _ in grams(texts, AT_ONCE):
                 runs = known.setdefault(language, [])
                 runs.append(np.unique(codes, return_counts=True))
                 # Runs of about equal sizes are merged, so a code is sorted a logarithmic number of times.
@@ -376,10 +385,7 @@ def log_chances(groups: list, texts: dict[str | None, list[bytes]], keep: bool)
     alone: dict[str | None, np.ndarray] = {language: np.full(256, -8.0) for language in texts}
 
     def add(language: str | None, parts: np.ndarray, score) -> None:
-        at = 0
-        for codes, lengths in grams(texts[language]):
-            owner = np.repeat(np.arange(at, at + len(lengths)), lengths)
-            at += len(lengths)
+        for codes, owner in grams(texts[language], SCORED_AT_ONCE):
             if not parts.all():
                 own = parts[((codes >> np.uint64(8)) & np.uint64(255)).astype(np.int64)]
                 codes, owner = codes[own], owner[own]

@@ -218,8 +218,8 @@ class Codec:
         return list(chain.from_iterable(self.parts(text)))
 
     def forget(self) -> None:
-        for words in (self.first, self.later, self.raw, self.runs):
-            words.clear()
+        for known in (self.first, self.later, self.raw, self.runs, self.agree):
+            known.clear()
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
@@ -230,7 +230,10 @@ _CODECS: dict[str, Codec] = {}
 
 @contextmanager
 def codec(model: bytes) -> Iterator[Codec]:
-    """The worker's codec of a model, built once a worker; words are remembered for one task."""
+    """The worker's codec of a model, built once a worker; words and pairs of pieces are remembered for one task.
+
+    Other stages use the worker afterwards, and what it kept would add to their memory.
+    """
     key = hashlib.sha256(model).hexdigest()
     if key not in _CODECS:
         _CODECS.clear()
