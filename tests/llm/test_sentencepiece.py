@@ -1,6 +1,8 @@
 import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from tidegauge.llm import sentencepiece_codec
@@ -59,6 +61,53 @@ def test_a_task_leaves_nothing_it_remembered():
         assert not any((c.agree, c.runs, c.first, c.later, c.raw))
 
 
+def some_words(n: int) -> list[str]:
+    rnd = random.Random(3)
+    return ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(4, 9))) + rnd.choice(["", ",", ".", ")"]) for _ in range(n)]
+
+
+def test_all_words_together_are_bounded(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 60)
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED_PAIRS", 60)
+    c = Codec(default_model())
+    for k in range(200):
+        text = " ".join(some_words(400)[k : k + 40]) + "\n" + " x  y" * (k % 3)
+        assert c.encode(text) == c.processor.encode(text)
+        assert sum(map(len, (c.first, c.later, c.raw, c.runs))) <= 60 and len(c.agree) <= 60
+
+
+def test_words_with_very_many_ids_are_not_kept():
+    c = Codec(default_model())
+    text = "\U0001f9ff" * 60
+    assert c.encode(text) == c.processor.encode(text) and len(c.encode(text)) > 64
+    assert not any((c.first, c.later, c.raw, c.runs))
+
+
+def test_remembered_words_are_small():
+    """What is kept of a word that stands alone and before a sign; the ids as tuples, kept once more for the sign, took 456 bytes."""
+    c, words = Codec(default_model()), {x.strip(",.)") for x in some_words(30_000)}
+    text = " ".join(f"{x} {x}," for x in sorted(words))
+    c.encode(text)
+    for known in (c.first, c.later, c.raw, c.runs):
+        known.clear()  # pairs of pieces stay
+    tracemalloc.start()
+    try:
+        c.encode(text)
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert kept < 350 * len(words)
+
+
+def test_slices_have_every_row_once():
+    texts = ["a" * 7, None, "", "b" * 30, "c", None, "äö" * 4]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    for most in (1, 5, 8, 100):
+        got = [x for rows in sentencepiece_codec.slices(batch, "text", most) for x in rows.column("text").to_pylist()]
+        assert got == texts
+    assert sum(r.num_rows for r in sentencepiece_codec.slices(batch.slice(0, 0), "text")) == 0
+
+
 def digest(x: str) -> str:
     return hashlib.sha256(x.encode()).hexdigest()
 

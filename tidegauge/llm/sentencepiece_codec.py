@@ -15,35 +15,39 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .shared import remembering, table
+from .shared import remembering, table, tidy
 
 SPACE = "▁"
-#: Words that a worker remembers; beyond that it starts anew. Bounds memory, not the result.
+#: Words that a worker remembers, in all, and pairs of pieces; beyond that it starts anew. Bounds memory, not the result.
 REMEMBERED = 400_000
+REMEMBERED_PAIRS = 200_000
+#: Ids are kept and joined as the bytes of such numbers: less room than tuples, and nothing for the garbage collector.
+ID = np.dtype(np.int32)
 
 
 class Words(dict):
-    """Ids of words, filled on demand."""
+    """Ids of words, filled on demand. Words with many ids are not remembered."""
 
     def __init__(self, codec: Codec, prefix: str):
         super().__init__()
         self.codec, self.prefix = codec, prefix
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.codec.encode_run(self.prefix + word))
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
+    def __missing__(self, word: str) -> bytes:
+        ids = self.codec.encode_run(self.prefix + word)
+        if len(word) <= 64 and len(ids) <= 64 * ID.itemsize:
+            self.codec.make_room()
             self[word] = ids
         return ids
 
@@ -82,12 +86,14 @@ class Codec:
         joined = "".join(map(re.escape, sorted({a for a, b in pairs if b in signs})))
         some = "".join(map(re.escape, sorted(signs)))
         self.split = re.compile(f"(?<=[^{joined}])(?=[{some}])" if joined and some else r"(?!)").split
-        self.runs: dict[str, tuple[int, ...]] = {}
         # No piece has a line break: lines encode by themselves.
         self.by_lines = not any("\n" in x for x in self.ids)
-        self.line_break = tuple(self.encode_bytes("\n"))
+        self.line_break = array("i", self.encode_bytes("\n")).tobytes()
+        self.end = array("i", [self.eos]).tobytes()
         self.agree: dict[tuple[str, str], bool] = {}
         self.first, self.later, self.raw = Words(self, SPACE), Words(self, ""), Words(self, "")
+        self.runs = Words(self, "")  # what words have from a sign on
+        self.words = (self.first, self.later, self.raw, self.runs)
 
     def encode_bytes(self, char: str) -> list[int]:
         ids = [self.bytes[b] for b in char.encode()]
@@ -97,7 +103,7 @@ class Codec:
         """Whether merging the characters of two pieces gives these two pieces again."""
         known = self.agree.get((left, right))
         if known is None:
-            if len(self.agree) >= REMEMBERED:
+            if len(self.agree) >= REMEMBERED_PAIRS:
                 self.agree.clear()
             known = self.agree[left, right] = self.merge(left + right) == [left, right]
         return known
@@ -167,20 +173,19 @@ class Codec:
                 last = out[-1] if out else ""
         return out
 
-    def encode_run(self, run: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.split(run):
-            known = self.runs.get(part)
-            if known is None:
-                known = tuple(self.encode_part(part))
-                if len(part) <= 64:
-                    if len(self.runs) >= REMEMBERED:
-                        self.runs.clear()
-                    self.runs[part] = known
-            ids += known
-        return ids
+    def make_room(self) -> None:
+        if sum(map(len, self.words)) >= REMEMBERED:
+            for known in self.words:
+                known.clear()
 
-    def encode_part(self, run: str) -> list[int]:
+    def encode_run(self, run: str) -> bytes:
+        parts = self.split(run)
+        if len(parts) == 1:
+            return self.encode_part(run)
+        # What stands before the first sign is mostly a word that also stands alone.
+        return b"".join([self.first[x[1:]] if x[0] == SPACE else self.runs[x] for x in parts])
+
+    def encode_part(self, run: str) -> bytes:
         ids: list[int] = []
         for piece in self.pieces(run):
             found = self.ids.get(piece)
@@ -188,16 +193,16 @@ class Codec:
                 ids += self.encode_bytes(piece)
             else:
                 ids.append(found)
-        return ids
+        return array("i", ids).tobytes()
 
-    def parts(self, text: str) -> list[tuple[int, ...]]:
+    def parts(self, text: str) -> list[bytes]:
         """Ids of the words of ``text`` in order, without the end id."""
         if not text:
             return []
         text = text.replace(SPACE, " ")
         if not self.by_words:
             return [self.raw[SPACE + text.replace(" ", SPACE)]]
-        out: list[tuple[int, ...]] = []
+        out: list[bytes] = []
         lines = text.split("\n") if self.by_lines else [text]
         for k, line in enumerate(lines):
             if k:
@@ -215,10 +220,14 @@ class Codec:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.parts(text)))
+        return np.frombuffer(b"".join(self.parts(text)), ID).tolist()
+
+    def encode_whole(self, text: str | None) -> np.ndarray:
+        """Ids of a text, the end id last; a null text has the end id alone."""
+        return np.frombuffer(b"".join([*self.parts(text or ""), self.end]), ID)
 
     def forget(self) -> None:
-        for known in (self.first, self.later, self.raw, self.runs, self.agree):
+        for known in (*self.words, self.agree):
             known.clear()
 
     def decode(self, ids: list[int]) -> str:
@@ -232,8 +241,9 @@ _CODECS: dict[str, Codec] = {}
 def codec(model: bytes) -> Iterator[Codec]:
     """The worker's codec of a model, built once a worker; words and pairs of pieces are remembered for one task.
 
-    Other stages use the worker afterwards, and what it kept would add to their memory.
+    Other stages use the worker afterwards, and what it kept would add to their memory, as what they kept adds here.
     """
+    tidy()
     key = hashlib.sha256(model).hexdigest()
     if key not in _CODECS:
         _CODECS.clear()
@@ -251,11 +261,13 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def slices(batch: pd.DataFrame, text: str, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most`` characters: ids take many times the room of their text."""
-    run = batch[text].fillna("").str.len().cumsum() // most
-    for _, rows in batch.groupby(run.to_numpy(), sort=False):
-        yield rows
+    sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(sizes, dtype=np.int64) // most
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
 
 
 def encode_texts(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
@@ -263,20 +275,22 @@ def encode_texts(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame
 
     A null or empty text has the end id alone and decodes to an empty text. Rows keep their
     columns; columns called ids or decoded are replaced. Words are remembered by each worker up
-    to a fixed number, which only saves time. Memory is bounded by a batch and its longest text.
+    to a fixed number, which only saves time. Memory is bounded by a batch and its longest text: rows
+    stay in Arrow, and texts become Python strings a slice at a time.
     """
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(model) as c:
             for batch in batches:
                 for rows in slices(batch, text):
-                    ids = [[*c.encode(x or ""), c.eos] for x in rows[text]]
-                    decoded = [c.decode(x) for x in ids]
-                    yield rows.assign(ids=[np.array(x, dtype=np.int32) for x in ids], decoded=decoded)
+                    ids = [c.encode_whole(x) for x in rows.column(text).to_pylist()]
+                    decoded = pa.array([c.decode(x.tolist()) for x in ids], rows.column(text).type)
+                    arrays = [*rows.columns, pa.array(ids, pa.list_(pa.int32())), decoded]
+                    yield pa.RecordBatch.from_arrays(arrays, [*rows.schema.names, "ids", "decoded"])
 
     schema = docs.select(*kept).schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
-    return docs.select(*kept).mapInPandas(run, schema)
+    return docs.select(*kept).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
@@ -289,7 +303,7 @@ def encode_digests(docs: DataFrame, model: bytes, text: str = "text") -> DataFra
     out = [c for c in kept if c != text]
 
     def digest(c: Codec, value: str | None) -> tuple[int, str, str]:
-        ids = [*c.encode(value or ""), c.eos]
+        ids = c.encode_whole(value).tolist()
         line = " ".join(map(c.names.__getitem__, ids))
         return (
             len(ids),
