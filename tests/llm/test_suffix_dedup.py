@@ -124,3 +124,26 @@ def test_a_passage_in_many_surroundings_is_not_one_tasks_work(spark, monkeypatch
     # Of eight groups: whole, one call has all surroundings of a q-gram; split, strings are spread evenly.
     shares = [max(x) / sum(x) for x in sizes]
     assert shares[0] > 0.2 > 0.16 > shares[1], shares
+
+
+def test_short_phrases_and_whole_copies_send_nothing(spark, monkeypatch, tmp_path):
+    """What cannot repeat over 50 bytes, and copies of whole texts, travel as digests only."""
+    rnd = random.Random(7)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    phrase, texts = noise(30), [noise(300) for _ in range(5)]
+    docs = [(i, noise(60) + phrase + noise(60)) for i in range(40)]
+    docs += [(40 + i, texts[i % 5]) for i in range(20)]
+    docs += [(-3, texts[1]), (41, texts[1]), (42, texts[1]), (None, texts[0]), (70, "short"), (71, "short"), (72, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    decide = suffix_dedup._decide
+
+    def counted(rows, match):
+        (tmp_path / uuid.uuid4().hex).write_text(str(sum(len(Sent(b).texts) for b in rows["stretches"])))
+        return decide(rows, match)
+
+    monkeypatch.setattr(suffix_dedup, "_decide", counted)
+    for as_text in (False, True):
+        got = remove_repeats(df, part_bytes=3000, as_text=as_text)
+        got = [(r.doc_id, r.n_bytes, r.kept.encode() if as_text else bytes(r.kept), [tuple(x) for x in r.spans]) for r in got.collect()]
+        assert sorted(got, key=str) == sorted(plain(docs), key=str)
+    assert not list(tmp_path.iterdir())
