@@ -3,6 +3,7 @@ import random
 import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidegauge.llm import suffix_dedup
@@ -147,3 +148,30 @@ def test_short_phrases_and_whole_copies_send_nothing(spark, monkeypatch, tmp_pat
         got = [(r.doc_id, r.n_bytes, r.kept.encode() if as_text else bytes(r.kept), [tuple(x) for x in r.spans]) for r in got.collect()]
         assert sorted(got, key=str) == sorted(plain(docs), key=str)
     assert not list(tmp_path.iterdir())
+
+
+def test_a_crowded_bucket_is_refined_a_little_at_a_time(monkeypatch):
+    """A group's memory does not follow from how many different grams it holds."""
+    rnd = random.Random(8)
+    noise = lambda n: bytes(rnd.choice(b"abcdefgh") for _ in range(n))
+    passages = [noise(70) for _ in range(300)]
+    groups = []
+    for part in range(2):
+        end = b"xy"[part : part + 1]
+        texts = [noise(39) + end + x + end + noise(39) for x in passages]
+        s = Stretches(texts, 50, 20)
+        pieces = [texts[d][a : z + 50] for d, a, z in zip(s.doc, s.first, s.last)]
+        groups.append((0, part, Sent.pack(20, s.place, s.doc + 1000 * part, pieces), s))
+    rows_ = pd.DataFrame([g[:3] for g in groups], columns=["group", "_part", "stretches"])
+    lengths, refine = [], suffix_dedup.refined
+    monkeypatch.setattr(suffix_dedup, "refined", lambda t, match: lengths.append(len(t)) or refine(t, match))
+    whole = suffix_dedup._decide(rows_, 50)
+    monkeypatch.setattr(suffix_dedup, "_AT_ONCE", 2000, raising=False)
+    del lengths[:]
+    assert whole.equals(suffix_dedup._decide(rows_, 50))
+    assert len(lengths) > 10 and max(lengths) <= 2000
+    # Of the later part's texts, the strings in passages go; of the earlier part's, none.
+    s = groups[1][3]
+    inside = sum(max(0, min(z, 60) - max(a, 40) + 1) for a, z in zip(s.first.tolist(), s.last.tolist()))
+    assert whole["_part"].tolist() == [1]
+    assert sum(int(x).bit_count() for x in np.frombuffer(whole["masks"][0], "<i8")) == inside == 300 * 21

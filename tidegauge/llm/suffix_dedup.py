@@ -35,12 +35,14 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 from .shared import carried, partitions, table, tidy, written
 
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_BITS = 20  # positions in a buffer
+_BITS = 17  # positions in a buffer; a worker has a score of arrays of as many words at a time
 _LOW = np.uint64((1 << _BITS) - 1)
 #: Bytes of a piece of text that is worked on at once; a buffer has at most two pieces' size.
 _PIECE = 1 << (_BITS - 1)
 #: A part counts the different stretches of q-grams that have more than these.
 _FEW = 4
+#: Bytes of stretches that are refined at once, beyond which another gram's wait.
+_AT_ONCE = 1 << 20
 _TAG_BITS = 32  # low bits of a gram's hash, which name its bucket; the others travel
 _BUCKET = np.uint64((1 << _TAG_BITS) - 1)
 
@@ -329,9 +331,19 @@ def _decide(rows: pd.DataFrame, match: int) -> pd.DataFrame:
     q, data = sent[0].q, b"".join([x.data for x in sent])
     del sent
     print_, tag = _marks(data, size, place, match, q)
+    # Stretches of one tag are decided together, so whole tags at a time, as many as are small together.
+    order = np.argsort(tag, kind="stable")
+    tags = np.flatnonzero(np.concatenate([[True], tag[order][1:] != tag[order][:-1], [True]]))
+    sums = np.concatenate([[0], np.cumsum(size[order], dtype=np.int64)])[tags]
     ends = np.cumsum(size, dtype=np.int64)
-    texts = [data[a:z] for a, z in zip((ends - size).tolist(), ends.tolist())]
-    masks = _masks(texts, doc, tag, match)
+    masks = np.zeros(len(order), dtype=np.int64)
+    k = 0
+    while k < len(tags) - 1:
+        after = max(k + 1, int(np.searchsorted(sums, sums[k] + _AT_ONCE, side="right")) - 1)
+        own = order[tags[k] : tags[after]]
+        texts = [data[a:z] for a, z in zip((ends[own] - size[own]).tolist(), ends[own].tolist())]
+        masks[own] = _masks(texts, doc[own], tag[own], match)
+        k = after
     out = []
     for part, marks, own in zip(rows["_part"], np.split(print_, counts[:-1]), np.split(masks, counts[:-1])):
         hit = own != 0
